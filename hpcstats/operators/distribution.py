@@ -15,8 +15,9 @@ bin grid is generated from the per-metric table with ``sequence``, so empty
 bins appear with count 0.  The number of bins is at most ``2*sqrt(n)``.
 
 The density is the Gaussian kernel sum on a 200-point grid from min to max
-with Scott's bandwidth ``sd * n^(-1/5)``.  It is one aggregate with one
-``sum`` per grid point (no join of rows with grid points), then unpivoted.
+with Scott's bandwidth ``sd * n^(-1/5)``.  Every row is spread over the fixed
+grid by a generator and summed per (group, point) with map-side partial
+aggregation, so the shuffle carries 200 partial sums per group and task.
 """
 
 from __future__ import annotations
@@ -124,19 +125,17 @@ def kde(df: DataFrame, by=("event",), points: int = KDE_POINTS, drop_any_null: b
     layout = bin_layout(df, by, None, drop_any_null)
     rows = join_small(data, st.select(*by, "lo", "hi", "h"), by)
     step = (F.col("hi") - F.col("lo")) / F.lit(points - 1)
-
-    def grid(j):
-        return F.col("hi") if j == points - 1 else F.col("lo") + F.lit(j) * step
-
-    sums = [F.sum(F.exp(F.lit(-0.5) * F.pow((grid(j) - v) / F.col("h"), 2))).alias(f"_s{j}")
-            for j in range(points)]
-    agg = rows.groupBy(*by, "lo", "hi", "h").agg(*sums)
+    j = F.col("point")
+    x = F.when(j == points - 1, F.col("hi")).otherwise(F.col("lo") + j.cast("double") * step)
+    # each row meets the fixed grid (a generator, not a join); partial sums per (group, point) map-side
+    spread = rows.select(*by, "value", "lo", "hi", "h",
+                         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    sums = spread.groupBy(*by, "point").agg(
+        F.sum(F.exp(F.lit(-0.5) * F.pow((x - F.col("value")) / F.col("h"), 2))).alias("_s"))
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
-    stacked = agg.select(*by, "lo", "hi", "h", F.inline(F.array(*[
-        F.struct(F.lit(j).alias("point"), grid(j).alias("x"), F.col(f"_s{j}").alias("_s"))
-        for j in range(points)])))
+    stacked = join_small(sums, st.select(*by, "n", "lo", "hi", "h"), by).withColumn("x", x)
     binw = (F.col("last_edge") - F.col("first_edge")) / F.col("nbins")
-    out = stacked.join(st.select(*by, "n"), by).join(layout.select(*by, binw.alias("bin_width")), by)
+    out = join_small(stacked, layout.select(*by, binw.alias("bin_width")), by)
     return out.select(*by, "point", "x", (F.col("_s") / norm).alias("density"),
                       (F.col("_s") / norm * F.col("n") * F.col("bin_width")).alias("count_density"),
                       F.col("h").alias("bandwidth"))
