@@ -13,14 +13,18 @@ adds one column per statistic to every sample row.
 Scale.  A plain window partitioned by metric puts a whole metric in one task.
 With ``split=True`` the work is cut into bounded pieces:
 
-* time spans: bucket ``b = floor(t / B)``, ``B = split_factor * w``; the rows of
-  the last ``w`` of a bucket are also copied into the next bucket (halo), the
-  window runs per ``(group, b)`` and only a bucket's own rows are kept.  Exact,
-  because no frame reaches back further than ``w <= B``.
-* row windows: a global row index per group without a global sort (row counts
-  per hour -> running offsets on that small table -> ``row_number`` inside the
-  hour), then chunks of ``chunk_rows`` rows with the ``n-1`` previous rows as
-  halo.
+* time spans: bucket ``b = floor(t / B)``; the rows of the last ``w`` of a
+  bucket are also copied into the next bucket (halo), the window runs per
+  ``(group, b)`` and only a bucket's own rows are kept.  Exact, because no
+  frame reaches back further than ``w <= B``.  ``B`` is a whole multiple of
+  ``w`` chosen per group from its peak hourly rate so that a bucket holds about
+  a million rows (``split_factor='auto'``): a metric with a third of all rows
+  gets narrow buckets and many tasks, a sparse one few wide buckets with
+  little halo.  A fixed ``split_factor`` gives ``B = split_factor * w``.
+* row windows: a global row index per group without a global sort (rows per
+  time bucket of about a million rows -> running offsets on that small table
+  -> ``row_number`` inside the bucket), then chunks of ``chunk_rows`` rows with
+  the ``n-1`` previous rows as halo.
 """
 
 from __future__ import annotations
@@ -32,9 +36,11 @@ from hpcstats.functions.intervals import Rows, Span
 from hpcstats.plans.joins import join_small, materialize
 
 STATS = ("mean", "median", "std")
-SPLIT_FACTOR = 8
+SPLIT_FACTOR = "auto"
+TARGET_BUCKET_ROWS = 1_000_000   # rows per window partition that `auto` aims at
 CHUNK_ROWS = 1_000_000
-INDEX_BUCKET_MICROS = 3_600_000_000  # hour buckets for the global row index
+HOUR = 3_600_000_000
+MAX_BUCKET_MICROS = 30 * 24 * HOUR
 
 
 def _agg(stat: str, value: Column) -> Column:
@@ -52,8 +58,8 @@ def _micros(col: str = "time") -> Column:
 
 
 def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: str | None = None,
-            ties: str = "peers", split: bool = True, split_factor: int = SPLIT_FACTOR,
-            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            ties: str = "peers", split: bool = True, split_factor=SPLIT_FACTOR,
+            chunk_rows: int = CHUNK_ROWS, target_rows: int = TARGET_BUCKET_ROWS) -> DataFrame:
     stats = [stats] if isinstance(stats, str) else list(stats)
     for s in stats:
         _agg(s, F.col("value"))  # validate names early
@@ -61,12 +67,36 @@ def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: s
     if ties not in ("peers", "row"):
         raise ValueError("ties must be 'peers' or 'row'")
     if isinstance(interval, Rows):
-        return _rolling_rows(df, stats, interval.n, by, tie, split, chunk_rows)
+        return _rolling_rows(df, stats, interval.n, by, tie, split, chunk_rows, target_rows)
     if isinstance(interval, Span):
-        return _rolling_span(df, stats, interval.micros, by, tie, ties, split, split_factor)
+        return _rolling_span(df, stats, interval.micros, by, tie, ties, split, split_factor, target_rows)
     raise ValueError("interval must be Rows(n) or Span(n, unit)")
 
 
+# ---- bucket sizing -------------------------------------------------------------
+
+def peak_hourly(df: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: the largest number of rows in one clock hour (a cheap partial aggregate)."""
+    hb = F.floor(_micros() / HOUR)
+    hourly = df.groupBy(*by, hb.alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
+    return hourly.groupBy(*by).agg(F.max("_c").alias("_peak"))
+
+
+def bucket_widths(df: DataFrame, by: list[str], min_us: int, target_rows: int = TARGET_BUCKET_ROWS,
+                  max_us: int = MAX_BUCKET_MICROS) -> DataFrame:
+    """Per group a bucket width (micros): about ``target_rows`` rows at the group's peak
+    hourly rate, never less than ``min_us`` and (if larger) never more than ``max_us``.
+    A hot group gets narrow buckets, a sparse one wide buckets."""
+    peak = peak_hourly(df, by)
+    per_us = F.col("_peak").cast("double") / F.lit(float(HOUR))
+    width = F.floor(F.lit(float(target_rows)) / per_us)
+    width = F.least(width, F.lit(max(max_us, min_us)))
+    width = F.greatest(width, F.lit(min_us))
+    if min_us > 0:
+        width = F.ceil(width / F.lit(min_us)) * F.lit(min_us)   # whole multiples of the span
+    return materialize(peak.select(*by, width.cast("long").alias("_bw")), "bucket-widths")
+
+
 # ---- row windows -------------------------------------------------------------
 
 def _rows_frame_cols(n: int, stats, w) -> list[Column]:
@@ -74,13 +104,13 @@ def _rows_frame_cols(n: int, stats, w) -> list[Column]:
     return [F.when(full, _agg(s, F.col("value")).over(w)).alias(s) for s in stats]
 
 
-def _rolling_rows(df, stats, n, by, tie, split, chunk_rows):
+def _rolling_rows(df, stats, n, by, tie, split, chunk_rows, target_rows=TARGET_BUCKET_ROWS):
     order = [F.col("time")] + ([F.col(tie)] if tie else [])
     cols = df.columns
     if not split:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
         return df.select(*cols, *_rows_frame_cols(n, stats, w))
-    idx = with_row_index(df, by, tie)
+    idx = with_row_index(df, by, tie, target_rows)
     chunk = max(int(chunk_rows), 8 * n)
     c = F.floor(F.col("_idx") / chunk)
     own = idx.withColumn("_c", c).withColumn("_own", F.lit(True))
@@ -92,14 +122,16 @@ def _rolling_rows(df, stats, n, by, tie, split, chunk_rows):
 
 
 def with_row_index(df: DataFrame, by: list[str], tie: str | None,
-                   bucket_micros: int = INDEX_BUCKET_MICROS) -> DataFrame:
+                   target_rows: int = TARGET_BUCKET_ROWS) -> DataFrame:
     """Add ``_idx``: 0-based position of each row in its group in (time, tie) order.
 
-    No global sort: rows per (group, hour) are counted, the running offsets
-    are computed on that small table, and ``row_number`` runs per hour.
+    No global sort: the time axis of each group is cut into buckets of about
+    ``target_rows`` rows (from the peak hourly rate), rows per bucket are
+    counted, the running offsets are computed on that small table, and
+    ``row_number`` runs per bucket.
     """
-    hb = F.floor(_micros() / bucket_micros)
-    keyed = df.withColumn("_hb", hb)
+    widths = bucket_widths(df, by, 1, target_rows)
+    keyed = join_small(df, widths, by).withColumn("_hb", F.floor(_micros() / F.col("_bw"))).drop("_bw")
     counts = keyed.groupBy(*by, "_hb").agg(F.count(F.lit(1)).alias("_cnt"))
     ow = Window.partitionBy(*by).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(ow), F.lit(0)))
@@ -119,7 +151,7 @@ def _tie_rank(df: DataFrame, by: list[str], tie: str | None, extra: list[str]) -
     return df.withColumn("_r", F.row_number().over(w) - 1)
 
 
-def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor):
+def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_rows=TARGET_BUCKET_ROWS):
     cols = df.columns
     t = _micros()
     if not split:
@@ -130,16 +162,25 @@ def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor):
             keyed, frame_lo = _composite_key(df, by, tie, [], t, None, w_us)
         win = Window.partitionBy(*by).orderBy("_key").rangeBetween(frame_lo, 0)
         return keyed.select(*cols, *[_agg(s, F.col("value")).over(win).alias(s) for s in stats])
-    width = int(split_factor) * w_us
+    if split_factor == "auto":
+        widths = bucket_widths(df, by, w_us, target_rows)
+        # the widest bucket bounds the composite key of row-order ties
+        max_width = (widths.agg(F.max("_bw")).first()[0] or w_us) if ties == "row" else None
+        sized = join_small(df, widths, by)
+        width = F.col("_bw")
+    else:
+        max_width = int(split_factor) * w_us
+        sized = df
+        width = F.lit(max_width)
     b = F.floor(t / width)
-    own = df.withColumn("_b", b).withColumn("_own", F.lit(True))
-    halo = df.where(t > (b + 1) * width - w_us).withColumn("_b", b + 1).withColumn("_own", F.lit(False))
+    own = sized.withColumn("_b", b).withColumn("_own", F.lit(True))
+    halo = sized.where(t > (b + 1) * width - w_us).withColumn("_b", b + 1).withColumn("_own", F.lit(False))
     both = own.unionByName(halo)
     if ties == "peers":
         keyed = both.withColumn("_key", t)
         frame_lo = -(w_us - 1)
     else:
-        keyed, frame_lo = _composite_key(both, by, tie, ["_b"], t, F.col("_b") * width, w_us, width)
+        keyed, frame_lo = _composite_key(both, by, tie, ["_b"], t, F.col("_b") * width, w_us, max_width)
     win = Window.partitionBy(*by, "_b").orderBy("_key").rangeBetween(frame_lo, 0)
     out = keyed.select(*cols, "_own", *[_agg(s, F.col("value")).over(win).alias(s) for s in stats])
     return out.where("_own").drop("_own")

@@ -18,14 +18,20 @@ from hpcstats.schema import EVENT_TO_UNIT, EVENTS
 
 
 def metric_frame(spark, metrics) -> DataFrame:
-    """The chosen metrics (at most the six of the dimension) with their units."""
+    """The chosen metrics (at most the six of the dimension) with their units, as a JVM literal table."""
     metrics = list(metrics) if metrics is not None else list(EVENTS)
-    return spark.createDataFrame([(m, EVENT_TO_UNIT.get(m)) for m in metrics], "event string, unit string")
+    rows = [F.struct(F.lit(m).alias("event"), F.lit(EVENT_TO_UNIT.get(m)).cast("string").alias("unit"))
+            for m in metrics]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def slice_metrics(df: DataFrame, metrics) -> DataFrame:
-    """keep the chosen metrics (a pushed-down IN filter)."""
-    return df if metrics is None else df.where(F.col("event").isin(list(metrics)))
+    """keep the chosen metrics (an IN filter, pushed to the scan).
+
+    No choice means the six metrics of the dimension, so the per-metric
+    tables have at most six rows and may be broadcast.
+    """
+    return df.where(F.col("event").isin(list(metrics) if metrics is not None else list(EVENTS)))
 
 
 def metric_summary(df: DataFrame, metrics=None, stats=("mean", "median", "std")) -> DataFrame:

@@ -3,9 +3,8 @@
 Per-group statistics (counts, bounds, quartiles) are tiny next to the samples
 but are used by a second pass over the samples.  Two rules apply:
 
-* the small table is computed once and written to the session's shared
-  checkpoint folder (survives executor loss, cuts lineage, and gives the
-  planner its real size);
+* the small table is computed once into the session's shared checkpoint
+  folder (survives executor loss, cuts lineage);
 * it is broadcast only after its row count was checked; above the bound the
   join is a plain shuffle join, where AQE's skew-join split keeps a hot key
   (one metric may hold a third of all rows) from landing in one task.
@@ -13,8 +12,6 @@ but are used by a second pass over the samples.  Two rules apply:
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +22,14 @@ BROADCAST_MAX_ROWS = 500_000
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/hpcstats-{label}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    """Compute ``df`` once into the shared checkpoint folder (reliable checkpoint).
+
+    One job computes and writes it; later plans read the checkpoint instead of
+    recomputing the lineage, and a lost executor does not lose it.
+    ``label`` names the table in error messages only.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:

@@ -115,6 +115,24 @@ def test_rolling_random_against_pandas(spark, seed):
             assert all(_close(a, b, 1e-7) for a, b in zip(got[stat], want[stat].values)), (stat, split)
 
 
+def test_auto_buckets_against_pandas(spark):
+    rng = np.random.default_rng(3)
+    n = 300
+    minutes = np.sort(rng.integers(0, 3000, n))
+    values = rng.normal(0, 1, n)
+    rows = [(i, str(BASE + pd.Timedelta(minutes=int(m))), "cpuuser", float(v))
+            for i, (m, v) in enumerate(zip(minutes, values))]
+    df = host_frame(spark, rows)
+    ser = pd.Series(values, index=[BASE + pd.Timedelta(minutes=int(m)) for m in minutes])
+    for ties in ("row",):
+        got = rolling(df, ["mean", "median"], Span(45, "Minutes"), tie="event_id", ties=ties,
+                      target_rows=15).orderBy("event_id").toPandas()
+        assert all(_close(a, b, 1e-9) for a, b in zip(got["mean"], ser.rolling("45min").mean().values))
+        assert all(_close(a, b, 1e-9) for a, b in zip(got["median"], ser.rolling("45min").median().values))
+    got = rolling(df, ["std"], Rows(4), tie="event_id", chunk_rows=32, target_rows=10).orderBy("event_id").toPandas()
+    assert all(_close(a, b, 1e-9) for a, b in zip(got["std"], ser.rolling(4).std().values))
+
+
 def test_split_equals_plain_on_shared_table(spark):
     from hpcstats.sources.shared_tables import host_view
     from conftest import SF_SMALL
