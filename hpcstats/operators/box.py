@@ -7,8 +7,9 @@ the value lies inside the box), notch ``median +- 1.57*IQR/sqrt(n)``, outliers
 = values beyond the whiskers.  ``box_outliers`` returns the outlier rows
 themselves as a DataFrame (never collected).
 
-Two passes: exact quartiles (see ``exact_quantiles``), then one aggregate that
-joins the per-group fences back (checked broadcast) for whiskers and counts.
+Passes: n/min/max, exact quartiles (see ``exact_quantiles``), then one
+aggregate over the rows joined with their group's fences (checked broadcast)
+for mean, whiskers and the outlier count.
 """
 
 from __future__ import annotations
@@ -42,21 +43,21 @@ def box_stats(df: DataFrame, by=("event",), whis: float = WHIS) -> DataFrame:
     fences = _fences(data, by, whis)
     rows = join_small(data, fences.select(*by, "lo_fence", "hi_fence", "q1", "q3"), by)
     v = F.col("value")
+    # a value lies beyond a whisker exactly when it lies beyond the fence (the whisker is the
+    # most extreme value inside the fence, or the quartile when none is), so the outliers
+    # are counted in the same pass as the whiskers
     agg = rows.groupBy(*by).agg(
         F.avg(v).alias("mean"),
         F.max(F.when(v <= F.col("hi_fence"), v)).alias("_hi_in"),
-        F.min(F.when(v >= F.col("lo_fence"), v)).alias("_lo_in"))
+        F.min(F.when(v >= F.col("lo_fence"), v)).alias("_lo_in"),
+        F.count_if((v < F.col("lo_fence")) | (v > F.col("hi_fence"))).alias("n_outliers"))
     out = fences.join(agg, by)
     whishi = F.when(F.col("_hi_in").isNull() | (F.col("_hi_in") < F.col("q3")), F.col("q3")).otherwise(F.col("_hi_in"))
     whislo = F.when(F.col("_lo_in").isNull() | (F.col("_lo_in") > F.col("q1")), F.col("q1")).otherwise(F.col("_lo_in"))
     half = F.lit(1.57) * F.col("iqr") / F.sqrt(F.col("n").cast("double"))
-    out = out.select(*by, "n", "mean", "q1", "median", "q3", "iqr", whislo.alias("whislo"), whishi.alias("whishi"),
-                     (F.col("median") - half).alias("notch_lo"), (F.col("median") + half).alias("notch_hi"))
-    out = materialize(out, "box")
-    fl = join_small(data, out.select(*by, "whislo", "whishi"), by) \
-        .where((v < F.col("whislo")) | (v > F.col("whishi"))) \
-        .groupBy(*by).agg(F.count(F.lit(1)).alias("n_outliers"))
-    return out.join(fl, by, "left").withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
+    return out.select(*by, "n", "mean", "q1", "median", "q3", "iqr", whislo.alias("whislo"), whishi.alias("whishi"),
+                      (F.col("median") - half).alias("notch_lo"), (F.col("median") + half).alias("notch_hi"),
+                      "n_outliers")
 
 
 def box_outliers(df: DataFrame, by=("event",), whis: float = WHIS, box: DataFrame | None = None) -> DataFrame:
@@ -73,7 +74,8 @@ def box_source(df: DataFrame, stats=("mean", "median", "std"), interval=None, so
                by=("event",), tie: str | None = None, **rolling_kw) -> DataFrame:
     """The series each box summarises, as (by..., statistic, value).
 
-    ``source='rolling'``: the rolling outputs, one box per statistic.
+    ``source='rolling'``: the rolling outputs, one box per statistic (computed
+    once into the checkpoint folder, since the box reads them several times).
     ``source='raw'``: the raw values once (the original repeated them per
     statistic; the repeats carry no information, Q13).
     """
@@ -86,4 +88,5 @@ def box_source(df: DataFrame, stats=("mean", "median", "std"), interval=None, so
         raise ValueError("rolling boxes need an interval")
     r = rolling(df, stats, interval, by=by, tie=tie, **rolling_kw)
     stacked = F.inline(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in stats]))
-    return r.select(*by, stacked)
+    # the box makes several passes: compute the windows once into the checkpoint folder
+    return materialize(r.select(*by, stacked), "box-source")
