@@ -97,6 +97,12 @@ def bucket_widths(df: DataFrame, by: list[str], min_us: int, target_rows: int =
     return materialize(peak.select(*by, width.cast("long").alias("_bw")), "bucket-widths")
 
 
+def _with_copies(df: DataFrame, bucket: Column, to_next: Column, name: str) -> DataFrame:
+    """Each row in its bucket (``_own``) and, where ``to_next``, a copy in the next bucket."""
+    targets = F.when(to_next, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
+    return df.withColumn(name, F.explode(targets)).withColumn("_own", F.col(name) == bucket)
+
+
 # ---- row windows -------------------------------------------------------------
 
 def _rows_frame_cols(n: int, stats, w) -> list[Column]:
@@ -113,10 +119,9 @@ def _rolling_rows(df, stats, n, by, tie, split, chunk_rows, target_rows=TARGET_B
     idx = with_row_index(df, by, tie, target_rows)
     chunk = max(int(chunk_rows), 8 * n)
     c = F.floor(F.col("_idx") / chunk)
-    own = idx.withColumn("_c", c).withColumn("_own", F.lit(True))
-    halo = idx.where((F.col("_idx") % chunk) >= chunk - (n - 1)) \
-        .withColumn("_c", c + 1).withColumn("_own", F.lit(False))
-    both = own.unionByName(halo) if n > 1 else own
+    # one pass: every row goes to its chunk; the last n-1 rows of a chunk also to the next one
+    halo = (F.col("_idx") % chunk) >= chunk - (n - 1)
+    both = _with_copies(idx, c, halo, "_c")
     w = Window.partitionBy(*by, "_c").orderBy("_idx").rowsBetween(-(n - 1), 0)
     return both.select(*cols, "_own", *_rows_frame_cols(n, stats, w)).where("_own").drop("_own")
 
@@ -173,9 +178,8 @@ def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_ro
         sized = df
         width = F.lit(max_width)
     b = F.floor(t / width)
-    own = sized.withColumn("_b", b).withColumn("_own", F.lit(True))
-    halo = sized.where(t > (b + 1) * width - w_us).withColumn("_b", b + 1).withColumn("_own", F.lit(False))
-    both = own.unionByName(halo)
+    # one pass: every row goes to its bucket; the rows of a bucket's last span also to the next one
+    both = _with_copies(sized, b, t > (b + 1) * width - w_us, "_b")
     if ties == "peers":
         keyed = both.withColumn("_key", t)
         frame_lo = -(w_us - 1)
