@@ -26,7 +26,7 @@ WHIS = 1.5
 
 
 def _fences(data: DataFrame, by: list[str], whis: float) -> DataFrame:
-    bounds = materialize(group_bounds(data, "value", by), "box-bounds")
+    bounds = materialize(group_bounds(data, "value", by), "box-bounds", {"max_n": F.max("_n")})
     q = exact_quantiles(data, "value", [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"], bounds=bounds)
     iqr = F.col("q3") - F.col("q1")
     return materialize(q.join(bounds, by).select(
@@ -41,7 +41,7 @@ def box_stats(df: DataFrame, by=("event",), whis: float = WHIS) -> DataFrame:
         raise ValueError("give at least one grouping column (e.g. 'event')")
     data = df.select(*by, "value").where(F.col("value").isNotNull())  # F15
     fences = _fences(data, by, whis)
-    rows = join_small(data, fences.select(*by, "lo_fence", "hi_fence", "q1", "q3"), by)
+    rows = join_small(data, fences, by, cols=[*by, "lo_fence", "hi_fence", "q1", "q3"])
     v = F.col("value")
     # a value lies beyond a whisker exactly when it lies beyond the fence (the whisker is the
     # most extreme value inside the fence, or the quartile when none is), so the outliers
@@ -66,7 +66,7 @@ def box_outliers(df: DataFrame, by=("event",), whis: float = WHIS, box: DataFram
     box = box if box is not None else box_stats(df, by, whis)
     data = df.where(F.col("value").isNotNull())
     v = F.col("value")
-    return join_small(data, box.select(*by, "whislo", "whishi"), by) \
+    return join_small(data, box, by, cols=[*by, "whislo", "whishi"]) \
         .where((v < F.col("whislo")) | (v > F.col("whishi")))
 
 

@@ -39,13 +39,18 @@ def _values(df: DataFrame, by: list[str], drop_any_null: bool) -> DataFrame:
     return data.select(*by, "value").where(F.col("value").isNotNull())
 
 
-def bin_layout(df: DataFrame, by=("event",), bins: int | None = None, drop_any_null: bool = True) -> DataFrame:
-    """Per group: n, first/last edge, number of bins (materialised, small)."""
+def bin_layout(df: DataFrame, by=("event",), bins: int | None = None, drop_any_null: bool = True,
+               bounds: DataFrame | None = None) -> DataFrame:
+    """Per group: n, first/last edge, number of bins (materialised, small).
+
+    ``bounds`` may pass a materialised table with ``_n, _lo, _hi`` per group.
+    """
     by = list(by)
     if not by:
         raise ValueError("give at least one grouping column (e.g. 'event')")
     data = _values(df, by, drop_any_null)
-    bounds = materialize(group_bounds(data, "value", by), "hist-bounds")
+    if bounds is None:
+        bounds = materialize(group_bounds(data, "value", by), "hist-bounds", {"max_n": F.max("_n")})
     n, lo, hi = F.col("_n"), F.col("_lo"), F.col("_hi")
     ptp = hi - lo
     if bins is None:
@@ -86,7 +91,7 @@ def histogram(df: DataFrame, by=("event",), bins: int | None = None, drop_any_nu
     by = list(by)
     layout = bin_layout(df, by, bins, drop_any_null)
     data = _values(df, by, drop_any_null)
-    rows = join_small(data, layout.select(*by, "first_edge", "last_edge", "nbins"), by)
+    rows = join_small(data, layout, by, cols=[*by, "first_edge", "last_edge", "nbins"])
     counts = rows.groupBy(*by, bin_index(F.col("value")).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = layout.select(*by, "first_edge", "last_edge", "nbins",
                          F.explode(F.sequence(F.lit(0).cast("long"), F.col("nbins") - 1)).alias("bin"))
@@ -118,12 +123,14 @@ def kde(df: DataFrame, by=("event",), points: int = KDE_POINTS, drop_any_null: b
         raise ValueError("give at least one grouping column (e.g. 'event')")
     data = _values(df, by, drop_any_null)
     v = F.col("value")
-    st = data.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-                               F.stddev_samp(v).alias("sd"))
-    st = st.where(F.col("sd") > 0).withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    st = materialize(st, "kde-stats")
-    layout = bin_layout(df, by, None, drop_any_null)
-    rows = join_small(data, st.select(*by, "lo", "hi", "h"), by)
+    allst = data.groupBy(*by).agg(F.count(v).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"),
+                                  F.stddev_samp(v).alias("sd"))
+    allst = materialize(allst, "kde-stats", {"max_n": F.max("_n")})
+    layout = bin_layout(df, by, None, drop_any_null, bounds=allst)
+    st = materialize(allst.where(F.col("sd") > 0).select(
+        *by, F.col("_n").alias("n"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"),
+        (F.col("sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("h")), "kde-bandwidth")
+    rows = join_small(data, st, by, cols=[*by, "lo", "hi", "h"])
     step = (F.col("hi") - F.col("lo")) / F.lit(points - 1)
     j = F.col("point")
     x = F.when(j == points - 1, F.col("hi")).otherwise(F.col("lo") + j.cast("double") * step)
@@ -133,9 +140,9 @@ def kde(df: DataFrame, by=("event",), points: int = KDE_POINTS, drop_any_null: b
     sums = spread.groupBy(*by, "point").agg(
         F.sum(F.exp(F.lit(-0.5) * F.pow((x - F.col("value")) / F.col("h"), 2))).alias("_s"))
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
-    stacked = join_small(sums, st.select(*by, "n", "lo", "hi", "h"), by).withColumn("x", x)
+    stacked = join_small(sums, st, by, cols=[*by, "n", "lo", "hi", "h"]).withColumn("x", x)
     binw = (F.col("last_edge") - F.col("first_edge")) / F.col("nbins")
-    out = join_small(stacked, layout.select(*by, binw.alias("bin_width")), by)
+    out = join_small(stacked, layout, by, cols=[*by, binw.alias("bin_width")])
     return out.select(*by, "point", "x", (F.col("_s") / norm).alias("density"),
                       (F.col("_s") / norm * F.col("n") * F.col("bin_width")).alias("count_density"),
                       F.col("h").alias("bandwidth"))

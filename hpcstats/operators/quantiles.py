@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hpcstats.plans.joins import join_small, materialize
+from hpcstats.plans.joins import join_small, materialize, observed
 
 IN_MEMORY_ROWS = 2_000_000
 RANK_ROWS = 1_000_000
@@ -65,11 +65,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
         base = base.withColumn("_g", F.lit(0))
         key = ["_g"]
     if bounds is None:
-        bounds = materialize(group_bounds(base, "_v", key), "bounds")
-    elif not by:
+        bounds = materialize(group_bounds(base, "_v", key), "bounds", {"max_n": F.max("_n")})
+    biggest = observed(bounds).get("max_n") if "max_n" in observed(bounds) else bounds.agg(F.max("_n")).first()[0]
+    if not by and "_g" not in bounds.columns:
         bounds = bounds.withColumn("_g", F.lit(0))
-
-    biggest = bounds.agg(F.max("_n")).first()[0]
     if biggest is None:  # no values at all: empty result with the right schema
         empty = bounds.select(*key, *[F.lit(None).cast("double").alias(n) for n in names]).limit(0)
         return empty.drop("_g") if not by else empty

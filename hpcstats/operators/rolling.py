@@ -33,11 +33,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hpcstats.functions.intervals import Rows, Span
-from hpcstats.plans.joins import join_small, materialize
+from hpcstats.plans.joins import join_small, materialize, observed
 
 STATS = ("mean", "median", "std")
 SPLIT_FACTOR = "auto"
 TARGET_BUCKET_ROWS = 1_000_000   # rows per window partition that `auto` aims at
+MIN_BUCKET_ROWS = 1_000
 CHUNK_ROWS = 1_000_000
 HOUR = 3_600_000_000
 MAX_BUCKET_MICROS = 30 * 24 * HOUR
@@ -76,25 +77,35 @@ def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: s
 # ---- bucket sizing -------------------------------------------------------------
 
 def peak_hourly(df: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: the largest number of rows in one clock hour (a cheap partial aggregate)."""
+    """Per group: the largest number of rows in one clock hour and all rows (cheap partial aggregates)."""
     hb = F.floor(_micros() / HOUR)
     hourly = df.groupBy(*by, hb.alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
-    return hourly.groupBy(*by).agg(F.max("_c").alias("_peak"))
+    return hourly.groupBy(*by).agg(F.max("_c").alias("_peak"), F.sum("_c").alias("_rows"))
+
+
+def bucket_target(spark, total_rows: int, target_rows: int = TARGET_BUCKET_ROWS) -> int:
+    """Rows per bucket: at most ``target_rows``; small inputs still give ~4 buckets per core
+    (but buckets of at least ``MIN_BUCKET_ROWS`` rows)."""
+    slots = max(1, spark.sparkContext.defaultParallelism)
+    return int(min(target_rows, max(MIN_BUCKET_ROWS, total_rows // (4 * slots))))
 
 
 def bucket_widths(df: DataFrame, by: list[str], min_us: int, target_rows: int = TARGET_BUCKET_ROWS,
                   max_us: int = MAX_BUCKET_MICROS) -> DataFrame:
-    """Per group a bucket width (micros): about ``target_rows`` rows at the group's peak
+    """Per group a bucket width (micros): about ``bucket_target`` rows at the group's peak
     hourly rate, never less than ``min_us`` and (if larger) never more than ``max_us``.
-    A hot group gets narrow buckets, a sparse one wide buckets."""
-    peak = peak_hourly(df, by)
+    A hot group gets narrow buckets, a sparse one wide buckets.  Columns: by, _bw, _rows."""
+    peak = materialize(peak_hourly(df, by), "hourly-peaks", {"total": F.sum("_rows")})
+    target = bucket_target(df.sparkSession, observed(peak).get("total") or 0, target_rows)
     per_us = F.col("_peak").cast("double") / F.lit(float(HOUR))
-    width = F.floor(F.lit(float(target_rows)) / per_us)
+    width = F.floor(F.lit(float(target)) / per_us)
     width = F.least(width, F.lit(max(max_us, min_us)))
     width = F.greatest(width, F.lit(min_us))
     if min_us > 0:
         width = F.ceil(width / F.lit(min_us)) * F.lit(min_us)   # whole multiples of the span
-    return materialize(peak.select(*by, width.cast("long").alias("_bw")), "bucket-widths")
+    out = peak.select(*by, width.cast("long").alias("_bw"), "_rows")
+    out._hpcstats_observed = dict(observed(peak), target=target)   # one row per group, as `peak`
+    return out
 
 
 def _with_copies(df: DataFrame, bucket: Column, to_next: Column, name: str) -> DataFrame:
@@ -116,8 +127,9 @@ def _rolling_rows(df, stats, n, by, tie, split, chunk_rows, target_rows=TARGET_B
     if not split:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
         return df.select(*cols, *_rows_frame_cols(n, stats, w))
-    idx = with_row_index(df, by, tie, target_rows)
-    chunk = max(int(chunk_rows), 8 * n)
+    widths = bucket_widths(df, by, 1, target_rows)
+    idx = with_row_index(df, by, tie, widths=widths)
+    chunk = max(8 * n, min(int(chunk_rows), observed(widths)["target"]))
     c = F.floor(F.col("_idx") / chunk)
     # one pass: every row goes to its chunk; the last n-1 rows of a chunk also to the next one
     halo = (F.col("_idx") % chunk) >= chunk - (n - 1)
@@ -127,7 +139,7 @@ def _rolling_rows(df, stats, n, by, tie, split, chunk_rows, target_rows=TARGET_B
 
 
 def with_row_index(df: DataFrame, by: list[str], tie: str | None,
-                   target_rows: int = TARGET_BUCKET_ROWS) -> DataFrame:
+                   target_rows: int = TARGET_BUCKET_ROWS, widths: DataFrame | None = None) -> DataFrame:
     """Add ``_idx``: 0-based position of each row in its group in (time, tie) order.
 
     No global sort: the time axis of each group is cut into buckets of about
@@ -135,8 +147,9 @@ def with_row_index(df: DataFrame, by: list[str], tie: str | None,
     counted, the running offsets are computed on that small table, and
     ``row_number`` runs per bucket.
     """
-    widths = bucket_widths(df, by, 1, target_rows)
-    keyed = join_small(df, widths, by).withColumn("_hb", F.floor(_micros() / F.col("_bw"))).drop("_bw")
+    widths = widths if widths is not None else bucket_widths(df, by, 1, target_rows)
+    keyed = join_small(df, widths, by, cols=[*by, "_bw"]) \
+        .withColumn("_hb", F.floor(_micros() / F.col("_bw"))).drop("_bw")
     counts = keyed.groupBy(*by, "_hb").agg(F.count(F.lit(1)).alias("_cnt"))
     ow = Window.partitionBy(*by).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(ow), F.lit(0)))
@@ -171,7 +184,7 @@ def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_ro
         widths = bucket_widths(df, by, w_us, target_rows)
         # the widest bucket bounds the composite key of row-order ties
         max_width = (widths.agg(F.max("_bw")).first()[0] or w_us) if ties == "row" else None
-        sized = join_small(df, widths, by)
+        sized = join_small(df, widths, by, cols=[*by, "_bw"])
         width = F.col("_bw")
     else:
         max_width = int(split_factor) * w_us
@@ -184,6 +197,9 @@ def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_ro
         keyed = both.withColumn("_key", t)
         frame_lo = -(w_us - 1)
     else:
+        # one shuffle on (group, bucket) serves both the tie-rank window (group, bucket, time)
+        # and the frame window (group, bucket)
+        both = both.repartition(*by, "_b")
         keyed, frame_lo = _composite_key(both, by, tie, ["_b"], t, F.col("_b") * width, w_us, max_width)
     win = Window.partitionBy(*by, "_b").orderBy("_key").rangeBetween(frame_lo, 0)
     out = keyed.select(*cols, "_own", *[_agg(s, F.col("value")).over(win).alias(s) for s in stats])

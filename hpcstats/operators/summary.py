@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hpcstats.operators.quantiles import exact_quantiles
-from hpcstats.plans.joins import materialize
+from hpcstats.plans.joins import materialize, observed
 from hpcstats.schema import EVENT_TO_UNIT, EVENTS
 
 
@@ -44,10 +44,11 @@ def metric_summary(df: DataFrame, metrics=None, stats=("mean", "median", "std"))
         aggs.append(F.avg(v).alias("mean"))
     if "std" in stats:
         aggs.append(F.stddev_samp(v).alias("std"))
-    per_metric = materialize(data.groupBy("event").agg(*aggs), "summary")
+    per_metric = materialize(data.groupBy("event").agg(*aggs), "summary", {"max_n": F.max("n")})
     out = metric_frame(spark, metrics).join(per_metric, "event", "left")
     if "median" in stats:
         bounds = per_metric.where(F.col("n") > 0).select("event", F.col("n").alias("_n"), "_lo", "_hi")
+        bounds._hpcstats_observed = {"max_n": observed(per_metric).get("max_n")}
         med = exact_quantiles(data, "value", [0.5], by=["event"], names=["median"], bounds=bounds)
         out = out.join(med, "event", "left")
     cols = ["event", "unit", F.coalesce(F.col("n"), F.lit(0)).alias("n")]

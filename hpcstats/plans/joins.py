@@ -12,7 +12,9 @@ but are used by a second pass over the samples.  Two rules apply:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hpcstats.session import ensure_checkpoint_dir
@@ -21,25 +23,44 @@ from hpcstats.session import ensure_checkpoint_dir
 BROADCAST_MAX_ROWS = 500_000
 
 
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
+def materialize(df: DataFrame, label: str = "t", observe: dict | None = None) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder (reliable checkpoint).
 
     One job computes and writes it; later plans read the checkpoint instead of
-    recomputing the lineage, and a lost executor does not lose it.
-    ``label`` names the table in error messages only.
+    recomputing the lineage, and a lost executor does not lose it.  The row
+    count (and any ``observe`` metrics, name -> aggregate Column) is collected
+    by the same job and kept on the result (``observed(df)``).
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    obs = Observation(f"hpcstats-{label}-{uuid.uuid4().hex[:12]}")
+    metrics = [F.count(F.lit(1)).alias("rows")] + [c.alias(k) for k, c in (observe or {}).items()]
+    out = df.observe(obs, *metrics).checkpoint(eager=True)
+    out._hpcstats_observed = dict(obs.get)
+    return out
+
+
+def observed(df: DataFrame) -> dict:
+    """Metrics gathered while ``df`` was materialised ({} for other frames)."""
+    return getattr(df, "_hpcstats_observed", {})
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Row-count check of a (materialised) small side; reads at most max_rows+1 rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Row-count check of a small side: known from materialisation, else a bounded count."""
+    rows = observed(df).get("rows")
+    if rows is None:
+        rows = df.limit(max_rows + 1).count()
+    return rows <= max_rows
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", cols=None,
                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join a big frame with a small per-group table; broadcast only if checked small."""
-    if is_small(small, max_rows):
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+    """Join a big frame with a small per-group table; broadcast only if checked small.
+
+    ``cols`` selects the columns of ``small`` to bring along (after the check,
+    so a materialised table keeps its known row count).
+    """
+    small_enough = is_small(small, max_rows)
+    side = small.select(*cols) if cols is not None else small
+    if small_enough:
+        return big.join(F.broadcast(side), on, how)
+    return big.join(side, on, how)
