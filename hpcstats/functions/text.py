@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from hpcstats.schema import EXPORT_TIME_FORMAT
 
-# Python's str.strip() set of ASCII whitespace, as a regex class.
-WS = "[ \\t\\n\\r\\f\\x0B]"
+# The characters Python's str.strip()/float() treat as whitespace, as a Java regex class.
+WS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 
 def _c(col) -> Column:

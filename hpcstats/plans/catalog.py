@@ -439,8 +439,12 @@ def _audit_sql(table: str, checks: list[tuple[str, str, str, str]]) -> str:
     return with_views("\n union all ".join(parts))
 
 
+# the whitespace Python's strip()/float() remove, as an RE2 class
+WS_RE2 = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
 def _trim_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')"
+    return f"regexp_replace({x}, '^{WS_RE2}+|{WS_RE2}+$', '', 'g')"
 
 
 def _list_fail(col: str, prefix: str) -> str:
@@ -448,8 +452,8 @@ def _list_fail(col: str, prefix: str) -> str:
             f"lambda x: regexp_full_match(upper({_trim_sql('x')}), '{prefix}[0-9]+')))")
 
 
-FLOAT_RE2 = ("[ \\t\\n\\r\\f\\v]*[+-]?(?:(?:[0-9](?:_?[0-9])*\\.(?:[0-9](?:_?[0-9])*)?|\\.[0-9](?:_?[0-9])*"
-             "|[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?|(?i:inf|infinity|nan))[ \\t\\n\\r\\f\\v]*")
+FLOAT_RE2 = (f"{WS_RE2}*[+-]?(?:(?:[0-9](?:_?[0-9])*\\.(?:[0-9](?:_?[0-9])*)?|\\.[0-9](?:_?[0-9])*"
+             f"|[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?|(?i:inf|infinity|nan)){WS_RE2}*")
 
 
 def _num_fail(col: str) -> str:

@@ -82,3 +82,15 @@ def test_queue_exitcode_choices(spark):
     df = spark.createDataFrame([("gpu-debug", "NODE_FAIL"), ("fast", "OK")], "queue string, exitcode string")
     got = {r["rule"]: r["n_failed"] for r in audit(df, rules).collect()}
     assert got == {"queue_choice": 1, "exitcode_choice": 1}
+
+
+def test_python_whitespace_and_case_rules(spark):
+    """str.strip()/float() remove Unicode whitespace; upper() maps the long s to S."""
+    jid = [r for r in job_rules() if r.column == "jid"][0]
+    user = [r for r in job_rules() if r.column == "username"][0]
+    num = [r for r in job_rules() if r.column == "ncores"][0]
+    df = spark.createDataFrame([("\u00a0JOB1\u2003, job2", "u\u017fer5", "\u30001.5\u00a0")],
+                               "jid string, username string, ncores string")
+    r = df.select(jid.check.alias("a"), user.check.alias("b"), num.check.alias("c")).first()
+    assert (r["a"], r["b"], r["c"]) == (True, True, True)
+    assert float("\u30001.5\u00a0") == 1.5 and "u\u017fer5".upper() == "USER5"
