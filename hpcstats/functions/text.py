@@ -48,7 +48,7 @@ def stamp_py(value) -> str:
 
 def whole_days(start, end) -> Column:
     """Whole days between two times (floored)."""
-    return F.timestampdiff("DAY", _c(start), _c(end))
+    return F.timestamp_diff("DAY", _c(start), _c(end))
 
 
 def fixed(col, decimals: int = 2) -> Column:

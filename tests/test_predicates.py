@@ -85,3 +85,32 @@ def test_jdbc_options_need_all_variables():
     opts = jdbc_options("job_data", env={"DBHOST": "h", "DBNAME": "d", "DBUSER": "u", "DBPW": "p"},
                         partition_column="jid_num", lower_bound=0, upper_bound=100, num_partitions=8)
     assert opts["url"] == "jdbc:postgresql://h:5432/d" and opts["numPartitions"] == "8"
+
+
+def test_read_job_and_parameterised_sql(spark, tmp_path):
+    from hpcstats.sources.readers import read_job, run_sql
+    jobs = job_view(spark, SF_SMALL)
+    path = str(tmp_path / "jobs")
+    jobs.write.parquet(path)
+    back = read_job(spark, path)
+    assert back.columns[:3] == ["jid", "submit_time", "start_time"] and back.count() == jobs.count()
+    got = run_sql(spark, "select count(*) from jobs where queue = :q and ncores < :c", {"q": "debug", "c": 700.5},
+                  views={"jobs": back}).first()[0]
+    assert got == jobs.where("queue = 'debug' and ncores < 700.5").count()
+
+
+def test_order_by_must_be_selected(spark):
+    h = host_view(spark, SF_SMALL)
+    with pytest.raises(ValueError, match="ORDER BY"):
+        extract(h, FilterSpec("host", columns=("host",), order_by=("value",)))
+    out = extract(h, FilterSpec("host", columns=("host",), distinct=True, order_by=("host",)))
+    assert [r["host"] for r in out.collect()] == sorted({r["host"] for r in h.select("host").collect()})
+
+
+def test_time_text_functions(spark):
+    from hpcstats.functions.text import fixed, stamp, whole_days
+    df = spark.createDataFrame([("2024-01-01 00:00:00", "2024-01-06 23:59:59", 3.14159)], "s string, e string, v double") \
+        .select(F.to_timestamp_ntz("s").alias("s"), F.to_timestamp_ntz("e").alias("e"), "v")
+    r = df.select(stamp("e").alias("st"), whole_days("s", "e").alias("d"), fixed("v").alias("f"),
+                  fixed("v", 10).alias("f10")).first()
+    assert (r["st"], r["d"], r["f"], r["f10"]) == ("2024-01-06-23-59-59", 5, "3.14", "3.1415900000")
