@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hpcstats.functions.intervals import Rows, Span
 from hpcstats.plans.joins import join_small, materialize, observed
@@ -39,6 +40,7 @@ STATS = ("mean", "median", "std")
 SPLIT_FACTOR = "auto"
 TARGET_BUCKET_ROWS = 1_000_000   # rows per window partition that `auto` aims at
 MIN_BUCKET_ROWS = 1_000
+PANDAS_FRAME_ROWS = 1_000        # `auto` engine: larger frames go to pandas' rolling
 CHUNK_ROWS = 1_000_000
 HOUR = 3_600_000_000
 MAX_BUCKET_MICROS = 30 * 24 * HOUR
@@ -60,17 +62,19 @@ def _micros(col: str = "time") -> Column:
 
 def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: str | None = None,
             ties: str = "peers", split: bool = True, split_factor=SPLIT_FACTOR,
-            chunk_rows: int = CHUNK_ROWS, target_rows: int = TARGET_BUCKET_ROWS) -> DataFrame:
+            chunk_rows: int = CHUNK_ROWS, target_rows: int = TARGET_BUCKET_ROWS, engine: str = "auto") -> DataFrame:
     stats = [stats] if isinstance(stats, str) else list(stats)
     for s in stats:
         _agg(s, F.col("value"))  # validate names early
     by = list(by)
     if ties not in ("peers", "row"):
         raise ValueError("ties must be 'peers' or 'row'")
+    if engine not in ("auto", "spark", "pandas"):
+        raise ValueError("engine must be 'auto', 'spark' or 'pandas'")
     if isinstance(interval, Rows):
-        return _rolling_rows(df, stats, interval.n, by, tie, split, chunk_rows, target_rows)
+        return _rolling_rows(df, stats, interval.n, by, tie, split, chunk_rows, target_rows, engine)
     if isinstance(interval, Span):
-        return _rolling_span(df, stats, interval.micros, by, tie, ties, split, split_factor, target_rows)
+        return _rolling_span(df, stats, interval.micros, by, tie, ties, split, split_factor, target_rows, engine)
     raise ValueError("interval must be Rows(n) or Span(n, unit)")
 
 
@@ -95,7 +99,7 @@ def bucket_widths(df: DataFrame, by: list[str], min_us: int, target_rows: int =
     """Per group a bucket width (micros): about ``bucket_target`` rows at the group's peak
     hourly rate, never less than ``min_us`` and (if larger) never more than ``max_us``.
     A hot group gets narrow buckets, a sparse one wide buckets.  Columns: by, _bw, _rows."""
-    peak = materialize(peak_hourly(df, by), "hourly-peaks", {"total": F.sum("_rows")})
+    peak = materialize(peak_hourly(df, by), "hourly-peaks", {"total": F.sum("_rows"), "max_peak": F.max("_peak")})
     target = bucket_target(df.sparkSession, observed(peak).get("total") or 0, target_rows)
     per_us = F.col("_peak").cast("double") / F.lit(float(HOUR))
     width = F.floor(F.lit(float(target)) / per_us)
@@ -121,7 +125,7 @@ def _rows_frame_cols(n: int, stats, w) -> list[Column]:
     return [F.when(full, _agg(s, F.col("value")).over(w)).alias(s) for s in stats]
 
 
-def _rolling_rows(df, stats, n, by, tie, split, chunk_rows, target_rows=TARGET_BUCKET_ROWS):
+def _rolling_rows(df, stats, n, by, tie, split, chunk_rows, target_rows=TARGET_BUCKET_ROWS, engine="spark"):
     order = [F.col("time")] + ([F.col(tie)] if tie else [])
     cols = df.columns
     if not split:
@@ -134,8 +138,14 @@ def _rolling_rows(df, stats, n, by, tie, split, chunk_rows, target_rows=TARGET_B
     # one pass: every row goes to its chunk; the last n-1 rows of a chunk also to the next one
     halo = (F.col("_idx") % chunk) >= chunk - (n - 1)
     both = _with_copies(idx, c, halo, "_c")
-    w = Window.partitionBy(*by, "_c").orderBy("_idx").rowsBetween(-(n - 1), 0)
-    return both.select(*cols, "_own", *_rows_frame_cols(n, stats, w)).where("_own").drop("_own")
+    in_jvm, in_pandas = _engines(engine, stats, n)
+    if in_jvm:
+        w = Window.partitionBy(*by, "_c").orderBy("_idx").rowsBetween(-(n - 1), 0)
+        both = both.select(*cols, "_c", "_idx", "_own", *_rows_frame_cols(n, in_jvm, w))
+    if in_pandas:
+        return _reorder(_bucket_frames(both, in_pandas, ("rows", n), "peers", by, "_c", ["_idx"],
+                                       cols + in_jvm), cols, stats)
+    return both.where("_own").select(*cols, *stats)
 
 
 def with_row_index(df: DataFrame, by: list[str], tie: str | None,
@@ -169,7 +179,8 @@ def _tie_rank(df: DataFrame, by: list[str], tie: str | None, extra: list[str]) -
     return df.withColumn("_r", F.row_number().over(w) - 1)
 
 
-def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_rows=TARGET_BUCKET_ROWS):
+def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_rows=TARGET_BUCKET_ROWS,
+                  engine="spark"):
     cols = df.columns
     t = _micros()
     if not split:
@@ -180,10 +191,11 @@ def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_ro
             keyed, frame_lo = _composite_key(df, by, tie, [], t, None, w_us)
         win = Window.partitionBy(*by).orderBy("_key").rangeBetween(frame_lo, 0)
         return keyed.select(*cols, *[_agg(s, F.col("value")).over(win).alias(s) for s in stats])
+    frame_rows = 0
     if split_factor == "auto":
         widths = bucket_widths(df, by, w_us, target_rows)
-        # the widest bucket bounds the composite key of row-order ties
-        max_width = (widths.agg(F.max("_bw")).first()[0] or w_us) if ties == "row" else None
+        frame_rows = (observed(widths).get("max_peak") or 0) * max(1.0, w_us / HOUR)
+        max_width = None   # found below, only if the composite key needs it
         sized = join_small(df, widths, by, cols=[*by, "_bw"])
         width = F.col("_bw")
     else:
@@ -193,17 +205,87 @@ def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_ro
     b = F.floor(t / width)
     # one pass: every row goes to its bucket; the rows of a bucket's last span also to the next one
     both = _with_copies(sized, b, t > (b + 1) * width - w_us, "_b")
+    in_jvm, in_pandas = _engines(engine, stats, frame_rows)
+    order = ["time"] + ([tie] if tie else [])
+    if not in_jvm:
+        return _reorder(_bucket_frames(both, in_pandas, ("span", w_us), ties, by, "_b", order, cols), cols, stats)
     if ties == "peers":
         keyed = both.withColumn("_key", t)
         frame_lo = -(w_us - 1)
     else:
+        if max_width is None:   # the widest bucket bounds the composite key of row-order ties
+            max_width = widths.agg(F.max("_bw")).first()[0] or w_us
         # one shuffle on (group, bucket) serves both the tie-rank window (group, bucket, time)
         # and the frame window (group, bucket)
         both = both.repartition(*by, "_b")
         keyed, frame_lo = _composite_key(both, by, tie, ["_b"], t, F.col("_b") * width, w_us, max_width)
     win = Window.partitionBy(*by, "_b").orderBy("_key").rangeBetween(frame_lo, 0)
-    out = keyed.select(*cols, "_own", *[_agg(s, F.col("value")).over(win).alias(s) for s in stats])
-    return out.where("_own").drop("_own")
+    out = keyed.select(*cols, "_b", "_own", *[_agg(s, F.col("value")).over(win).alias(s) for s in in_jvm])
+    if in_pandas:
+        # the window output is already clustered by (group, bucket): no further shuffle
+        return _reorder(_bucket_frames(out, in_pandas, ("span", w_us), ties, by, "_b", order, cols + in_jvm),
+                        cols, stats)
+    return out.where("_own").select(*cols, *stats)
+
+
+# ---- pandas engine for bounded buckets ---------------------------------------------
+
+def _engines(engine: str, stats, frame_rows: float) -> tuple[list[str], list[str]]:
+    """Which statistics run as JVM window functions and which in pandas' rolling.
+
+    Spark's sliding frames recompute every frame row by row (O(rows x frame))
+    and its median boxes every value; pandas' rolling is O(rows) for mean/std
+    and O(rows log frame) for the median.  `auto`: small frames keep mean/std
+    in generated JVM code (a plain frame sum, as SQL engines give) and send
+    only the median to pandas; large frames send everything to pandas.
+    """
+    stats = list(stats)
+    if engine == "spark":
+        return stats, []
+    if engine == "pandas" or frame_rows > PANDAS_FRAME_ROWS:
+        return [], stats
+    return [s for s in stats if s != "median"], [s for s in stats if s == "median"]
+
+
+def _reorder(df: DataFrame, cols, stats) -> DataFrame:
+    return df.select(*cols, *stats)
+
+
+def _bucket_frames(both: DataFrame, stats, kind, ties, by, bucket, order, cols) -> DataFrame:
+    """Rolling statistics per (group, bucket) with pandas' rolling on the bucket rows.
+
+    A bucket holds about ``TARGET_BUCKET_ROWS`` rows plus its halo, so each
+    group handed to pandas is bounded; Spark does the bucketing and shuffle.
+    """
+    import numpy as np
+    import pandas as pd
+
+    mode, param = kind
+    keep = list(dict.fromkeys([*cols, *by]))
+    inputs = list(dict.fromkeys([*keep, *order, bucket, "_own"]))
+    schema = T.StructType([both.schema[c] for c in keep] + [T.StructField(s, T.DoubleType()) for s in stats])
+
+    def frames(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
+        values = pd.to_numeric(pdf["value"], errors="coerce").astype("float64").to_numpy()
+        if mode == "span":
+            index = pd.DatetimeIndex(pdf["time"])
+            roll = pd.Series(values, index=index).rolling(pd.Timedelta(microseconds=param))
+        else:
+            roll = pd.Series(values).rolling(int(param))
+        own = pdf["_own"].to_numpy(dtype=bool)
+        out = pdf.loc[own, keep].reset_index(drop=True)
+        for stat in stats:
+            res = getattr(roll, stat)().to_numpy()
+            if mode == "span" and ties == "peers":
+                # all rows of one timestamp see the frame of its last row
+                ts = index.asi8
+                res = res[np.searchsorted(ts, ts, side="right") - 1]
+            out[stat] = res[own]
+        return out
+
+    res = both.select(*inputs).groupBy(*by, bucket).applyInPandas(frames, schema)
+    return res.select(*keep, *[F.when(F.isnan(s), F.lit(None)).otherwise(F.col(s)).alias(s) for s in stats])
 
 
 def _composite_key(df, by, tie, extra, t, origin, w_us, width=None):

@@ -65,12 +65,13 @@ def test_nan_is_missing(spark):
     assert empty["ratio_outside"] is None
 
 
-def test_ties_peers_and_row(spark):
+@pytest.mark.parametrize("engine", ["spark", "pandas"])
+def test_ties_peers_and_row(spark, engine):
     df = host_frame(spark, _rows([1, 2, 3, 4], minutes=[0, 1, 1, 2]))
-    peers = rolling(df, ["mean"], Span(1, "Minutes"), tie="event_id").orderBy("event_id").collect()
+    peers = rolling(df, ["mean"], Span(1, "Minutes"), tie="event_id", engine=engine).orderBy("event_id").collect()
     assert [r["mean"] for r in peers] == [1.0, 2.5, 2.5, 4.0]
     for split in (False, True):
-        row = rolling(df, ["mean"], Span(1, "Minutes"), tie="event_id", ties="row", split=split) \
+        row = rolling(df, ["mean"], Span(1, "Minutes"), tie="event_id", ties="row", split=split, engine=engine) \
             .orderBy("event_id").collect()
         assert [r["mean"] for r in row] == [1.0, 2.0, 2.5, 4.0]
 
@@ -86,8 +87,8 @@ def test_interval_rules():
     assert parse_interval("None") is None and parse_interval("Count", 4) == Rows(4)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_rolling_random_against_pandas(spark, seed):
+@pytest.mark.parametrize("seed,engine", [(1, "auto"), (2, "spark"), (3, "pandas")])
+def test_rolling_random_against_pandas(spark, seed, engine):
     rng = np.random.default_rng(seed)
     n = 400
     minutes = np.sort(rng.integers(0, 600, n))           # many equal timestamps
@@ -101,14 +102,14 @@ def test_rolling_random_against_pandas(spark, seed):
     # row windows
     for split in (False, True):
         got = rolling(df, ["mean", "median", "std"], Rows(7), tie="event_id", split=split,
-                      chunk_rows=50).orderBy("event_id").toPandas()
+                      chunk_rows=50, engine=engine).orderBy("event_id").toPandas()
         want = {"mean": ser.rolling(7).mean(), "median": ser.rolling(7).median(), "std": ser.rolling(7).std()}
         for stat in want:
             assert all(_close(a, b) for a, b in zip(got[stat], want[stat].values)), (stat, split)
     # time windows, row order ties (pandas rule)
     for split in (False, True):
         got = rolling(df, ["mean", "median", "std"], Span(30, "Minutes"), tie="event_id", ties="row",
-                      split=split, split_factor=2).orderBy("event_id").toPandas()
+                      split=split, split_factor=2, engine=engine).orderBy("event_id").toPandas()
         want = {"mean": ser.rolling("30min").mean(), "median": ser.rolling("30min").median(),
                 "std": ser.rolling("30min").std()}
         for stat in want:
