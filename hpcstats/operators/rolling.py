@@ -71,6 +71,7 @@ def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: s
         raise ValueError("ties must be 'peers' or 'row'")
     if engine not in ("auto", "spark", "pandas"):
         raise ValueError("engine must be 'auto', 'spark' or 'pandas'")
+    tie = tie_columns(df, by, tie)
     if isinstance(interval, Rows):
         return _rolling_rows(df, stats, interval.n, by, tie, split, chunk_rows, target_rows, engine)
     if isinstance(interval, Span):
@@ -78,6 +79,18 @@ def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: s
     raise ValueError("interval must be Rows(n) or Span(n, unit)")
 
 
+def tie_columns(df: DataFrame, by, tie) -> list[str]:
+    """Order among rows of one timestamp: the given tie key, else every other column.
+
+    A total order keeps results the same when a lost stage is recomputed
+    (rows equal in every column are interchangeable)."""
+    if isinstance(tie, str):
+        return [tie]
+    if tie:
+        return list(tie)
+    return sorted(c for c in df.columns if c != "time" and c not in by)
+
+
 # ---- bucket sizing -------------------------------------------------------------
 
 def peak_hourly(df: DataFrame, by: list[str]) -> DataFrame:
@@ -126,7 +139,7 @@ def _rows_frame_cols(n: int, stats, w) -> list[Column]:
 
 
 def _rolling_rows(df, stats, n, by, tie, split, chunk_rows, target_rows=TARGET_BUCKET_ROWS, engine="spark"):
-    order = [F.col("time")] + ([F.col(tie)] if tie else [])
+    order = [F.col("time")] + [F.col(c) for c in tie]
     cols = df.columns
     if not split:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
@@ -148,7 +161,7 @@ def _rolling_rows(df, stats, n, by, tie, split, chunk_rows, target_rows=TARGET_B
     return both.where("_own").select(*cols, *stats)
 
 
-def with_row_index(df: DataFrame, by: list[str], tie: str | None,
+def with_row_index(df: DataFrame, by: list[str], tie: list[str],
                    target_rows: int = TARGET_BUCKET_ROWS, widths: DataFrame | None = None) -> DataFrame:
     """Add ``_idx``: 0-based position of each row in its group in (time, tie) order.
 
@@ -164,7 +177,7 @@ def with_row_index(df: DataFrame, by: list[str], tie: str | None,
     ow = Window.partitionBy(*by).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(ow), F.lit(0)))
                           .drop("_cnt"), "row-offsets")
-    order = [F.col("time")] + ([F.col(tie)] if tie else [])
+    order = [F.col("time")] + [F.col(c) for c in tie]
     rw = Window.partitionBy(*by, "_hb").orderBy(*order)
     joined = join_small(keyed, offsets, [*by, "_hb"])
     return joined.withColumn("_idx", F.col("_off") + F.row_number().over(rw) - 1).drop("_hb", "_off")
@@ -172,9 +185,9 @@ def with_row_index(df: DataFrame, by: list[str], tie: str | None,
 
 # ---- time-span windows -----------------------------------------------------------
 
-def _tie_rank(df: DataFrame, by: list[str], tie: str | None, extra: list[str]) -> DataFrame:
+def _tie_rank(df: DataFrame, by: list[str], tie: list[str], extra: list[str]) -> DataFrame:
     """r = position of a row among the rows of the same timestamp (0-based)."""
-    order = [F.col(tie)] if tie else [F.monotonically_increasing_id()]
+    order = [F.col(c) for c in tie]
     w = Window.partitionBy(*by, *extra, "time").orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w) - 1)
 
@@ -206,7 +219,7 @@ def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_ro
     # one pass: every row goes to its bucket; the rows of a bucket's last span also to the next one
     both = _with_copies(sized, b, t > (b + 1) * width - w_us, "_b")
     in_jvm, in_pandas = _engines(engine, stats, frame_rows)
-    order = ["time"] + ([tie] if tie else [])
+    order = ["time"] + tie
     if not in_jvm:
         return _reorder(_bucket_frames(both, in_pandas, ("span", w_us), ties, by, "_b", order, cols), cols, stats)
     if ties == "peers":
