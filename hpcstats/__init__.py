@@ -1,0 +1,11 @@
+"""hpcstats: distributed statistics over supercomputer job records and resource-usage samples."""
+
+import sys as _sys
+
+try:  # ship this package's functions with the tasks (pickle by value), so Python workers
+    # need not find `hpcstats` on their own path (e.g. a driver started from another folder)
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle: workers need the package installed
+    pass
