@@ -72,7 +72,7 @@ def series_columns(df: DataFrame, extra: list[str] | tuple = ()) -> DataFrame:
     return df.select(*needed)
 
 
-def with_unit(df: DataFrame, spark=None) -> DataFrame:
+def with_unit(df: DataFrame, name: str = "unit") -> DataFrame:
     """Unit of each event from the six-row metric dimension.
 
     The dimension is a literal map, so this is a projection, not a join.
@@ -81,4 +81,4 @@ def with_unit(df: DataFrame, spark=None) -> DataFrame:
     pairs = []
     for event, unit in EVENT_TO_UNIT.items():
         pairs += [F.lit(event), F.lit(unit)]
-    return df.withColumn("unit", F.create_map(*pairs)[F.col("event")])
+    return df.withColumn(name, F.create_map(*pairs)[F.col("event")])

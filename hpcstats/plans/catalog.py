@@ -22,7 +22,7 @@ from hpcstats.functions.text import clean_text, split_trim
 from hpcstats.operators.box import box_outliers, box_source, box_stats
 from hpcstats.operators.correlation import common_times, paired_points, pearson, pearson_pairs
 from hpcstats.operators.distribution import cdf, histogram, kde
-from hpcstats.operators.extract import extract, row_count
+from hpcstats.operators.extract import extract, row_count, with_unit
 from hpcstats.operators.quality import audit, quarantine
 from hpcstats.operators.rolling import rolling
 from hpcstats.operators.summary import metric_summary, outside_ratio
@@ -96,6 +96,10 @@ def q_union_sources(spark, sf):
     return union_sources(parts).groupBy("event").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def q_unit_lookup(spark, sf):
+    return with_unit(host_view(spark, sf).select("event", "unit").distinct(), "dim_unit")
+
+
 # ---------------------------------------------------------------------------- job extract
 
 def q_job_window(spark, sf):
@@ -116,6 +120,13 @@ def q_job_filter_like_in(spark, sf):
     return extract(job_view(spark, sf), spec)
 
 
+def q_job_window_in_list(spark, sf):
+    spec = FilterSpec.with_default_cap("job", window=JOB_WINDOW, columns=("jid", "start_time", "queue", "ngpus"),
+                                       in_column="queue", in_values="debug, highmem",
+                                       order_by=("start_time", "jid"), limit=50).add("ngpus", ">=", "4")
+    return extract(job_view(spark, sf), spec)
+
+
 def q_job_distinct_queue(spark, sf):
     return extract(job_view(spark, sf), FilterSpec("job", columns=("queue", "exitcode"), distinct=True))
 
@@ -168,6 +179,16 @@ def q_rolling_by_host(spark, sf):
     return rnd(rolling(h, ["mean"], Span(6, "Hours"), by=("event", "host"), tie="event_id"), ["mean"])
 
 
+def q_rolling_count_by_host(spark, sf):
+    h = host_view(spark, sf).select("event_id", "time", "event", "host", "value")
+    stats = ["mean", "std"]
+    return rnd(rolling(h, stats, Rows(3), by=("event", "host"), tie="event_id"), stats)
+
+
+def q_histogram_fixed_bins(spark, sf):
+    return rnd(histogram(host_view(spark, sf), bins=20), ["bin_lo", "bin_hi"])
+
+
 def q_histogram(spark, sf):
     return rnd(histogram(host_view(spark, sf)), ["bin_lo", "bin_hi"])
 
@@ -248,7 +269,9 @@ QUERIES = {
     "row_count": q_row_count,
     "raw_series": q_raw_series,
     "union_sources": q_union_sources,
+    "unit_lookup": q_unit_lookup,
     "job_window": q_job_window,
+    "job_window_in_list": q_job_window_in_list,
     "job_filter_typed": q_job_filter_typed,
     "job_filter_like_in": q_job_filter_like_in,
     "job_distinct_queue": q_job_distinct_queue,
@@ -267,7 +290,9 @@ QUERIES = {
     "rolling_time_plain": _roll(["mean", "median", "std"], Span(3, "Hours"), split=False),
     "rolling_time_ties": q_rolling_ties,
     "rolling_by_host": q_rolling_by_host,
+    "rolling_count_by_host": q_rolling_count_by_host,
     "histogram": q_histogram,
+    "histogram_fixed_bins": q_histogram_fixed_bins,
     "cdf": q_cdf,
     "kde": q_kde,
     "box_raw": q_box_raw,
@@ -323,8 +348,10 @@ def _rolling_span_sql(stats, micros, by="event", extra="") -> str:
     return with_views(f"select event_id, time, event, {extra}value, {cols} from host_data window w as ({frame})")
 
 
-def _bins_sql(source: str) -> str:
+def _bins_sql(source: str, bins: int | None = None) -> str:
     """CTEs v (values), lay (layout), hist (histogram) on top of `source` rows (event, value)."""
+    nb = ("case when w > 0 then cast(ceil((hi - lo) / w) as bigint) else 1 end" if bins is None
+          else f"cast({int(bins)} as bigint)")
     return f"""
 , v as ({source})
 , st as (select event, count(*) as n, min(value) as lo, max(value) as hi,
@@ -335,7 +362,7 @@ def _bins_sql(source: str) -> str:
 , lay as (select event, n,
                  case when lo = hi then lo - 0.5 else lo end as fe,
                  case when lo = hi then hi + 0.5 else hi end as le,
-                 case when w > 0 then cast(ceil((hi - lo) / w) as bigint) else 1 end as nb from wd)
+                 {nb} as nb from wd)
 , b1 as (select v.event, v.value, l.fe, l.le, l.nb, (l.le - l.fe) / l.nb as step,
                 least(cast(floor((v.value - l.fe) / (l.le - l.fe) * l.nb) as bigint), l.nb - 1) as i1
          from v join lay l on v.event = l.event)
@@ -513,6 +540,22 @@ def oracle() -> dict[str, str]:
         "raw_series": with_views(
             "select event_id, time, value from host_data where event = 'cpuuser' order by time, event_id"),
         "union_sources": with_views("select event, count(*) as n_rows from host_data group by event"),
+        "unit_lookup": with_views("""
+select distinct event, unit, case event when 'cpuuser' then 'CPU %' when 'gpu_usage' then 'GPU %'
+       when 'memused' then 'GB:memused' when 'memused_minus_diskcache' then 'GB:memused_minus_diskcache'
+       when 'block' then 'GB/s' when 'nfs' then 'MB/s' end as dim_unit
+from host_data"""),
+        "job_window_in_list": with_views(
+            f"select jid, start_time, queue, ngpus from job_data where ngpus >= 4 and {jw} "
+            "and queue in ('debug', 'highmem') order by start_time asc nulls last, jid asc nulls last limit 50"),
+        "rolling_count_by_host": with_views("""
+select event_id, time, event, host, value,
+       round(case when count(value) over w >= 3 then avg(value) over w end, 6) as mean,
+       round(case when count(value) over w >= 3 then stddev_samp(value) over w end, 6) as std
+from host_data window w as (partition by event, host order by time, event_id rows between 2 preceding and current row)"""),
+        "histogram_fixed_bins": with_views(_bins_sql(f"select event, value from host_data where {NOT_NULL_ROW}", 20)
+                                           + """
+select event, bin, round(bin_lo, 6) as bin_lo, round(bin_hi, 6) as bin_hi, count from hist"""),
         "job_window": with_views(
             f"select jid, submit_time, start_time, end_time, queue, nhosts from job_data where {jw}"),
         "job_filter_typed": with_views(
