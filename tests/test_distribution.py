@@ -108,3 +108,16 @@ def test_box_source_rolling(spark):
     assert box_source(h, source="raw").count() == h.count()
     with pytest.raises(ValueError):
         box_source(h, source="other")
+
+
+def test_kde_reach_skips_only_zero_terms(spark):
+    # enough rows that a row reaches only part of the grid (bandwidth << range)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(0, 1, 200_000), rng.normal(40, 0.5, 100_000), [-3000.0, 9000.0]])
+    pdf = pd.DataFrame({"event": "cpuuser", "value": x})
+    got = kde(spark.createDataFrame(pdf)).orderBy("point").toPandas()
+    bw = x.std(ddof=1) * len(x) ** (-0.2)
+    assert 40 * bw < (x.max() - x.min()) / 4          # the reach really cuts the grid
+    grid = np.linspace(x.min(), x.max(), 200)
+    dens = np.array([np.exp(-0.5 * ((g - x) / bw) ** 2).sum() for g in grid]) / (len(x) * bw * math.sqrt(2 * math.pi))
+    assert np.allclose(got["density"].to_numpy(), dens, rtol=1e-9, atol=0)
