@@ -171,3 +171,18 @@ def test_exact_quantiles_global_and_empty(spark):
     assert r[0] == 4.5
     empty = exact_quantiles(df.where("value > 100"), "value", [0.5], by=[])
     assert empty.count() == 0
+
+
+def test_refinement_on_shared_table(spark):
+    from hpcstats.sources.shared_tables import host_view
+    from conftest import SF_CHECK
+    h = host_view(spark, SF_CHECK)
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    forced = exact_quantiles(h, "value", probs, by=["event"], in_memory_rows=0, rank_rows=100, buckets=16)
+    direct = exact_quantiles(h, "value", probs, by=["event"])
+    pdf = h.select("event", "value").toPandas()
+    a, b = forced.toPandas().set_index("event"), direct.toPandas().set_index("event")
+    for event, sub in pdf.groupby("event"):
+        want = np.percentile(sub["value"].dropna(), [p * 100 for p in probs])
+        for col, w in zip(a.columns, want):
+            assert _close(a.loc[event, col], w, 1e-12) and _close(b.loc[event, col], w, 1e-12)
