@@ -11,8 +11,8 @@ common times -> no number (status says why); a constant series -> NULL r
 (``covar_pop / (sd_x * sd_y)`` with a safe divide instead of ``corr``).
 
 ``pearson_pairs`` does all pairs of a metric list in one plan: the per-time
-first values of *all* metrics are built once (one shuffle), then a single
-global aggregate computes the sums of every pair in the same pass.
+first values of *all* metrics are built once (one shuffle), then every time
+row is spread over the pairs and aggregated per pair in the same pass.
 """
 
 from __future__ import annotations
@@ -56,27 +56,32 @@ def common_times(df: DataFrame, metric_x: str, metric_y: str, time_col: str = "t
     return a.intersect(b)
 
 
-def _pair_aggs(i: int, j: int, q: int) -> list:
-    both = (F.col(f"_has{i}") == 1) & (F.col(f"_has{j}") == 1)
-    x, y = F.col(f"_v{i}"), F.col(f"_v{j}")
-    return [
-        F.count_if(F.col(f"_has{i}") == 1).alias(f"n_x{q}"),
-        F.count_if(F.col(f"_has{j}") == 1).alias(f"n_y{q}"),
-        F.count_if(both).alias(f"n{q}"),
-        F.count_if(both & (x.isNull() | y.isNull())).alias(f"_n_missing{q}"),
-        F.covar_pop(F.when(both, x), F.when(both, y)).alias(f"_cov{q}"),
-        F.stddev_pop(F.when(both & y.isNotNull(), x)).alias(f"_sx{q}"),
-        F.stddev_pop(F.when(both & x.isNotNull(), y)).alias(f"_sy{q}")]
-
-
 def _pair_stats(wide: DataFrame, pairs: list[tuple[int, int, str, str]]) -> DataFrame:
-    """All pairs in one aggregate over the per-time table, then one row per pair."""
-    aggs = [a for q, (i, j, _, _) in enumerate(pairs) for a in _pair_aggs(i, j, q)]
-    names = ["n_x", "n_y", "n", "_n_missing", "_cov", "_sx", "_sy"]
+    """Sums of every pair in one pass: each time row is spread over the pairs by a
+    generator and aggregated per pair (map-side partial aggregation; a small plan
+    whatever the number of pairs)."""
     rows = F.array(*[F.struct(F.lit(mx).alias("metric_x"), F.lit(my).alias("metric_y"),
-                              *[F.col(f"{c}{q}").alias(c) for c in names])
-                     for q, (_, _, mx, my) in enumerate(pairs)])
-    return wide.agg(*aggs).select(F.inline(rows))
+                              (F.col(f"_has{i}") == 1).alias("hx"), (F.col(f"_has{j}") == 1).alias("hy"),
+                              F.col(f"_v{i}").alias("x"), F.col(f"_v{j}").alias("y"))
+                     for i, j, mx, my in pairs])
+    spread = wide.select(F.inline(rows))
+    both = F.col("hx") & F.col("hy")
+    x, y = F.col("x"), F.col("y")
+    stats = spread.groupBy("metric_x", "metric_y").agg(
+        F.count_if(F.col("hx")).alias("n_x"),
+        F.count_if(F.col("hy")).alias("n_y"),
+        F.count_if(both).alias("n"),
+        F.count_if(both & (x.isNull() | y.isNull())).alias("_n_missing"),
+        F.covar_pop(F.when(both, x), F.when(both, y)).alias("_cov"),
+        F.stddev_pop(F.when(both & y.isNotNull(), x)).alias("_sx"),
+        F.stddev_pop(F.when(both & x.isNotNull(), y)).alias("_sy"))
+    # every asked pair has its row, also when no time carries either metric
+    asked = wide.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(mx).alias("metric_x"), F.lit(my).alias("metric_y")) for _, _, mx, my in pairs])))
+    counts = ["n_x", "n_y", "n", "_n_missing"]
+    out = asked.join(F.broadcast(stats), ["metric_x", "metric_y"], "left")   # at most one row per asked pair
+    return out.select("metric_x", "metric_y", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts],
+                      "_cov", "_sx", "_sy")
 
 
 def _finish(stats: DataFrame) -> DataFrame:
