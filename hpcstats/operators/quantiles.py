@@ -18,8 +18,10 @@ refinement, which is exact and keeps every task bounded:
    or at most ``rank_rows`` rows, which are then ranked by a window whose
    partitions hold at most ``rank_rows`` rows.
 
-The per-round target table has one row per (group, rank) and is joined back
-with a checked broadcast.
+Ranks of a group whose value ranges coincide (all of them in the first
+round) share one count per bucket, so every round reads each row once.  The
+per-round tables have one row per (group, range) or (group, rank) and are
+joined back with a checked broadcast.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from hpcstats.plans.joins import join_small, materialize, observed
 
 IN_MEMORY_ROWS = 2_000_000
 RANK_ROWS = 1_000_000
-BUCKETS = 4096
+BUCKETS = 16384
 MAX_ROUNDS = 64
 
 
@@ -97,44 +99,47 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     state = materialize(state, "rank-state")
     solved = state.where(F.col("_ans").isNotNull()).select(*key, "_k", "_ans")
     pending = state.where(F.col("_ans").isNull())
+    rng = [*key, "_lo", "_hi"]          # ranks of a group that share a value range share the work
     for _ in range(MAX_ROUNDS):
         if pending.limit(1).count() == 0:
             break
         small_enough = pending.where(F.col("_cnt") <= rank_rows)
         big = pending.where(F.col("_cnt") > rank_rows)
-        # (a) rank the rows of ranges that are small now
+        # (a) rank the rows of ranges that are small now (one window partition per range)
         if small_enough.limit(1).count() > 0:
-            rows = join_small(base, small_enough.select(*key, "_k", "_lo", "_hi", "_below"), key) \
-                .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            w = Window.partitionBy(*key, "_k").orderBy("_v")
-            ranked = rows.withColumn("_rn", F.row_number().over(w)) \
-                .where(F.col("_below") + F.col("_rn") - 1 == F.col("_k")) \
-                .select(*key, "_k", F.col("_v").alias("_ans"))
-            solved = solved.unionByName(materialize(ranked, "ranked"))
+            ranges = materialize(small_enough.select(*rng).distinct(), "rank-ranges")
+            rows = join_small(base, ranges, key).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+            w = Window.partitionBy(*rng).orderBy("_v")
+            ranked = rows.withColumn("_rn", F.row_number().over(w))
+            want = small_enough.select(*rng, "_k", (F.col("_k") - F.col("_below") + 1).alias("_rn"))
+            hits = join_small(ranked, materialize(want, "rank-wanted"), [*rng, "_rn"])
+            solved = solved.unionByName(materialize(hits.select(*key, "_k", F.col("_v").alias("_ans")), "ranked"))
         if big.limit(1).count() == 0:
             break
-        # (b) split the big ranges into buckets and keep the bucket holding rank k
-        rows = join_small(base, big.select(*key, "_k", "_lo", "_hi", "_below"), key) \
-            .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        # (b) split each big range into buckets (counted once per range, not per rank) and keep,
+        #     for every rank, the bucket that holds it
+        ranges = materialize(big.select(*rng).distinct(), "split-ranges")
+        rows = join_small(base, ranges, key).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         width = F.col("_hi") - F.col("_lo")
         b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))
-        counts = rows.groupBy(*key, "_k", "_below", b.alias("_b")).agg(
+        counts = rows.groupBy(*rng, b.alias("_b")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
-        w = Window.partitionBy(*key, "_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy(*rng).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("_prev", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-        hit = counts.where((F.col("_below") + F.col("_prev") <= F.col("_k")) &
-                           (F.col("_k") < F.col("_below") + F.col("_prev") + F.col("_c")))
+        per_rank = big.select(*rng, "_k", "_below", F.col("_cnt").alias("_old")).join(counts, rng)
+        hit = per_rank.where((F.col("_below") + F.col("_prev") <= F.col("_k")) &
+                             (F.col("_k") < F.col("_below") + F.col("_prev") + F.col("_c")))
         nxt = materialize(hit.select(
             *key, "_k", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-            (F.col("_below") + F.col("_prev")).alias("_below"), F.col("_c").alias("_cnt"),
+            (F.col("_below") + F.col("_prev")).alias("_below"), F.col("_c").alias("_cnt"), "_old",
             F.when(F.col("_bmin") == F.col("_bmax"), F.col("_bmin")).alias("_ans")), "rank-state")
         solved = solved.unionByName(nxt.where(F.col("_ans").isNotNull()).select(*key, "_k", "_ans"))
-        # a range that did not shrink cannot be split further by width: rank it next round
         pending = nxt.where(F.col("_ans").isNull())
-        stuck = pending.join(big.select(*key, "_k", F.col("_cnt").alias("_old")), [*key, "_k"]) \
-            .where(F.col("_cnt") >= F.col("_old"))
+        # a range that did not shrink cannot be split further by width: rank it next round
+        stuck = pending.where(F.col("_cnt") >= F.col("_old"))
         if stuck.limit(1).count() > 0:
             rank_rows = max(rank_rows, stuck.agg(F.max("_cnt")).first()[0])
+        pending = pending.drop("_old")
     answers = solved
     lo_v = answers.select(*key, F.col("_k").alias("_klo"), F.col("_ans").alias("_vlo"))
     hi_v = answers.select(*key, F.col("_k").alias("_khi"), F.col("_ans").alias("_vhi"))
