@@ -1,7 +1,9 @@
 """Rolling mean / median / standard deviation.
 
 ``rolling(df, stats, interval, by=('event',), tie=None, ties='peers', split=True)``
-adds one column per statistic to every sample row.
+adds one column per statistic to every sample row.  ``split=False`` (one
+window partition per group) is honoured only while every group has at most
+``TARGET_BUCKET_ROWS`` rows; larger inputs always take the split plan.
 
 * ``Rows(n)``: frame = the current row and the ``n-1`` before it in
   ``(time, tie)`` order; the value is NULL unless all ``n`` rows carry a value.
@@ -72,6 +74,8 @@ def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: s
     if engine not in ("auto", "spark", "pandas"):
         raise ValueError("engine must be 'auto', 'spark' or 'pandas'")
     tie = tie_columns(df, by, tie)
+    if not split and not groups_fit(df, by, target_rows):
+        split = True     # an unsplit window would put a whole large group into one task
     if isinstance(interval, Rows):
         return _rolling_rows(df, stats, interval.n, by, tie, split, chunk_rows, target_rows, engine)
     if isinstance(interval, Span):
@@ -79,6 +83,12 @@ def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: s
     raise ValueError("interval must be Rows(n) or Span(n, unit)")
 
 
+def groups_fit(df: DataFrame, by, max_rows: int = TARGET_BUCKET_ROWS) -> bool:
+    """True when no group has more than ``max_rows`` rows (then one task per group is fine)."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    return sizes.where(F.col("_rows") > max_rows).limit(1).count() == 0
+
+
 def tie_columns(df: DataFrame, by, tie) -> list[str]:
     """Order among rows of one timestamp: the given tie key, else every other column.
 

@@ -64,3 +64,11 @@ def test_split_windows_are_not_per_metric(spark, interval):
     assert windows and all(("_b" in w) or ("_c" in w) or ("_hb" in w) for w in windows), windows
     plain = _plan(rolling(h, ["mean"], interval, tie="event_id", split=False))
     assert "_b" not in plain and "_idx" not in plain
+
+
+def test_unsplit_only_for_small_groups(spark):
+    h = host_view(spark, SF_SMALL).select("event_id", "time", "event", "value")
+    forced = _plan(rolling(h, ["mean"], Span(3, "Hours"), tie="event_id", split=False, target_rows=50))
+    assert "_b" in forced                      # groups above the bound: bucketed plan regardless
+    kept = _plan(rolling(h, ["mean"], Span(3, "Hours"), tie="event_id", split=False))
+    assert "_b" not in kept
