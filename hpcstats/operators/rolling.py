@@ -43,6 +43,7 @@ SPLIT_FACTOR = "auto"
 TARGET_BUCKET_ROWS = 1_000_000   # rows per window partition that `auto` aims at
 MIN_BUCKET_ROWS = 1_000
 PANDAS_FRAME_ROWS = 1_000        # `auto` engine: larger frames go to pandas' rolling
+PANDAS_MAX_ROWS = 20_000_000     # never hand pandas a bucket that may hold more rows
 CHUNK_ROWS = 1_000_000
 HOUR = 3_600_000_000
 MAX_BUCKET_MICROS = 30 * 24 * HOUR
@@ -215,9 +216,14 @@ def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_ro
         win = Window.partitionBy(*by).orderBy("_key").rangeBetween(frame_lo, 0)
         return keyed.select(*cols, *[_agg(s, F.col("value")).over(win).alias(s) for s in stats])
     frame_rows = 0
+    bucket_rows = None
     if split_factor == "auto":
         widths = bucket_widths(df, by, w_us, target_rows)
-        frame_rows = (observed(widths).get("max_peak") or 0) * max(1.0, w_us / HOUR)
+        peak = observed(widths).get("max_peak") or 0
+        frame_rows = peak * max(1.0, w_us / HOUR)
+        # a bucket is one span wide at least, so its rows are bounded by the target or by the
+        # peak hourly rate over a span (a burst on one timestamp cannot be split by time)
+        bucket_rows = max(observed(widths).get("target", 0), peak * (w_us / HOUR + 1))
         max_width = None   # found below, only if the composite key needs it
         sized = join_small(df, widths, by, cols=[*by, "_bw"])
         width = F.col("_bw")
@@ -228,7 +234,7 @@ def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_ro
     b = F.floor(t / width)
     # one pass: every row goes to its bucket; the rows of a bucket's last span also to the next one
     both = _with_copies(sized, b, t > (b + 1) * width - w_us, "_b")
-    in_jvm, in_pandas = _engines(engine, stats, frame_rows)
+    in_jvm, in_pandas = _engines(engine, stats, frame_rows, bucket_rows)
     order = ["time"] + tie
     if not in_jvm:
         return _reorder(_bucket_frames(both, in_pandas, ("span", w_us), ties, by, "_b", order, cols), cols, stats)
@@ -253,7 +259,7 @@ def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_ro
 
 # ---- pandas engine for bounded buckets ---------------------------------------------
 
-def _engines(engine: str, stats, frame_rows: float) -> tuple[list[str], list[str]]:
+def _engines(engine: str, stats, frame_rows: float, bucket_rows: float | None = None) -> tuple[list[str], list[str]]:
     """Which statistics run as JVM window functions and which in pandas' rolling.
 
     Spark's sliding frames recompute every frame row by row (O(rows x frame))
@@ -263,7 +269,8 @@ def _engines(engine: str, stats, frame_rows: float) -> tuple[list[str], list[str
     only the median to pandas; large frames send everything to pandas.
     """
     stats = list(stats)
-    if engine == "spark":
+    if engine == "spark" or (engine == "auto" and bucket_rows is not None and bucket_rows > PANDAS_MAX_ROWS):
+        # (a bucket that may not fit a Python worker stays in Spark's spilling window operator)
         return stats, []
     if engine == "pandas" or frame_rows > PANDAS_FRAME_ROWS:
         return [], stats
