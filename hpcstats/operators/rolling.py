@@ -27,6 +27,15 @@ With ``split=True`` the work is cut into bounded pieces:
   time bucket of about a million rows -> running offsets on that small table
   -> ``row_number`` inside the bucket), then chunks of ``chunk_rows`` rows with
   the ``n-1`` previous rows as halo.
+
+Engines inside a bucket (``engine='auto'``).  Spark's sliding frames recompute
+each frame row by row, and ``percentile`` boxes every value.  Small frames
+therefore keep mean/std as window functions in generated code, while the
+median (and every statistic once frames exceed ``PANDAS_FRAME_ROWS`` rows) is
+computed by pandas' rolling through ``applyInPandas`` on the same
+``(group, bucket)`` partitioning.  A bucket is bounded, so no group handed to
+pandas is; a bucket that could exceed ``PANDAS_MAX_ROWS`` (a burst of rows on
+one timestamp) stays in Spark's spilling window operator.
 """
 
 from __future__ import annotations
