@@ -34,7 +34,7 @@ from hpcstats.plans.joins import join_small, materialize, observed
 IN_MEMORY_ROWS = 2_000_000
 RANK_ROWS = 1_000_000
 BUCKETS = 16384
-MAX_ROUNDS = 64
+MAX_ROUNDS = 12
 
 
 def _prob_name(p: float) -> str:
@@ -100,11 +100,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     solved = state.where(F.col("_ans").isNotNull()).select(*key, "_k", "_ans")
     pending = state.where(F.col("_ans").isNull())
     rng = [*key, "_lo", "_hi"]          # ranks of a group that share a value range share the work
-    for _ in range(MAX_ROUNDS):
+    for rnd in range(MAX_ROUNDS + 1):
         if pending.limit(1).count() == 0:
             break
-        small_enough = pending.where(F.col("_cnt") <= rank_rows)
-        big = pending.where(F.col("_cnt") > rank_rows)
+        # each round leaves a range strictly smaller (its minimum falls in the first bucket, its
+        # maximum in the last); after MAX_ROUNDS, whatever is left is ranked as it is, so the
+        # answer is always complete and exact
+        last = rnd == MAX_ROUNDS
+        small_enough = pending if last else pending.where(F.col("_cnt") <= rank_rows)
+        big = None if last else pending.where(F.col("_cnt") > rank_rows)
         # (a) rank the rows of ranges that are small now (one window partition per range)
         if small_enough.limit(1).count() > 0:
             ranges = materialize(small_enough.select(*rng).distinct(), "rank-ranges")
@@ -114,7 +118,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
             want = small_enough.select(*rng, "_k", (F.col("_k") - F.col("_below") + 1).alias("_rn"))
             hits = join_small(ranked, materialize(want, "rank-wanted"), [*rng, "_rn"])
             solved = solved.unionByName(materialize(hits.select(*key, "_k", F.col("_v").alias("_ans")), "ranked"))
-        if big.limit(1).count() == 0:
+        if big is None or big.limit(1).count() == 0:
             break
         # (b) split each big range into buckets (counted once per range, not per rank) and keep,
         #     for every rank, the bucket that holds it
@@ -126,20 +130,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
         w = Window.partitionBy(*rng).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("_prev", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-        per_rank = big.select(*rng, "_k", "_below", F.col("_cnt").alias("_old")).join(counts, rng)
+        per_rank = big.select(*rng, "_k", "_below").join(counts, rng)
         hit = per_rank.where((F.col("_below") + F.col("_prev") <= F.col("_k")) &
                              (F.col("_k") < F.col("_below") + F.col("_prev") + F.col("_c")))
         nxt = materialize(hit.select(
             *key, "_k", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-            (F.col("_below") + F.col("_prev")).alias("_below"), F.col("_c").alias("_cnt"), "_old",
+            (F.col("_below") + F.col("_prev")).alias("_below"), F.col("_c").alias("_cnt"),
             F.when(F.col("_bmin") == F.col("_bmax"), F.col("_bmin")).alias("_ans")), "rank-state")
         solved = solved.unionByName(nxt.where(F.col("_ans").isNotNull()).select(*key, "_k", "_ans"))
         pending = nxt.where(F.col("_ans").isNull())
-        # a range that did not shrink cannot be split further by width: rank it next round
-        stuck = pending.where(F.col("_cnt") >= F.col("_old"))
-        if stuck.limit(1).count() > 0:
-            rank_rows = max(rank_rows, stuck.agg(F.max("_cnt")).first()[0])
-        pending = pending.drop("_old")
     answers = solved
     lo_v = answers.select(*key, F.col("_k").alias("_klo"), F.col("_ans").alias("_vlo"))
     hi_v = answers.select(*key, F.col("_k").alias("_khi"), F.col("_ans").alias("_vhi"))

@@ -186,3 +186,14 @@ def test_refinement_on_shared_table(spark):
         want = np.percentile(sub["value"].dropna(), [p * 100 for p in probs])
         for col, w in zip(a.columns, want):
             assert _close(a.loc[event, col], w, 1e-12) and _close(b.loc[event, col], w, 1e-12)
+
+
+def test_quantiles_complete_after_round_limit(spark, monkeypatch):
+    import hpcstats.operators.quantiles as Q
+    monkeypatch.setattr(Q, "MAX_ROUNDS", 1)
+    # values over many orders of magnitude: equal-width buckets shrink the range slowly
+    vals = [float(2.0 ** e) for e in range(-400, 400, 3)] + [-1e300, 0.0, 5e-324]
+    df = spark.createDataFrame([(v,) for v in vals], "value double")
+    r = Q.exact_quantiles(df, "value", [0.25, 0.5, 0.9], in_memory_rows=0, rank_rows=2, buckets=4).first()
+    want = np.percentile(np.array(vals), [25, 50, 90])
+    assert all(_close(a, b, 1e-12) for a, b in zip(r, want))
