@@ -98,6 +98,28 @@ def jdbc_options(table: str, env: dict | None = None, port: int = 5432,
     return opts
 
 
+def bounds_query(table: str, column: str) -> str:
+    """The one-row query that finds the split bounds (runs inside the database)."""
+    return f"(select min({column}) as lo, max({column}) as hi, count(*) as n from {table}) as bounds"
+
+
+def read_jdbc_split(spark: SparkSession, table: str, column: str, rows_per_split: int = 1_000_000,
+                    kind: str = "host", env: dict | None = None, max_splits: int = 10_000) -> DataFrame:
+    """The chunked fetch as Spark's partitioned JDBC read.
+
+    The database computes min/max/count of a numeric column once; Spark then
+    reads ``ceil(count / rows_per_split)`` ranges of it in parallel tasks (an
+    empty table gives an empty frame with the schema).
+    """
+    base = jdbc_options(table, env)
+    b = spark.read.format("jdbc").options(**{**base, "dbtable": bounds_query(table, column)}).load().first()
+    if not b or b["n"] == 0 or b["lo"] is None:
+        return read_jdbc(spark, table, kind, env)
+    parts = max(1, min(max_splits, -(-int(b["n"]) // rows_per_split)))
+    return read_jdbc(spark, table, kind, env, partition_column=column, lower_bound=b["lo"],
+                     upper_bound=int(b["hi"]) + 1, num_partitions=parts)
+
+
 def read_jdbc(spark: SparkSession, table: str, kind: str = "host", env: dict | None = None, **kw) -> DataFrame:
     """S3: read ``host_data``/``job_data`` from the database through Spark's JDBC source."""
     df = spark.read.format("jdbc").options(**jdbc_options(table, env, **kw)).load()

@@ -114,3 +114,9 @@ def test_time_text_functions(spark):
     r = df.select(stamp("e").alias("st"), whole_days("s", "e").alias("d"), fixed("v").alias("f"),
                   fixed("v", 10).alias("f10")).first()
     assert (r["st"], r["d"], r["f"], r["f10"]) == ("2024-01-06-23-59-59", 5, "3.14", "3.1415900000")
+
+
+def test_jdbc_bounds_query():
+    from hpcstats.sources.readers import bounds_query
+    assert bounds_query("job_data", "jobnum") == \
+        "(select min(jobnum) as lo, max(jobnum) as hi, count(*) as n from job_data) as bounds"
