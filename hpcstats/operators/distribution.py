@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hpcstats.operators.quantiles import exact_quantiles, group_bounds
-from hpcstats.plans.joins import join_small, materialize
+from hpcstats.plans.joins import join_small, materialize, observed
 
 KDE_POINTS = 200
 KERNEL_REACH = 40.0   # bandwidths; beyond 38.6 the Gaussian term underflows to 0.0
@@ -130,9 +130,11 @@ def kde(df: DataFrame, by=("event",), points: int = KDE_POINTS, drop_any_null: b
                                   F.stddev_samp(v).alias("sd"))
     allst = materialize(allst, "kde-stats", {"max_n": F.max("_n")})
     layout = bin_layout(df, by, None, drop_any_null, bounds=allst)
-    st = materialize(allst.where(F.col("sd") > 0).select(
+    st = allst.where(F.col("sd") > 0).select(
         *by, F.col("_n").alias("n"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"),
-        (F.col("sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("h")), "kde-bandwidth")
+        (F.col("sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("h"))
+    # a filter of the checkpointed table: its row count is bounded by the table's
+    st._hpcstats_observed = {"rows": observed(allst)["rows"]}
     rows = join_small(data, st, by, cols=[*by, "lo", "hi", "h"])
     step = (F.col("hi") - F.col("lo")) / F.lit(points - 1)
     j = F.col("point")
