@@ -67,6 +67,8 @@ class Predicate:
     value: object
 
     def __post_init__(self):
+        if self.op == "<>":           # the SQL spelling of !=
+            object.__setattr__(self, "op", "!=")
         if self.op not in OPERATORS:
             raise ValueError(f"unknown operator {self.op!r}; allowed: {OPERATORS}")
 

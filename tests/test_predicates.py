@@ -59,7 +59,8 @@ def test_typed_binding_and_like(spark):
     with pytest.raises(ValueError, match="Invalid column name selected"):
         extract(jobs, FilterSpec("job", columns=("jid", "nope")))
     with pytest.raises(ValueError):
-        Predicate("jid", "<>", "JOB1")
+        Predicate("jid", "=~", "JOB1")
+    assert Predicate("jid", "<>", "JOB1").op == "!="
 
 
 def test_extract_order_limit_nulls(spark):
@@ -120,3 +121,29 @@ def test_jdbc_bounds_query():
     from hpcstats.sources.readers import bounds_query
     assert bounds_query("job_data", "jobnum") == \
         "(select min(jobnum) as lo, max(jobnum) as hi, count(*) as n from job_data) as bounds"
+
+
+def test_extract_equals_parameterised_sql(spark):
+    """The extract returns what the original's SQL text with bound values returns."""
+    from hpcstats.sources.readers import run_sql
+    h, j = host_view(spark, SF_SMALL), job_view(spark, SF_SMALL)
+    views = {"host_data": h, "job_data": j}
+    cases = [
+        (extract(h, FilterSpec("host", columns=("host", "value"))), "SELECT host, value FROM host_data", {}),
+        (extract(h, FilterSpec("host", columns=("host", "value"), predicates=(
+            Predicate("host", "=", "NODE3"), Predicate("event", "<>", "nfs")))),
+         "SELECT host, value FROM host_data WHERE host = :p0 AND event <> :p1", {"p0": "NODE3", "p1": "nfs"}),
+        (extract(h, FilterSpec("host", columns=("host", "value"), predicates=(Predicate("host", "=", "NODE3"),),
+                               window=("2024-01-02 00:00:00", "2024-01-05 00:00:00"))),
+         "SELECT host, value FROM host_data WHERE host = :p0 AND time BETWEEN "
+         "CAST(:s AS TIMESTAMP_NTZ) AND CAST(:e AS TIMESTAMP_NTZ)",
+         {"p0": "NODE3", "s": "2024-01-02 00:00:00", "e": "2024-01-05 00:00:00"}),
+        (extract(j, FilterSpec("job", columns=("jid", "runtime"), predicates=(Predicate("runtime", "<", "7200"),),
+                               window=("1995-01-01 00:00:00", "1995-06-01 00:00:00"))),
+         "SELECT jid, runtime FROM job_data WHERE runtime < :p0 AND start_time BETWEEN "
+         "CAST(:s AS TIMESTAMP_NTZ) AND CAST(:e AS TIMESTAMP_NTZ)",
+         {"p0": 7200.0, "s": "1995-01-01 00:00:00", "e": "1995-06-01 00:00:00"}),
+    ]
+    for got, text, args in cases:
+        want = run_sql(spark, text, args, views=views)
+        assert sorted(got.collect()) == sorted(want.collect()), text
