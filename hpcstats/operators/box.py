@@ -21,6 +21,7 @@ from hpcstats.functions.intervals import Rows, Span
 from hpcstats.operators.quantiles import exact_quantiles, group_bounds
 from hpcstats.operators.rolling import rolling
 from hpcstats.plans.joins import join_small, materialize
+from hpcstats.sources.readers import missing_as_null
 
 WHIS = 1.5
 
@@ -39,7 +40,7 @@ def box_stats(df: DataFrame, by=("event",), whis: float = WHIS) -> DataFrame:
     by = list(by)
     if not by:
         raise ValueError("give at least one grouping column (e.g. 'event')")
-    data = df.select(*by, "value").where(F.col("value").isNotNull())  # F15
+    data = missing_as_null(df).select(*by, "value").where(F.col("value").isNotNull())  # F15
     fences = _fences(data, by, whis)
     rows = join_small(data, fences, by, cols=[*by, "lo_fence", "hi_fence", "q1", "q3"])
     v = F.col("value")
@@ -64,7 +65,7 @@ def box_outliers(df: DataFrame, by=("event",), whis: float = WHIS, box: DataFram
     """Rows beyond the whiskers of their group (all input columns + whislo/whishi)."""
     by = list(by)
     box = box if box is not None else box_stats(df, by, whis)
-    data = df.where(F.col("value").isNotNull())
+    data = missing_as_null(df).where(F.col("value").isNotNull())
     v = F.col("value")
     return join_small(data, box, by, cols=[*by, "whislo", "whishi"]) \
         .where((v < F.col("whislo")) | (v > F.col("whishi")))

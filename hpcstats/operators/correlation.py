@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hpcstats.functions.pvalue import p_value
+from hpcstats.sources.readers import missing_as_null
 
 
 def _first_per_time(df: DataFrame, metrics: list[str], tie: str | None, time_col: str) -> DataFrame:
     """One row per time: for each metric, present flag + value of its first sample."""
-    data = df.where(F.col("event").isin(metrics))
+    data = missing_as_null(df).where(F.col("event").isin(metrics))
     # "first" sample of a time: smallest tie key; without one, a total order over the other
     # columns, so that a recomputed stage picks the same row
     order = F.col(tie) if tie else F.struct(*[F.col(c) for c in sorted(df.columns) if c not in (time_col, "event")])

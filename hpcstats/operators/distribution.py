@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from hpcstats.operators.quantiles import exact_quantiles, group_bounds
 from hpcstats.plans.joins import join_small, materialize, observed
+from hpcstats.sources.readers import missing_as_null
 
 KDE_POINTS = 200
 KERNEL_REACH = 40.0   # bandwidths; beyond 38.6 the Gaussian term underflows to 0.0
@@ -38,7 +39,8 @@ KERNEL_REACH = 40.0   # bandwidths; beyond 38.6 the Gaussian term underflows to
 
 def _values(df: DataFrame, by: list[str], drop_any_null: bool) -> DataFrame:
     # the charts drop rows with any NULL before counting
-    data = df.na.drop("any") if drop_any_null else df
+    data = missing_as_null(df)
+    data = data.na.drop("any") if drop_any_null else data
     return data.select(*by, "value").where(F.col("value").isNotNull())
 
 

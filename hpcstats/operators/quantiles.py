@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hpcstats.plans.joins import join_small, materialize, observed
+from hpcstats.sources.readers import nan_to_null
 
 IN_MEMORY_ROWS = 2_000_000
 RANK_ROWS = 1_000_000
@@ -61,7 +62,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     names = list(names) if names else [_prob_name(p) for p in probs]
     if len(names) != len(probs) or any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("one name per probability, each in [0, 1]")
-    base = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    base = df.select(*by, nan_to_null(value).alias("_v")).where(F.col("_v").isNotNull())
     key = by
     if not by:
         base = base.withColumn("_g", F.lit(0))

@@ -46,6 +46,7 @@ from pyspark.sql import types as T
 
 from hpcstats.functions.intervals import Rows, Span
 from hpcstats.plans.joins import join_small, materialize, observed
+from hpcstats.sources.readers import missing_as_null
 
 STATS = ("mean", "median", "std")
 SPLIT_FACTOR = "auto"
@@ -83,6 +84,7 @@ def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: s
         raise ValueError("ties must be 'peers' or 'row'")
     if engine not in ("auto", "spark", "pandas"):
         raise ValueError("engine must be 'auto', 'spark' or 'pandas'")
+    df = missing_as_null(df)
     tie = tie_columns(df, by, tie)
     if not split and not groups_fit(df, by, target_rows):
         split = True     # an unsplit window would put a whole large group into one task

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hpcstats.operators.quantiles import exact_quantiles
 from hpcstats.plans.joins import materialize, observed
+from hpcstats.sources.readers import missing_as_null
 from hpcstats.schema import EVENT_TO_UNIT, EVENTS
 
 
@@ -37,7 +38,7 @@ def slice_metrics(df: DataFrame, metrics) -> DataFrame:
 def metric_summary(df: DataFrame, metrics=None, stats=("mean", "median", "std")) -> DataFrame:
     """Per metric n, mean, median, std (each only if asked) of non-null `value`."""
     spark = df.sparkSession
-    data = slice_metrics(df, metrics)
+    data = missing_as_null(slice_metrics(df, metrics))
     v = F.col("value")
     aggs = [F.count(v).alias("n"), F.min(v).alias("_lo"), F.max(v).alias("_hi")]
     if "mean" in stats:
@@ -63,7 +64,7 @@ def outside_ratio(df: DataFrame, threshold: float, metrics=None) -> DataFrame:
     are never outside.  No rows -> NULL ratio (not an error).
     """
     spark = df.sparkSession
-    data = slice_metrics(df, metrics)
+    data = missing_as_null(slice_metrics(df, metrics))
     outside = F.count_if(F.abs(F.col("value")) > F.lit(float(threshold)))
     per_metric = data.groupBy("event").agg(F.count(F.lit(1)).alias("n_rows"), outside.alias("n_outside"))
     ratio = F.try_divide(F.col("n_outside"), F.col("n_rows"))

@@ -1,9 +1,10 @@
 """Readers for host samples and job records.
 
 Everything returns a lazy DataFrame.  Columns keep their stored type when it
-already matches the data model, so filters on them still reach the Parquet
-scan (`PushedFilters`); only `value` is rewritten (NaN -> NULL), because the
-statistics treat NaN as missing.
+already matches the data model and are not rewritten, so every filter of an
+extract reaches the Parquet scan (`PushedFilters`).  NaN in `value` stays as
+stored: extracts compare it as the database does (NaN above every number),
+and the statistics operators treat it as missing (``missing_as_null``).
 """
 
 from __future__ import annotations
@@ -22,11 +23,18 @@ DB_ENV_VARS = ("DBHOST", "DBPW", "DBNAME", "DBUSER")
 
 
 def nan_to_null(col: str | Column) -> Column:
-    """NaN is "missing" in every statistic: turn it into NULL once, at scan."""
+    """NaN is "missing" in every statistic."""
     c = F.col(col) if isinstance(col, str) else col
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
+def missing_as_null(df: DataFrame, col: str = "value") -> DataFrame:
+    """Q4: the statistics see NaN as NULL (a projection at the operator's entry)."""
+    if col not in df.columns:
+        return df
+    return df.withColumn(col, nan_to_null(col))
+
+
 def _conform(df: DataFrame, schema: T.StructType, optional: T.StructType | None = None,
              keep_extra: bool = True) -> DataFrame:
     """Select the model columns in model order, casting only where types differ."""
@@ -40,8 +48,6 @@ def _conform(df: DataFrame, schema: T.StructType, optional: T.StructType | None
         c = F.col(field.name)
         if types[field.name] != field.dataType:
             c = c.cast(field.dataType)
-        if field.name == "value":
-            c = nan_to_null(c)
         cols.append(c.alias(field.name))
     names = {f.name for f in wanted}
     extra = [F.col(n) for n in df.columns if n not in names] if keep_extra else []

@@ -197,3 +197,13 @@ def test_quantiles_complete_after_round_limit(spark, monkeypatch):
     r = Q.exact_quantiles(df, "value", [0.25, 0.5, 0.9], in_memory_rows=0, rank_rows=2, buckets=4).first()
     want = np.percentile(np.array(vals), [25, 50, 90])
     assert all(_close(a, b, 1e-12) for a, b in zip(r, want))
+
+
+def test_extract_compares_nan_like_the_database(spark):
+    from hpcstats.functions.predicates import FilterSpec, Predicate
+    from hpcstats.operators.extract import extract
+    df = host_frame(spark, _rows([1, None, 30, float("nan")]))
+    got = extract(df, FilterSpec("host", predicates=(Predicate("value", ">", 10),))).select("event_id").collect()
+    assert sorted(r[0] for r in got) == [2, 3]          # NaN sorts above every number; NULL never matches
+    s = metric_summary(df, metrics=["cpuuser"]).first()
+    assert s["n"] == 2 and s["mean"] == 15.5            # ... while the statistics skip it
