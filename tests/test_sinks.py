@@ -45,3 +45,15 @@ def test_union_sources(spark):
     parts = [h.where("event = 'cpuuser'"), h.where("event != 'cpuuser'").drop("event_id")]
     u = union_sources(parts)
     assert u.count() == h.count() and "event_id" in u.columns
+
+
+def test_csv_export_reads_back_with_model_types(spark):
+    from hpcstats.operators.summary import metric_summary
+    h = host_view(spark, SF_SMALL)
+    folder = tempfile.mkdtemp(prefix="hpcstats-test-")
+    path = export(h, folder, "host", "2024-01-01", "2024-01-31", fmt="csv")
+    back = read_host(spark, path, fmt="csv", header=True)
+    assert dict(back.dtypes)["time"] == "timestamp_ntz" and dict(back.dtypes)["value"] == "double"
+    a = {r["event"]: (r["n"], r["median"]) for r in metric_summary(h).collect()}
+    b = {r["event"]: (r["n"], r["median"]) for r in metric_summary(back).collect()}
+    assert a == b
