@@ -84,15 +84,20 @@ def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: s
         raise ValueError("ties must be 'peers' or 'row'")
     if engine not in ("auto", "spark", "pandas"):
         raise ValueError("engine must be 'auto', 'spark' or 'pandas'")
+    if not isinstance(interval, (Rows, Span)):
+        raise ValueError("interval must be Rows(n) or Span(n, unit)")
     df = missing_as_null(df)
     tie = tie_columns(df, by, tie)
+    # a sample without a time belongs to no frame: its statistics are NULL
+    timeless = df.where(F.col("time").isNull()).select(*df.columns, *[F.lit(None).cast("double").alias(s) for s in stats])
+    df = df.where(F.col("time").isNotNull())
     if not split and not groups_fit(df, by, target_rows):
         split = True     # an unsplit window would put a whole large group into one task
     if isinstance(interval, Rows):
-        return _rolling_rows(df, stats, interval.n, by, tie, split, chunk_rows, target_rows, engine)
-    if isinstance(interval, Span):
-        return _rolling_span(df, stats, interval.micros, by, tie, ties, split, split_factor, target_rows, engine)
-    raise ValueError("interval must be Rows(n) or Span(n, unit)")
+        out = _rolling_rows(df, stats, interval.n, by, tie, split, chunk_rows, target_rows, engine)
+    else:
+        out = _rolling_span(df, stats, interval.micros, by, tie, ties, split, split_factor, target_rows, engine)
+    return out.unionByName(timeless)
 
 
 def groups_fit(df: DataFrame, by, max_rows: int = TARGET_BUCKET_ROWS) -> bool:

@@ -207,3 +207,15 @@ def test_extract_compares_nan_like_the_database(spark):
     assert sorted(r[0] for r in got) == [2, 3]          # NaN sorts above every number; NULL never matches
     s = metric_summary(df, metrics=["cpuuser"]).first()
     assert s["n"] == 2 and s["mean"] == 15.5            # ... while the statistics skip it
+
+
+@pytest.mark.parametrize("engine", ["spark", "pandas"])
+def test_rows_without_time_get_null(spark, engine):
+    df = host_frame(spark, _rows([1, 2, 3, 4]))
+    df = df.withColumn("time", F.when(F.col("event_id") == 1, F.lit(None)).otherwise(F.col("time")))
+    # the sample without a time (id 1) is in no frame and has no statistic
+    for interval, want in ((Rows(2), {0: None, 1: None, 2: 2.0, 3: 3.5}),
+                           (Span(5, "Minutes"), {0: 1.0, 1: None, 2: 2.0, 3: 8.0 / 3})):
+        got = {r["event_id"]: r["mean"] for r in
+               rolling(df, ["mean"], interval, tie="event_id", engine=engine).collect()}
+        assert got.keys() == want.keys() and all(_close(got[k], want[k]) for k in want), got
