@@ -28,7 +28,8 @@ from hpcstats.sources.readers import missing_as_null
 
 def _first_per_time(df: DataFrame, metrics: list[str], tie: str | None, time_col: str) -> DataFrame:
     """One row per time: for each metric, present flag + value of its first sample."""
-    data = missing_as_null(df).where(F.col("event").isin(metrics))
+    # a sample without a time cannot be matched on time
+    data = missing_as_null(df).where(F.col("event").isin(metrics) & F.col(time_col).isNotNull())
     # "first" sample of a time: smallest tie key; without one, a total order over the other
     # columns, so that a recomputed stage picks the same row
     order = F.col(tie) if tie else F.struct(*[F.col(c) for c in sorted(df.columns) if c not in (time_col, "event")])
@@ -52,8 +53,8 @@ def paired_points(df: DataFrame, metric_x: str, metric_y: str, tie: str | None =
 
 def common_times(df: DataFrame, metric_x: str, metric_y: str, time_col: str = "time") -> DataFrame:
     """The set of times both metrics have."""
-    a = df.where(F.col("event") == metric_x).select(F.col(time_col).alias("time"))
-    b = df.where(F.col("event") == metric_y).select(F.col(time_col).alias("time"))
+    a = df.where((F.col("event") == metric_x) & F.col(time_col).isNotNull()).select(F.col(time_col).alias("time"))
+    b = df.where((F.col("event") == metric_y) & F.col(time_col).isNotNull()).select(F.col(time_col).alias("time"))
     return a.intersect(b)
 
 
