@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hpcstats.operators.quantiles import exact_quantiles, group_bounds
-from hpcstats.plans.joins import join_small, materialize, observed
+from hpcstats.plans.joins import BROADCAST_MAX_ROWS, join_small, materialize, observed
 from hpcstats.sources.readers import missing_as_null
 
 KDE_POINTS = 200
@@ -74,7 +74,7 @@ def bin_layout(df: DataFrame, by=("event",), bins: int | None = None, drop_any_n
                           F.when(same, lo - 0.5).otherwise(lo).alias("first_edge"),
                           F.when(same, hi + 0.5).otherwise(hi).alias("last_edge"),
                           nbins.alias("nbins"))
-    return materialize(layout, "hist-layout")
+    return materialize(layout, "hist-layout", {"bins": F.sum("nbins")})
 
 
 def _edge(i: Column) -> Column:
@@ -100,6 +100,9 @@ def histogram(df: DataFrame, by=("event",), bins: int | None = None, drop_any_nu
     counts = rows.groupBy(*by, bin_index(F.col("value")).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = layout.select(*by, "first_edge", "last_edge", "nbins",
                          F.explode(F.sequence(F.lit(0).cast("long"), F.col("nbins") - 1)).alias("bin"))
+    # the counts have at most one row per bin of the grid: a bound known from the layout
+    if (observed(layout).get("bins") or 0) <= BROADCAST_MAX_ROWS:
+        counts = F.broadcast(counts)
     out = grid.join(counts, [*by, "bin"], "left").select(
         *by, "bin",
         _edge(F.col("bin")).alias("bin_lo"), _edge(F.col("bin") + 1).alias("bin_hi"),
