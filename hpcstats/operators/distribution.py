@@ -158,6 +158,8 @@ def kde(df: DataFrame, by=("event",), points: int = KDE_POINTS, drop_any_null: b
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
     # every grid point appears, also those no row reaches (density 0)
     grid = st.select(*by, "n", "lo", "hi", "h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    if observed(allst)["rows"] * points <= BROADCAST_MAX_ROWS:   # at most one sum per grid point
+        sums = F.broadcast(sums)
     stacked = grid.join(sums, [*by, "point"], "left") \
         .withColumn("_s", F.coalesce(F.col("_s"), F.lit(0.0))).withColumn("x", x)
     binw = (F.col("last_edge") - F.col("first_edge")) / F.col("nbins")
