@@ -147,3 +147,18 @@ def test_extract_equals_parameterised_sql(spark):
     for got, text, args in cases:
         want = run_sql(spark, text, args, views=views)
         assert sorted(got.collect()) == sorted(want.collect()), text
+
+
+def test_job_window_is_on_start_time_and_series_is_ordered(spark):
+    jobs = job_view(spark, SF_SMALL)
+    spec = FilterSpec.with_default_cap("job", window=("1996-01-01 00:00:00", "1996-03-01 00:00:00"))
+    got = extract(jobs, spec)
+    want = jobs.where(F.col("start_time").between(F.lit("1996-01-01 00:00:00").cast("timestamp_ntz"),
+                                                  F.lit("1996-03-01 00:00:00").cast("timestamp_ntz")))
+    assert got.count() == want.count() > 0
+    assert got.where(F.col("submit_time") > F.lit("1996-03-01 00:00:00").cast("timestamp_ntz")).count() == 0
+    with pytest.raises(ValueError, match="Too Large"):
+        FilterSpec.with_default_cap("job", window=("1996-01-01", "1996-07-01"))
+    series = extract(host_view(spark, SF_SMALL),
+                     FilterSpec("host", columns=("time", "event_id"), order_by=("time", "event_id"))).collect()
+    assert series == sorted(series)
