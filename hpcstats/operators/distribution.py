@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hpcstats.operators.quantiles import exact_quantiles, group_bounds
-from hpcstats.plans.joins import BROADCAST_MAX_ROWS, join_small, materialize, observed
+from hpcstats.plans import joins
+from hpcstats.plans.joins import join_small, materialize, observed
 from hpcstats.sources.readers import missing_as_null
 
 KDE_POINTS = 200
@@ -101,7 +102,7 @@ def histogram(df: DataFrame, by=("event",), bins: int | None = None, drop_any_nu
     grid = layout.select(*by, "first_edge", "last_edge", "nbins",
                          F.explode(F.sequence(F.lit(0).cast("long"), F.col("nbins") - 1)).alias("bin"))
     # the counts have at most one row per bin of the grid: a bound known from the layout
-    if (observed(layout).get("bins") or 0) <= BROADCAST_MAX_ROWS:
+    if (observed(layout).get("bins") or 0) <= joins.BROADCAST_MAX_ROWS:
         counts = F.broadcast(counts)
     out = grid.join(counts, [*by, "bin"], "left").select(
         *by, "bin",
@@ -158,7 +159,7 @@ def kde(df: DataFrame, by=("event",), points: int = KDE_POINTS, drop_any_null: b
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
     # every grid point appears, also those no row reaches (density 0)
     grid = st.select(*by, "n", "lo", "hi", "h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    if observed(allst)["rows"] * points <= BROADCAST_MAX_ROWS:   # at most one sum per grid point
+    if observed(allst)["rows"] * points <= joins.BROADCAST_MAX_ROWS:   # at most one sum per grid point
         sums = F.broadcast(sums)
     stacked = grid.join(sums, [*by, "point"], "left") \
         .withColumn("_s", F.coalesce(F.col("_s"), F.lit(0.0))).withColumn("x", x)

@@ -6,8 +6,11 @@ but are used by a second pass over the samples.  Two rules apply:
 * the small table is computed once into the session's shared checkpoint
   folder (survives executor loss, cuts lineage);
 * it is broadcast only after its row count was checked; above the bound the
-  join is a plain shuffle join, where AQE's skew-join split keeps a hot key
-  (one metric may hold a third of all rows) from landing in one task.
+  join is a salted shuffle join: every key of the big side is spread over
+  ``JOIN_SALTS`` partitions by a hash of the row (deterministic, so a
+  recomputed stage agrees), and the small side is copied once per salt by a
+  generator, so a hot key (one metric may hold a third of all rows) never
+  lands in one task, whatever the session's AQE settings.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from hpcstats.session import ensure_checkpoint_dir
 
 # A per-group row is a few longs/doubles (< 200 bytes): 500k rows stay < 100 MB.
 BROADCAST_MAX_ROWS = 500_000
+JOIN_SALTS = 32
 
 
 def materialize(df: DataFrame, label: str = "t", observe: dict | None = None) -> DataFrame:
@@ -44,8 +48,9 @@ def observed(df: DataFrame) -> dict:
     return getattr(df, "_hpcstats_observed", {})
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     """Row-count check of a small side: known from materialisation, else a bounded count."""
+    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     rows = observed(df).get("rows")
     if rows is None:
         rows = df.limit(max_rows + 1).count()
@@ -53,14 +58,18 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", cols=None,
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+               max_rows: int | None = None) -> DataFrame:
     """Join a big frame with a small per-group table; broadcast only if checked small.
 
     ``cols`` selects the columns of ``small`` to bring along (after the check,
     so a materialised table keeps its known row count).
     """
-    small_enough = is_small(small, max_rows)
+    small_enough = is_small(small, BROADCAST_MAX_ROWS if max_rows is None else max_rows)
     side = small.select(*cols) if cols is not None else small
     if small_enough:
         return big.join(F.broadcast(side), on, how)
-    return big.join(side, on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(JOIN_SALTS))
+    salted_big = big.withColumn("_salt", salt)
+    salted_side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(JOIN_SALTS - 1).cast("long"))))
+    return salted_big.join(salted_side, [*keys, "_salt"], how).drop("_salt")
