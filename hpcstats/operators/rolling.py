@@ -139,7 +139,8 @@ def bucket_widths(df: DataFrame, by: list[str], min_us: int, target_rows: int =
     """Per group a bucket width (micros): about ``bucket_target`` rows at the group's peak
     hourly rate, never less than ``min_us`` and (if larger) never more than ``max_us``.
     A hot group gets narrow buckets, a sparse one wide buckets.  Columns: by, _bw, _rows."""
-    peak = materialize(peak_hourly(df, by), "hourly-peaks", {"total": F.sum("_rows"), "max_peak": F.max("_peak")})
+    peak = materialize(peak_hourly(df, by), "hourly-peaks",
+                       {"total": F.sum("_rows"), "max_peak": F.max("_peak"), "min_peak": F.min("_peak")})
     target = bucket_target(df.sparkSession, observed(peak).get("total") or 0, target_rows)
     per_us = F.col("_peak").cast("double") / F.lit(float(HOUR))
     width = F.floor(F.lit(float(target)) / per_us)
@@ -148,7 +149,12 @@ def bucket_widths(df: DataFrame, by: list[str], min_us: int, target_rows: int =
     if min_us > 0:
         width = F.ceil(width / F.lit(min_us)) * F.lit(min_us)   # whole multiples of the span
     out = peak.select(*by, width.cast("long").alias("_bw"), "_rows")
-    out._hpcstats_observed = dict(observed(peak), target=target)   # one row per group, as `peak`
+    obs = dict(observed(peak), target=target)   # one row per group, as `peak`
+    if obs.get("min_peak"):
+        # the sparsest group has the widest buckets: an upper bound of every width
+        widest = float(target) * HOUR / obs["min_peak"]
+        obs["max_width"] = max(min_us, min(int(widest) + 1, max(max_us, min_us))) + max(min_us, 1)
+    out._hpcstats_observed = obs
     return out
 
 
@@ -259,7 +265,7 @@ def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_ro
         frame_lo = -(w_us - 1)
     else:
         if max_width is None:   # the widest bucket bounds the composite key of row-order ties
-            max_width = widths.agg(F.max("_bw")).first()[0] or w_us
+            max_width = observed(widths).get("max_width") or w_us
         # one shuffle on (group, bucket) serves both the tie-rank window (group, bucket, time)
         # and the frame window (group, bucket)
         both = both.repartition(*by, "_b")
