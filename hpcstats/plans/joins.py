@@ -10,7 +10,8 @@ but are used by a second pass over the samples.  Two rules apply:
   ``JOIN_SALTS`` partitions by a hash of the row (deterministic, so a
   recomputed stage agrees), and the small side is copied once per salt by a
   generator, so a hot key (one metric may hold a third of all rows) never
-  lands in one task, whatever the session's AQE settings.
+  lands in one task, whatever the session's AQE settings.  (Rows equal in
+  every column share a salt; sample rows carry a unique tie key.)
 """
 
 from __future__ import annotations

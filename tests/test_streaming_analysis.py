@@ -60,3 +60,14 @@ def test_projection_helpers(spark):
     assert with_unit(df.select("event")).first()["unit"] == "CPU %"
     with pytest.raises(ValueError):
         series_columns(df)
+
+
+def test_analyse_row_interval_and_engine(spark):
+    h = host_view(spark, SF_SMALL)
+    a = analyse(h, ["Mean", "Median"], interval=Rows(4), tie="event_id", engine="spark")
+    b = analyse(h, ["Mean", "Median"], interval=Rows(4), tie="event_id", engine="pandas")
+    ra = {r["event_id"]: (r["mean"], r["median"]) for r in a["rolling"].collect()}
+    rb = {r["event_id"]: (r["mean"], r["median"]) for r in b["rolling"].collect()}
+    assert ra.keys() == rb.keys() and len(ra) == h.count()
+    assert all((x is None and y is None) or abs(x - y) < 1e-9 for k in ra for x, y in zip(ra[k], rb[k]))
+    assert {r["statistic"] for r in a["box"].collect()} == {"mean", "median"}
