@@ -89,3 +89,13 @@ def test_stored_host_data_pushes_every_condition(spark, tmp_path):
     pushed = [line for line in plan.splitlines() if line.startswith("PushedFilters")][0]
     for part in ("EqualTo(host,NODE3)", "GreaterThan(value,10.0)", "GreaterThanOrEqual(time,"):
         assert part in pushed, pushed
+
+
+def test_engine_choice_rules():
+    from hpcstats.operators.rolling import PANDAS_MAX_ROWS, _engines
+    assert _engines("auto", ["mean", "median", "std"], 100, None) == (["mean", "std"], ["median"])
+    assert _engines("auto", ["mean", "std"], 100, None) == (["mean", "std"], [])
+    assert _engines("auto", ["mean"], 1_000, None) == ([], ["mean"])                 # big frames: pandas
+    assert _engines("auto", ["median"], 10, PANDAS_MAX_ROWS * 2) == (["median"], [])  # bucket may not fit a worker
+    assert _engines("spark", ["median"], 10_000, None) == (["median"], [])
+    assert _engines("pandas", ["mean"], 1, None) == ([], ["mean"])
