@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from hpcstats.llm import chat, mixing, run_merge
+from hpcstats.llm import chat, link_rank, mixing, packing, perplexity, pii, run_merge, token_codes
 
 QUERIES = {
+    "op1_token_codes": token_codes.query,
     "op3_run_merge_dedup": run_merge.query,
+    "op4_best_fit_pack": packing.query,
     "op6_pivotal_mix": mixing.query,
+    "op7_quality_perplexity": perplexity.query,
+    "op8_link_rank_urls": link_rank.query,
     "op9_chat_events": chat.query,
+    "op10_pii_boosted": pii.query,
 }
 
 ORACLE_SQL = {
