@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from hpcstats.llm import chat, link_rank, mixing, packing, perplexity, pii, run_merge, token_codes
+from hpcstats.llm import chat, chosen_path, link_rank, mixing, packing, perplexity, phrase_dedup, pii, run_merge, token_codes
 
 QUERIES = {
     "op1_token_codes": token_codes.query,
+    "op2_phrase_dedup": phrase_dedup.query,
     "op3_run_merge_dedup": run_merge.query,
     "op4_best_fit_pack": packing.query,
+    "op5_chosen_path_join": chosen_path.query,
     "op6_pivotal_mix": mixing.query,
     "op7_quality_perplexity": perplexity.query,
     "op8_link_rank_urls": link_rank.query,
