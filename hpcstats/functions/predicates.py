@@ -11,15 +11,15 @@ every condition into the scan.
 from __future__ import annotations
 
 import datetime as _dt
-import re
 from dataclasses import dataclass, field, replace
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hpcstats.schema import EVENTS, MAX_DAYS_HOSTS, MAX_DAYS_JOBS, OPERATORS, UNIT_TO_EVENT
+from hpcstats.schema import MAX_DAYS_HOSTS, MAX_DAYS_JOBS, OPERATORS, UNIT_TO_EVENT
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -39,20 +39,31 @@ def ts_literal(value) -> Column:
     return F.lit(to_datetime(value).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def number_literal(value, dtype: T.DataType) -> Column:
+    """A number as written: whole ones as integers, decimals as decimals (no digit is lost), else doubles."""
+    try:
+        number = Decimal(value.strip().replace("_", "")) if isinstance(value, str) else \
+            Decimal(value) if isinstance(value, int) else Decimal(repr(float(value))) if isinstance(value, float) else Decimal(str(value))
+    except (InvalidOperation, ValueError) as exc:
+        raise ValueError(f"value {value!r} is not a number") from exc
+    if isinstance(dtype, (T.FloatType, T.DoubleType)) or not number.is_finite():
+        return F.lit(float(number))
+    if number == number.to_integral_value() and abs(number) < 2 ** 63:
+        whole = int(number)
+        small = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31}.get(type(dtype), 63)
+        return F.lit(whole).cast(dtype if -(2 ** small) <= whole < 2 ** small and not isinstance(dtype, T.DecimalType) else "long")
+    sign, digits, exponent = number.as_tuple()
+    scale = max(0, -exponent)
+    precision = max(len(digits) + max(0, exponent), scale)
+    if precision > 38:
+        return F.lit(float(number))
+    return F.lit(format(number, "f")).cast(T.DecimalType(precision, scale))
+
+
 def bind(value, dtype: T.DataType) -> Column:
     """cast a user value to the type of the column it is compared with."""
     if isinstance(dtype, _NUMERIC):
-        if isinstance(value, str):
-            text = value.strip().replace("_", "")
-            try:
-                number = float(text)
-            except ValueError as exc:
-                raise ValueError(f"value {value!r} is not a number") from exc
-        else:
-            number = float(value)
-        if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and number.is_integer():
-            return F.lit(int(number)).cast(dtype)
-        return F.lit(number)
+        return number_literal(value, dtype)
     if isinstance(dtype, _TIMES):
         return ts_literal(value)
     return F.lit(str(value))
@@ -168,14 +179,14 @@ class FilterSpec:
         del preds[index]
         return replace(self, predicates=tuple(preds))
 
-    def condition(self, schema: T.StructType) -> Column | None:
-        """conjunction of all conditions, window and IN list (None when empty)."""
+    def condition(self, schema: T.StructType, in_list: bool = True) -> Column | None:
+        """conjunction of all conditions, window and (if asked) IN list (None when empty)."""
         parts = [p.to_column(schema) for p in self.predicates]
         fields = {f.name: f.dataType for f in schema.fields}
         if self.window is not None:
             s, e = self.window
             parts.append(F.col(self.time_column).between(ts_literal(s), ts_literal(e)))
-        if self.in_values:
+        if self.in_values and in_list:
             if self.in_column not in fields:
                 raise ValueError(f"unknown IN column {self.in_column!r}")
             dtype = fields[self.in_column]
@@ -194,19 +205,3 @@ def select_metrics(spec: FilterSpec | None) -> list[str]:
     first = spec.predicates[0].value
     chosen = [event for unit, event in UNIT_TO_EVENT.items() if first in (unit, event)]
     return chosen or list(UNIT_TO_EVENT.values())
-
-
-def valid_event_list(metrics) -> list[str]:
-    bad = [m for m in metrics if m not in EVENTS]
-    if bad:
-        raise ValueError(f"unknown metrics {bad}")
-    return list(metrics)
-
-
-_SAFE_NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
-
-
-def checked_name(name: str) -> str:
-    if not _SAFE_NAME.match(name):
-        raise ValueError(f"bad column name {name!r}")
-    return name

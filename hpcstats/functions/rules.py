@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 from hpcstats.functions.text import WS, strip_ws
 from hpcstats.schema import EVENTS, EXITCODES, QUEUES, UNITS
 
-# Python float() syntax: digits with single underscores between them, optional
-# fraction and exponent, or inf/infinity/nan; optional sign; outer whitespace.
-_DIGITS = "[0-9](?:_?[0-9])*"
+# Python float() syntax, underscores between digits taken out before: digits, optional fraction and
+# exponent, or inf/infinity/nan; optional sign; outer whitespace.  No group repeats, so the regular
+# expression takes a text of any length without recursion.
 FLOAT_PATTERN = (
-    f"^{WS}*[+-]?(?:"
-    f"(?:{_DIGITS}\\.(?:{_DIGITS})?|\\.{_DIGITS}|{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
-    f"|(?i:inf|infinity|nan)){WS}*$"
+    f"^{WS}*[+-]?(?:(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan)){WS}*$"
 )
+MISPLACED_UNDERSCORE = "(?<![0-9])_|_(?![0-9])"
 
-# Rule messages.
+# Rule messages, and that of the numeric columns.
+NUMERIC_MESSAGE = "Error: For '{}', value must be a number (including decimals)."
 MESSAGES = {
     "jid": "Error: For 'jid', value must be a comma-separated list of strings starting with 'JOB' "
            "followed by one or more digits.",
@@ -47,7 +47,7 @@ MESSAGES = {
 
 
 def numeric_message(column: str) -> str:
-    return f"Error: For '{column}', value must be a number (including decimals)."
+    return NUMERIC_MESSAGE.format(column)
 
 
 @dataclass(frozen=True)
@@ -61,19 +61,16 @@ class Rule:
 def prefixed_list(col: str, prefix: str) -> Column:
     """V1-V6: every comma-separated item, trimmed and upper-cased, is PREFIX<digits>.
 
-    The common valid form is accepted by one whole-string regex (stays in
-    generated code); only other texts go through split/trim/upper per item.
+    Checked item by item: a regular expression over the whole list would recurse once per item.
     """
-    text = F.col(col).cast("string")
-    item = f"{WS}*(?i:{prefix})[0-9]+{WS}*"
-    fast = text.rlike(f"^{item}(?:,{item})*$")
-    items = F.transform(F.split(text, ","), lambda x: F.upper(strip_ws(x)))
-    return F.when(fast, F.lit(True)).otherwise(F.forall(items, lambda x: x.rlike(f"^{prefix}[0-9]+$")))
+    items = F.transform(F.split(F.col(col).cast("string"), ","), lambda x: F.upper(strip_ws(x)))
+    return F.forall(items, lambda x: x.rlike(f"^{prefix}[0-9]+$"))
 
 
 def numeric_text(col: str) -> Column:
     """V7/V8: the text form parses as a Python float (numbers pass as they are)."""
-    return F.col(col).cast("string").rlike(FLOAT_PATTERN)
+    text = F.col(col).cast("string")
+    return F.replace(text, F.lit("_"), F.lit("")).rlike(FLOAT_PATTERN) & ~text.rlike(MISPLACED_UNDERSCORE)
 
 
 def one_of(col: str, values: list[str]) -> Column:

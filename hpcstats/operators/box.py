@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hpcstats.functions.intervals import Rows, Span
 from hpcstats.operators.quantiles import exact_quantiles, group_bounds
 from hpcstats.operators.rolling import rolling
-from hpcstats.plans.joins import join_small, materialize
+from hpcstats.plans.joins import join_null_safe, join_small, materialize, stored_columns
 from hpcstats.sources.readers import missing_as_null
 
 WHIS = 1.5
@@ -30,7 +30,7 @@ def _fences(data: DataFrame, by: list[str], whis: float) -> DataFrame:
     bounds = materialize(group_bounds(data, "value", by), "box-bounds", {"max_n": F.max("_n")})
     q = exact_quantiles(data, "value", [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"], bounds=bounds)
     iqr = F.col("q3") - F.col("q1")
-    return materialize(q.join(bounds, by).select(
+    return materialize(join_null_safe(q, bounds, by).select(
         *by, F.col("_n").alias("n"), "q1", "median", "q3", iqr.alias("iqr"),
         (F.col("q1") - F.lit(whis) * iqr).alias("lo_fence"),
         (F.col("q3") + F.lit(whis) * iqr).alias("hi_fence")), "box-fences")
@@ -52,13 +52,14 @@ def box_stats(df: DataFrame, by=("event",), whis: float = WHIS) -> DataFrame:
         F.max(F.when(v <= F.col("hi_fence"), v)).alias("_hi_in"),
         F.min(F.when(v >= F.col("lo_fence"), v)).alias("_lo_in"),
         F.count_if((v < F.col("lo_fence")) | (v > F.col("hi_fence"))).alias("n_outliers"))
-    out = fences.join(agg, by)
+    out = join_null_safe(fences, agg, by)
     whishi = F.when(F.col("_hi_in").isNull() | (F.col("_hi_in") < F.col("q3")), F.col("q3")).otherwise(F.col("_hi_in"))
     whislo = F.when(F.col("_lo_in").isNull() | (F.col("_lo_in") > F.col("q1")), F.col("q1")).otherwise(F.col("_lo_in"))
     half = F.lit(1.57) * F.col("iqr") / F.sqrt(F.col("n").cast("double"))
-    return out.select(*by, "n", "mean", "q1", "median", "q3", "iqr", whislo.alias("whislo"), whishi.alias("whishi"),
+    # one row per group, computed once: callers join it back to the samples
+    return materialize(out.select(*by, "n", "mean", "q1", "median", "q3", "iqr", whislo.alias("whislo"), whishi.alias("whishi"),
                       (F.col("median") - half).alias("notch_lo"), (F.col("median") + half).alias("notch_hi"),
-                      "n_outliers")
+                      "n_outliers"), "box")
 
 
 def box_outliers(df: DataFrame, by=("event",), whis: float = WHIS, box: DataFrame | None = None) -> DataFrame:
@@ -87,7 +88,6 @@ def box_source(df: DataFrame, stats=("mean", "median", "std"), interval=None, so
         raise ValueError("source must be 'raw' or 'rolling'")
     if not isinstance(interval, (Rows, Span)):
         raise ValueError("rolling boxes need an interval")
-    r = rolling(df, stats, interval, by=by, tie=tie, **rolling_kw)
-    stacked = F.inline(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in stats]))
-    # the box makes several passes: compute the windows once into the checkpoint folder
-    return materialize(r.select(*by, stacked), "box-source")
+    # the box makes several passes: the windows are computed once, as one wide columnar table
+    r = stored_columns(rolling(df, stats, interval, by=by, tie=tie, **rolling_kw).select(*by, *stats), "box-source")
+    return r.select(*by, F.inline(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in stats])))

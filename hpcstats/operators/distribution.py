@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from hpcstats.operators.quantiles import exact_quantiles, group_bounds
 from hpcstats.plans import joins
-from hpcstats.plans.joins import join_small, materialize, observed
+from hpcstats.plans.joins import join_null_safe, join_small, materialize, observed
 from hpcstats.sources.readers import missing_as_null
 
 KDE_POINTS = 200
@@ -61,7 +61,7 @@ def bin_layout(df: DataFrame, by=("event",), bins: int | None = None, drop_any_n
     ptp = hi - lo
     if bins is None:
         q = exact_quantiles(data, "value", [0.25, 0.75], by=by, names=["_q1", "_q3"], bounds=bounds)
-        stats = bounds.join(q, by)
+        stats = join_null_safe(bounds, q, by)
         fd = F.lit(2.0) * (F.col("_q3") - F.col("_q1")) * F.pow(n.cast("double"), F.lit(-1.0 / 3.0))
         sqrt_bw = ptp / F.sqrt(n.cast("double"))
         sturges = ptp / (F.log2(n.cast("double")) + F.lit(1.0))
@@ -104,7 +104,7 @@ def histogram(df: DataFrame, by=("event",), bins: int | None = None, drop_any_nu
     # the counts have at most one row per bin of the grid: a bound known from the layout
     if (observed(layout).get("bins") or 0) <= joins.BROADCAST_MAX_ROWS:
         counts = F.broadcast(counts)
-    out = grid.join(counts, [*by, "bin"], "left").select(
+    out = join_null_safe(grid, counts, [*by, "bin"], "left").select(
         *by, "bin",
         _edge(F.col("bin")).alias("bin_lo"), _edge(F.col("bin") + 1).alias("bin_hi"),
         F.coalesce(F.col("count"), F.lit(0)).alias("count"))
@@ -161,7 +161,7 @@ def kde(df: DataFrame, by=("event",), points: int = KDE_POINTS, drop_any_null: b
     grid = st.select(*by, "n", "lo", "hi", "h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     if observed(allst)["rows"] * points <= joins.BROADCAST_MAX_ROWS:   # at most one sum per grid point
         sums = F.broadcast(sums)
-    stacked = grid.join(sums, [*by, "point"], "left") \
+    stacked = join_null_safe(grid, sums, [*by, "point"], "left") \
         .withColumn("_s", F.coalesce(F.col("_s"), F.lit(0.0))).withColumn("x", x)
     binw = (F.col("last_edge") - F.col("first_edge")) / F.col("nbins")
     out = join_small(stacked, layout, by, cols=[*by, binw.alias("bin_width")])

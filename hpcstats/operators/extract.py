@@ -9,12 +9,15 @@ prunes the read schema; ORDER BY + LIMIT plans as TakeOrderedAndProject
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hpcstats.functions.predicates import FilterSpec
+from hpcstats.functions.predicates import FilterSpec, bind, to_datetime
 from hpcstats.schema import AUX_HOST_COLUMNS, JOB_COLUMNS
 
+IN_LITERALS = 1_000   # longer IN lists are joined as a table
 JOB_SELECTABLE = set(JOB_COLUMNS) | {"*"}
 
 
@@ -37,8 +40,11 @@ def order_column(name: str, descending: bool):
 
 def extract(df: DataFrame, spec: FilterSpec) -> DataFrame:
     cols = _projection(df, spec)
-    cond = spec.condition(df.schema)
+    long_list = len(spec.in_values) > IN_LITERALS
+    cond = spec.condition(df.schema, in_list=not long_list)
     out = df.where(cond) if cond is not None else df
+    if long_list:
+        out = in_long_list(out, spec.in_column, spec.in_values)
     # ORDER BY may only name projected columns (this also keeps DISTINCT + ORDER BY legal)
     bad = [c for c in spec.order_by if c not in cols]
     if bad:
@@ -53,6 +59,25 @@ def extract(df: DataFrame, spec: FilterSpec) -> DataFrame:
     return out
 
 
+def in_long_list(df: DataFrame, column: str, values) -> DataFrame:
+    """F6 for long lists: a semi join with the distinct values as a table, not a literal per value.
+
+    The table's size is known to the planner, which broadcasts it only below its threshold.
+    """
+    if column not in df.columns:
+        raise ValueError(f"unknown IN column {column!r}")
+    dtype = df.schema[column].dataType
+    for v in values if isinstance(dtype, T.NumericType) else ():
+        bind(v, dtype)  # a value that is no number is refused, as in a short list
+    texts = sorted({to_datetime(v).isoformat(sep=" ") if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType))
+                    else str(v).strip().replace("_", "") if isinstance(dtype, T.NumericType) else str(v) for v in values})
+    table = df.sparkSession.createDataFrame(pd.DataFrame({"_in": texts}), "_in string")
+    kind = ("decimal(38,10)" if isinstance(dtype, T.IntegralType) else "timestamp_ntz" if isinstance(dtype, (T.TimestampType, T.DateType))
+            else dtype.simpleString())
+    wanted = table.select(F.col("_in").cast(kind).alias("_in"))
+    return df.join(wanted, F.col(column).cast(kind) == F.col("_in") if kind == "decimal(38,10)" else F.col(column) == F.col("_in"), "left_semi")
+
+
 def row_count(df: DataFrame) -> DataFrame:
     """A1: one-row count of a query, as a DataFrame (not an action)."""
     return df.agg(F.count(F.lit(1)).alias("row_count"))

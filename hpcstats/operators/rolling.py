@@ -1,9 +1,7 @@
 """Rolling mean / median / standard deviation.
 
-``rolling(df, stats, interval, by=('event',), tie=None, ties='peers', split=True)``
-adds one column per statistic to every sample row.  ``split=False`` (one
-window partition per group) is honoured only while every group has at most
-``TARGET_BUCKET_ROWS`` rows; larger inputs always take the split plan.
+``rolling(df, stats, interval, by=('event',), tie=None, ties='peers')`` adds one
+column per statistic to every sample row; all other columns pass unchanged.
 
 * ``Rows(n)``: frame = the current row and the ``n-1`` before it in
   ``(time, tie)`` order; the value is NULL unless all ``n`` rows carry a value.
@@ -12,30 +10,36 @@ window partition per group) is honoured only while every group has at most
   frame; ``ties='row'`` keeps only rows up to the current one (row order by
   ``tie``), as a row-by-row rolling does.
 
-Scale.  A plain window partitioned by metric puts a whole metric in one task.
-With ``split=True`` the work is cut into bounded pieces:
-
-* time spans: bucket ``b = floor(t / B)``; the rows of the last ``w`` of a
-  bucket are also copied into the next bucket (halo), the window runs per
-  ``(group, b)`` and only a bucket's own rows are kept.  Exact, because no
-  frame reaches back further than ``w <= B``.  ``B`` is a whole multiple of
-  ``w`` chosen per group from its peak hourly rate so that a bucket holds about
-  a million rows (``split_factor='auto'``): a metric with a third of all rows
-  gets narrow buckets and many tasks, a sparse one few wide buckets with
-  little halo.  A fixed ``split_factor`` gives ``B = split_factor * w``.
+A NULL, NaN or infinite ``value`` is a missing one (pandas' rolling sees
+infinities as missing, too); times are wall-clock and do not depend on the
+session's zone; a NULL group key is a group of its own.  The result does not
+depend on ``split``, ``engine`` or the sizes, which only choose the plan.
+
+Scale.  A plain window partitioned by metric puts a whole metric in one task,
+and a sliding frame is recomputed for every row.  Instead:
+
+* mean and std over a span: time is cut into ``CELLS`` cells per span.  A frame
+  is the row's own cell up to the row, the whole cells between, and the end of
+  the cell one span back.  Every row goes to its own cell and, as a leaving row,
+  to the cell one span later; two running windows per cell give the first and
+  the last part, a small table of cell moments the middle one, and the three
+  (n, mean, M2) are merged.  A partition is a cell: a ``CELLS``-th of the span,
+  however long the span, and no job runs while the plan is built.
+* median over a span: buckets ``b = floor(t / B)``; the rows of the last ``w`` of
+  a bucket are also copied into the next one, and only a bucket's own rows are
+  kept.  ``B`` is a whole multiple of ``w`` chosen per group from its peak hourly
+  rate, so that a bucket holds about a million rows.  A bucket is never narrower
+  than the span: if it may hold more than ``PANDAS_MAX_ROWS`` rows, ``rolling``
+  raises an error instead of starting a plan that cannot finish.
 * row windows: a global row index per group without a global sort (rows per
   time bucket of about a million rows -> running offsets on that small table
-  -> ``row_number`` inside the bucket), then chunks of ``chunk_rows`` rows with
-  the ``n-1`` previous rows as halo.
-
-Engines inside a bucket (``engine='auto'``).  Spark's sliding frames recompute
-each frame row by row, and ``percentile`` boxes every value.  Small frames
-therefore keep mean/std as window functions in generated code, while the
-median (and every statistic once frames exceed ``PANDAS_FRAME_ROWS`` rows) is
-computed by pandas' rolling through ``applyInPandas`` on the same
-``(group, bucket)`` partitioning.  A bucket is bounded, so no group handed to
-pandas is; a bucket that could exceed ``PANDAS_MAX_ROWS`` (a burst of rows on
-one timestamp) stays in Spark's spilling window operator.
+  -> ``row_number`` inside the bucket), then chunks of rows with the ``n-1``
+  previous rows as halo, with the same bound.
+
+Buckets and chunks that need a sorted frame (medians, and row windows of more
+than ``PANDAS_FRAME_ROWS`` rows) are handed to pandas' rolling through
+``applyInArrow``, which reads the time, the value and two flags only; the other
+columns stay Arrow columns and come back as they were.
 """
 
 from __future__ import annotations
@@ -52,13 +56,17 @@ STATS = ("mean", "median", "std")
 SPLIT_FACTOR = "auto"
 TARGET_BUCKET_ROWS = 1_000_000   # rows per window partition that `auto` aims at
 MIN_BUCKET_ROWS = 1_000
-PANDAS_FRAME_ROWS = 256          # `auto` engine: larger frames go to pandas' rolling (measured crossover)
+PANDAS_FRAME_ROWS = 256          # `auto` engine: larger row frames go to pandas' rolling (measured crossover)
+CELLS = 16                       # cells per span of the mean/std plan
 PANDAS_MAX_ROWS = 20_000_000     # never hand pandas a bucket that may hold more rows
 CHUNK_ROWS = 1_000_000
 HOUR = 3_600_000_000
 MAX_BUCKET_MICROS = 30 * 24 * HOUR
 
 
+VALUE = "_finite"                # the value that statistics see: NULL unless finite
+
+
 def _agg(stat: str, value: Column) -> Column:
     if stat == "mean":
         return F.avg(value)
@@ -70,7 +78,8 @@ def _agg(stat: str, value: Column) -> Column:
 
 
 def _micros(col: str = "time") -> Column:
-    return F.unix_micros(F.col(col).cast("timestamp"))
+    """Microseconds of the wall clock since 1970, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(col).cast("timestamp_ntz"))
 
 
 def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: str | None = None,
@@ -88,22 +97,21 @@ def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: s
         raise ValueError("interval must be Rows(n) or Span(n, unit)")
     df = missing_as_null(df)
     tie = tie_columns(df, by, tie)
+    names = df.columns
     # a sample without a time belongs to no frame: its statistics are NULL
-    timeless = df.where(F.col("time").isNull()).select(*df.columns, *[F.lit(None).cast("double").alias(s) for s in stats])
-    df = df.where(F.col("time").isNotNull())
-    if not split and not groups_fit(df, by, target_rows):
-        split = True     # an unsplit window would put a whole large group into one task
+    timeless = df.where(F.col("time").isNull()).select(*names, *[F.lit(None).cast("double").alias(s) for s in stats])
+    v = F.col("value").cast("double")
+    df = df.where(F.col("time").isNotNull()).withColumn(VALUE, F.when(F.abs(v) < float("inf"), v))
     if isinstance(interval, Rows):
-        out = _rolling_rows(df, stats, interval.n, by, tie, split, chunk_rows, target_rows, engine)
+        out = _rolling_rows(df, stats, interval.n, by, tie, chunk_rows, target_rows, engine)
     else:
-        out = _rolling_span(df, stats, interval.micros, by, tie, ties, split, split_factor, target_rows, engine)
-    return out.unionByName(timeless)
-
-
-def groups_fit(df: DataFrame, by, max_rows: int = TARGET_BUCKET_ROWS) -> bool:
-    """True when no group has more than ``max_rows`` rows (then one task per group is fine)."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    return sizes.where(F.col("_rows") > max_rows).limit(1).count() == 0
+        out = df
+        moments = [s for s in stats if s != "median"]
+        if moments:
+            out = _span_moments(out, moments, interval.micros, by, tie, ties)
+        if "median" in stats:
+            out = _span_median(out, interval.micros, by, tie, ties, split_factor, target_rows, engine)
+    return out.select(*names, *stats).unionByName(timeless)
 
 
 def tie_columns(df: DataFrame, by, tie) -> list[str]:
@@ -115,7 +123,7 @@ def tie_columns(df: DataFrame, by, tie) -> list[str]:
         return [tie]
     if tie:
         return list(tie)
-    return sorted(c for c in df.columns if c != "time" and c not in by)
+    return sorted(c for c in df.columns if c not in ("time", VALUE) and c not in by)
 
 
 # ---- bucket sizing -------------------------------------------------------------
@@ -167,31 +175,35 @@ def _with_copies(df: DataFrame, bucket: Column, to_next: Column, name: str) -> D
 # ---- row windows -------------------------------------------------------------
 
 def _rows_frame_cols(n: int, stats, w) -> list[Column]:
-    full = F.count(F.col("value")).over(w) >= n
-    return [F.when(full, _agg(s, F.col("value")).over(w)).alias(s) for s in stats]
+    full = F.count(F.col(VALUE)).over(w) >= n
+    return [F.when(full, _agg(s, F.col(VALUE)).over(w)).alias(s) for s in stats]
 
 
-def _rolling_rows(df, stats, n, by, tie, split, chunk_rows, target_rows=TARGET_BUCKET_ROWS, engine="spark"):
-    order = [F.col("time")] + [F.col(c) for c in tie]
+def _rolling_rows(df, stats, n, by, tie, chunk_rows, target_rows, engine):
     cols = df.columns
-    if not split:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
-        return df.select(*cols, *_rows_frame_cols(n, stats, w))
     widths = bucket_widths(df, by, 1, target_rows)
     idx = with_row_index(df, by, tie, widths=widths)
-    chunk = max(8 * n, min(int(chunk_rows), observed(widths)["target"]))
+    chunk = max(2 * n, min(max(8 * n, int(chunk_rows)), observed(widths)["target"]))
     c = F.floor(F.col("_idx") / chunk)
     # one pass: every row goes to its chunk; the last n-1 rows of a chunk also to the next one
     halo = (F.col("_idx") % chunk) >= chunk - (n - 1)
     both = _with_copies(idx, c, halo, "_c")
-    in_jvm, in_pandas = _engines(engine, stats, n)
+    large = engine == "pandas" or (engine == "auto" and n > PANDAS_FRAME_ROWS)
+    in_pandas = [s for s in stats if large or (s == "median" and engine != "spark")]
+    in_jvm = [s for s in stats if s not in in_pandas]
     if in_jvm:
         w = Window.partitionBy(*by, "_c").orderBy("_idx").rowsBetween(-(n - 1), 0)
         both = both.select(*cols, "_c", "_idx", "_own", *_rows_frame_cols(n, in_jvm, w))
     if in_pandas:
-        return _reorder(_bucket_frames(both, in_pandas, ("rows", n), "peers", by, "_c", ["_idx"],
-                                       cols + in_jvm), cols, stats)
-    return both.where("_own").select(*cols, *stats)
+        _check_bucket(chunk + n, f"Rows({n})")
+        both = _bucket_frames(both, in_pandas, ("rows", n), "peers", by, "_c", ["_idx"])
+    return both.where("_own")
+
+
+def _check_bucket(rows: float, what: str) -> None:
+    if rows > PANDAS_MAX_ROWS:
+        raise ValueError(f"{what}: a frame of this length with its neighbours may hold {int(rows)} rows, more than one task may "
+                         f"take ({PANDAS_MAX_ROWS}); choose a shorter interval, or mean/std over a time span")
 
 
 def with_row_index(df: DataFrame, by: list[str], tie: list[str],
@@ -218,150 +230,131 @@ def with_row_index(df: DataFrame, by: list[str], tie: list[str],
 
 # ---- time-span windows -----------------------------------------------------------
 
-def _tie_rank(df: DataFrame, by: list[str], tie: list[str], extra: list[str]) -> DataFrame:
-    """r = position of a row among the rows of the same timestamp (0-based)."""
-    order = [F.col(c) for c in tie]
-    w = Window.partitionBy(*by, *extra, "time").orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w) - 1)
+def _split(v: Column) -> tuple[Column, Column]:
+    """A value as a multiple of 2**-20 and the rest: sums of the former are exact for usual magnitudes,
+    so the mean does not depend on how a frame is cut into parts."""
+    coarse = F.when(F.abs(v) < 2.0 ** 32, F.rint(v * 2.0 ** 20) / 2.0 ** 20).otherwise(v)
+    return coarse, v - coarse
 
 
-def _rolling_span(df, stats, w_us, by, tie, ties, split, split_factor, target_rows=TARGET_BUCKET_ROWS,
-                  engine="spark"):
-    cols = df.columns
-    t = _micros()
-    if not split:
-        if ties == "peers":
-            keyed = df.withColumn("_key", t)
-            frame_lo = -(w_us - 1)
-        else:
-            keyed, frame_lo = _composite_key(df, by, tie, [], t, None, w_us)
-        win = Window.partitionBy(*by).orderBy("_key").rangeBetween(frame_lo, 0)
-        return keyed.select(*cols, *[_agg(s, F.col("value")).over(win).alias(s) for s in stats])
-    frame_rows = 0
-    bucket_rows = None
+def _moments(v: Column, w, std: bool) -> dict[str, Column]:
+    """Count, the two sums, and (for std) the sum of squares about the mean, over a window."""
+    n = F.count(v).over(w)
+    out = {"n": n} | {f"s{i}": F.coalesce(F.sum(x).over(w), F.lit(0.0)) for i, x in enumerate(_split(v))}
+    if std:
+        out["q"] = F.coalesce(F.var_pop(v).over(w), F.lit(0.0)) * n
+    return out
+
+
+def _merge(a: dict, b: dict) -> dict:
+    """Moments of two disjoint sets of values, merged."""
+    out = {k: a[k] + b[k] for k in ("n", "s0", "s1")}
+    if "q" in a:
+        mean = lambda x: (x["s0"] + x["s1"]) / F.greatest(x["n"], F.lit(1)).cast("double")
+        d = mean(b) - mean(a)
+        out["q"] = a["q"] + b["q"] + d * d * a["n"] * b["n"] / F.greatest(out["n"], F.lit(1)).cast("double")
+    return out
+
+
+def _span_moments(df: DataFrame, stats, w_us: int, by, tie, ties) -> DataFrame:
+    """Mean and std over ``(t - w, t]`` from cells shorter than the span (see the module's text)."""
+    names = df.columns
+    cells = next(k for k in (CELLS, 8, 4, 2, 1) if w_us % k == 0)
+    width = w_us // cells
+    cell = F.floor(_micros() / width)
+    v = F.col(VALUE)
+    std = "std" in stats
+    # moments of whole cells, handed to the cells - 1 cells behind them and merged there
+    coarse, fine = _split(v)
+    part = F.struct(F.count(v).alias("n"), F.sum(coarse).alias("s0"), F.sum(fine).alias("s1"), (F.var_pop(v) * F.count(v)).alias("q"))
+    whole = (df.where(v.isNotNull()).groupBy(*by, cell.alias("_cell")).agg(part.alias("_part"))
+             .select(*by, F.explode(F.sequence(F.col("_cell") + 1, F.col("_cell") + (cells - 1))).alias("_cell"), "_part")
+             if cells > 1 else None)
+    both = df.withColumn("_kind", F.explode(F.array(F.lit(1), F.lit(2))))
+    own = F.col("_kind") == 1
+    entering = both.select(
+        *by, *[F.when(own, F.col(c)).alias(c) for c in names if c not in by and c != VALUE],
+        F.when(own, cell).otherwise(cell + cells).alias("_cell"), F.when(own, _micros()).otherwise(_micros() + w_us).alias("_key"),
+        "_kind", VALUE)
+    if whole is not None:
+        between = whole.groupBy(*by, "_cell").agg(F.sort_array(F.collect_list("_part")).alias("_parts")).select(
+            *by, "_cell", F.lit(-(1 << 62)).cast("long").alias("_key"), F.lit(0).alias("_kind"), F.expr("""
+              aggregate(_parts, named_struct('n', 0L, 's0', 0D, 's1', 0D, 'q', 0D), (a, b) -> named_struct(
+                'n', a.n + b.n, 's0', a.s0 + b.s0, 's1', a.s1 + b.s1,
+                'q', a.q + b.q + if(a.n = 0, 0D, pow((b.s0 + b.s1) / b.n - (a.s0 + a.s1) / a.n, 2) * a.n * b.n / (a.n + b.n))))""").alias("_between"))
+        entering = entering.unionByName(between, allowMissingColumns=True)
+    else:
+        entering = entering.withColumn("_between", F.lit(None).cast("struct<n:bigint,s0:double,s1:double,q:double>"))
+    part = Window.partitionBy(*by, "_cell")
+    up = part.orderBy("_key", "_kind", *(tie if ties == "row" else ()))
+    upto = up.rowsBetween(Window.unboundedPreceding, 0) if ties == "row" else part.orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
+    behind = part.orderBy(F.col("_key").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    first = _moments(F.when(F.col("_kind") == 1, v), upto, std)
+    last = _moments(F.when(F.col("_kind") == 2, v), behind, std)
+    middle = F.first(F.col("_between"), ignorenulls=True).over(upto)
+    parts = entering.select(*names, "_kind", *[x.alias(f"_{p}{k}") for p, m in (("a", first), ("c", last)) for k, x in m.items()],
+                            middle.alias("_b")).where("_kind = 1")
+    a, c = ({k: F.col(f"_{p}{k}") for k in first} for p in "ac")
+    b = {k: F.coalesce(F.col(f"_b.{k}"), F.lit(0 if k == "n" else 0.0)) for k in first}
+    m = _merge(_merge(a, b), c)
+    n, mean, m2 = m["n"], (m["s0"] + m["s1"]) / F.greatest(m["n"], F.lit(1)).cast("double"), m.get("q", F.lit(0.0))
+    out = {"mean": F.when(n > 0, mean), "std": F.when(n > 1, F.sqrt(m2 / F.greatest(n - 1, F.lit(1)).cast("double")))}
+    return parts.select(*names, *[out[s].alias(s) for s in stats])
+
+
+def _span_median(df: DataFrame, w_us, by, tie, ties, split_factor, target_rows, engine) -> DataFrame:
+    cols, t = df.columns, _micros()
+    widths = bucket_widths(df, by, w_us, target_rows)
     if split_factor == "auto":
-        widths = bucket_widths(df, by, w_us, target_rows)
-        peak = observed(widths).get("max_peak") or 0
-        frame_rows = peak * max(1.0, w_us / HOUR)
-        # a bucket is one span wide at least, so its rows are bounded by the target or by the
-        # peak hourly rate over a span (a burst on one timestamp cannot be split by time)
-        bucket_rows = max(observed(widths).get("target", 0), peak * (w_us / HOUR + 1))
-        max_width = None   # found below, only if the composite key needs it
-        sized = join_small(df, widths, by, cols=[*by, "_bw"])
-        width = F.col("_bw")
+        sized, width, spans = join_small(df, widths, by, cols=[*by, "_bw"]), F.col("_bw"), 1
     else:
-        max_width = int(split_factor) * w_us
-        sized = df
-        width = F.lit(max_width)
+        sized, width, spans = df, F.lit(int(split_factor) * w_us), int(split_factor)
+    # a bucket is a span wide at least: its rows are bounded by the target or the peak hourly rate
+    peak = observed(widths).get("max_peak") or 0
+    rows = max(observed(widths).get("target", 0) if split_factor == "auto" else 0, peak * (spans * w_us / HOUR + 1))
     b = F.floor(t / width)
     # one pass: every row goes to its bucket; the rows of a bucket's last span also to the next one
     both = _with_copies(sized, b, t > (b + 1) * width - w_us, "_b")
-    in_jvm, in_pandas = _engines(engine, stats, frame_rows, bucket_rows)
-    order = ["time"] + tie
-    if not in_jvm:
-        return _reorder(_bucket_frames(both, in_pandas, ("span", w_us), ties, by, "_b", order, cols), cols, stats)
-    if ties == "peers":
-        keyed = both.withColumn("_key", t)
-        frame_lo = -(w_us - 1)
-    else:
-        if max_width is None:   # the widest bucket bounds the composite key of row-order ties
-            max_width = observed(widths).get("max_width") or w_us
-        # one shuffle on (group, bucket) serves both the tie-rank window (group, bucket, time)
-        # and the frame window (group, bucket)
-        both = both.repartition(*by, "_b")
-        keyed, frame_lo = _composite_key(both, by, tie, ["_b"], t, F.col("_b") * width, w_us, max_width)
-    win = Window.partitionBy(*by, "_b").orderBy("_key").rangeBetween(frame_lo, 0)
-    out = keyed.select(*cols, "_b", "_own", *[_agg(s, F.col("value")).over(win).alias(s) for s in in_jvm])
-    if in_pandas:
-        # the window output is already clustered by (group, bucket): no further shuffle
-        return _reorder(_bucket_frames(out, in_pandas, ("span", w_us), ties, by, "_b", order, cols + in_jvm),
-                        cols, stats)
-    return out.where("_own").select(*cols, *stats)
-
-
-# ---- pandas engine for bounded buckets ---------------------------------------------
-
-def _engines(engine: str, stats, frame_rows: float, bucket_rows: float | None = None) -> tuple[list[str], list[str]]:
-    """Which statistics run as JVM window functions and which in pandas' rolling.
-
-    Spark's sliding frames recompute every frame row by row (O(rows x frame))
-    and its median boxes every value; pandas' rolling is O(rows) for mean/std
-    and O(rows log frame) for the median.  `auto`: small frames keep mean/std
-    in generated JVM code (a plain frame sum, as SQL engines give) and send
-    only the median to pandas; large frames send everything to pandas.
-    """
-    stats = list(stats)
-    if engine == "spark" or (engine == "auto" and bucket_rows is not None and bucket_rows > PANDAS_MAX_ROWS):
-        # (a bucket that may not fit a Python worker stays in Spark's spilling window operator)
-        return stats, []
-    if engine == "pandas" or frame_rows > PANDAS_FRAME_ROWS:
-        return [], stats
-    return [s for s in stats if s != "median"], [s for s in stats if s == "median"]
+    if engine == "spark" and ties == "peers":
+        win = Window.partitionBy(*by, "_b").orderBy(t).rangeBetween(-(w_us - 1), 0)
+        return both.select(*cols, "_own", _agg("median", F.col(VALUE)).over(win).alias("median")).where("_own")
+    _check_bucket(rows, "median over this span")
+    return _bucket_frames(both, ["median"], ("span", w_us), ties, by, "_b", ["_micros", *tie]).where("_own")
 
 
-def _reorder(df: DataFrame, cols, stats) -> DataFrame:
-    return df.select(*cols, *stats)
+# ---- pandas' rolling for bounded buckets -------------------------------------------
 
+def _bucket_frames(both: DataFrame, stats, kind, ties, by, bucket, order) -> DataFrame:
+    """Rolling statistics per (group, bucket) with pandas' rolling on the bucket's rows.
 
-def _bucket_frames(both: DataFrame, stats, kind, ties, by, bucket, order, cols) -> DataFrame:
-    """Rolling statistics per (group, bucket) with pandas' rolling on the bucket rows.
-
-    A bucket holds about ``TARGET_BUCKET_ROWS`` rows plus its halo, so each
-    group handed to pandas is bounded; Spark does the bucketing and shuffle.
+    The rows come sorted by their place in ``order``, computed in the JVM; only
+    the time, the value and that place are read, every column is returned as it came.
     """
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
 
     mode, param = kind
-    keep = list(dict.fromkeys([*cols, *by]))
-    inputs = list(dict.fromkeys([*keep, *order, bucket, "_own"]))
-    schema = T.StructType([both.schema[c] for c in keep] + [T.StructField(s, T.DoubleType()) for s in stats])
-
-    def frames(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
-        values = pd.to_numeric(pdf["value"], errors="coerce").astype("float64").to_numpy()
+    if mode == "span":
+        both = both.withColumn("_micros", _micros())
+    place = Window.partitionBy(*by, bucket).orderBy(*order)
+    both = both.withColumn("_place", F.row_number().over(place))
+    schema = T.StructType([*both.schema.fields, *[T.StructField(s, T.DoubleType()) for s in stats]])
+
+    def frames(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("_place").to_numpy(), kind="stable")))
+        values = table.column(VALUE).to_numpy(zero_copy_only=False).astype("float64")
         if mode == "span":
-            index = pd.DatetimeIndex(pdf["time"])
-            roll = pd.Series(values, index=index).rolling(pd.Timedelta(microseconds=param))
+            micros = table.column("_micros").to_numpy()
+            roll = pd.Series(values, index=pd.DatetimeIndex(micros.astype("datetime64[us]"))).rolling(pd.Timedelta(microseconds=param))
         else:
             roll = pd.Series(values).rolling(int(param))
-        own = pdf["_own"].to_numpy(dtype=bool)
-        out = pdf.loc[own, keep].reset_index(drop=True)
         for stat in stats:
             res = getattr(roll, stat)().to_numpy()
             if mode == "span" and ties == "peers":
                 # all rows of one timestamp see the frame of its last row
-                ts = index.asi8
-                res = res[np.searchsorted(ts, ts, side="right") - 1]
-            out[stat] = res[own]
-        return out
-
-    res = both.select(*inputs).groupBy(*by, bucket).applyInPandas(frames, schema)
-    return res.select(*keep, *[F.when(F.isnan(s), F.lit(None)).otherwise(F.col(s)).alias(s) for s in stats])
-
+                res = res[np.searchsorted(micros, micros, side="right") - 1]
+            table = table.append_column(stat, pa.array(res, pa.float64(), from_pandas=True))
+        return table
 
-def _composite_key(df, by, tie, extra, t, origin, w_us, width=None):
-    """Q1 row order: key = (t - origin) * K + r with K > 2 * max(r) + 1.
-
-    Frame ``[key - w*K + K - max(r), key]`` holds exactly the rows later than
-    ``t - w`` and not after the current row.  ``max(r)`` comes from a partial
-    aggregate of rows per timestamp (no window needed for it).
-    """
-    per_ts = df.groupBy(*by, *extra, "time").agg(F.count(F.lit(1)).alias("_c"))
-    s = per_ts.agg(F.max("_c").alias("c"), F.min("time").alias("t0"), F.max("time").alias("t1")).first()
-    m = int(s["c"] or 1) - 1
-    k = 2 * m + 2
-    if origin is None:
-        if s["t0"] is None:
-            base = t
-        else:
-            base = t - F.unix_micros(F.lit(s["t0"].isoformat(sep=" ")).cast("timestamp"))
-            span = int((s["t1"] - s["t0"]).total_seconds() * 1_000_000) + w_us
-            if span * k >= 2 ** 62:
-                raise ValueError("time range too long for row-order ties; use split=True or ties='peers'")
-    else:
-        base = t - origin
-        if (width + w_us) * k >= 2 ** 62:
-            raise ValueError("too many rows per timestamp for row-order ties")
-    ranked = _tie_rank(df, by, tie, extra)
-    return ranked.withColumn("_key", base * k + F.col("_r")), -(w_us * k) + (k - m)
+    return both.groupBy(*by, bucket).applyInArrow(frames, schema)

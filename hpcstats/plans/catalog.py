@@ -18,16 +18,19 @@ from pyspark.sql import functions as F
 from hpcstats.functions.intervals import Rows, Span
 from hpcstats.functions.predicates import FilterSpec, Predicate, select_metrics
 from hpcstats.functions.rules import MESSAGES, host_rules, job_rules, numeric_message
-from hpcstats.functions.text import clean_text, split_trim
+from hpcstats.functions.text import clean_text, fixed, split_trim, stamp, whole_days
 from hpcstats.operators.box import box_outliers, box_source, box_stats
 from hpcstats.operators.correlation import common_times, paired_points, pearson, pearson_pairs
 from hpcstats.operators.distribution import cdf, histogram, kde
-from hpcstats.operators.extract import extract, row_count, with_unit
+from hpcstats.operators.extract import drop_aux, extract, row_count, series_columns, with_unit
 from hpcstats.operators.quality import audit, quarantine
 from hpcstats.operators.rolling import rolling
 from hpcstats.operators.summary import metric_summary, outside_ratio
 from hpcstats.schema import EVENTS, EXITCODES, QUEUES, UNIT_TO_EVENT
-from hpcstats.sources.readers import union_sources
+from hpcstats.plans.analysis import analyse
+from hpcstats.sources.dirty import host_dirty, job_dirty, samples_dirty, with_dirty_views
+from hpcstats.sources.readers import run_sql, union_sources
+from hpcstats.sources.sinks import utc_naive
 from hpcstats.sources.shared_tables import host_view, job_view, with_views
 
 HOST_WINDOW = ("2024-01-05 00:00:00", "2024-01-10 00:00:00")
@@ -250,6 +253,87 @@ def q_quarantine_job(spark, sf):
     return quarantine(job_view(spark, sf), job_rules(with_choices=True)).select("jid", "failed_rules")
 
 
+def q_quality_audit_host_dirty(spark, sf):
+    return audit(host_dirty(spark, sf), host_rules())
+
+
+def q_quality_audit_job_dirty(spark, sf):
+    return audit(job_dirty(spark, sf), job_rules(with_choices=True))
+
+
+def q_quarantine_job_dirty(spark, sf):
+    return quarantine(job_dirty(spark, sf), job_rules(with_choices=True)).select("jid", "jobname", "failed_rules")
+
+
+def q_split_trim_dirty(spark, sf):
+    return job_dirty(spark, sf).select(F.explode(split_trim("host_list")).alias("node")).groupBy("node") \
+        .agg(F.count(F.lit(1)).alias("n_jobs"))
+
+
+def q_rolling_dirty(spark, sf):
+    stats = ["mean", "median", "std"]
+    out = rolling(samples_dirty(spark, sf), stats, Span(6, "Hours"), by=("event", "host"), tie="event_id")
+    return rnd(out.select("event_id", "event", "host", F.col("big").cast("string").alias("big"), *stats), stats)
+
+
+def q_rolling_time_days(spark, sf):
+    """Spans of days.  Values in another unit: two-decimal ones would make means that are ties of the last place kept."""
+    scaled = _series(spark, sf).withColumn("value", F.col("value") * F.lit(1.4142135623730951))
+    return rnd(rolling(scaled, ["mean", "std"], Span(5, "Days"), tie="event_id").drop("value"), ["mean", "std"])
+
+
+# ---------------------------------------------------------------------------- requests, projections, scalar functions
+
+def q_analyse_series(spark, sf):
+    return analyse(host_view(spark, sf), ["None"])["series"]
+
+
+def q_job_filter_big_int(spark, sf):
+    """Whole numbers beyond 53 bits, given as text, compare exactly."""
+    jobs = job_view(spark, sf).withColumn("ncores", F.substring("jid", 4, 20).cast("long") + F.lit(2 ** 53))
+    spec = FilterSpec("job", columns=("jid", "ncores"), predicates=(
+        Predicate("ncores", ">=", "9007199254740993"), Predicate("ncores", "<", "9_007_199_254_741_093"), Predicate("ncores", "!=", "9007199254740994.5")))
+    return extract(jobs, spec)
+
+
+def q_job_in_long_list(spark, sf):
+    """An IN list of thousands of values: a semi join, no literal per value."""
+    spec = FilterSpec("job", columns=("jid", "queue"), in_column="jid", in_values=tuple(f"JOB{i}" for i in range(0, 60_000, 7)))
+    return extract(job_view(spark, sf), spec)
+
+
+def q_drop_aux(spark, sf):
+    h = host_view(spark, sf)
+    return drop_aux(h.select("*", F.lit("gauge").alias("type"), F.lit(0.5).alias("diff"), F.lit(1.0).alias("arc")))
+
+
+def q_series_columns(spark, sf):
+    return series_columns(host_view(spark, sf), ["event_id"])
+
+
+def q_parameter_sql(spark, sf):
+    return run_sql(spark, "select host, count(*) as n, max(value) as top from samples where event = :event and value > :least group by host",
+                   {"event": "block", "least": 10.0}, {"samples": host_view(spark, sf)})
+
+
+def q_utc_naive(spark, sf):
+    """Zoned times (here: two hours east of UTC) become naive UTC in an export."""
+    zoned = host_view(spark, sf).select("event_id", F.to_timestamp_ltz(F.concat(F.col("time").cast("string"), F.lit("+02:00"))).alias("seen"))
+    return utc_naive(zoned)
+
+
+def q_time_stamp(spark, sf):
+    return host_view(spark, sf).select("event_id", stamp("time").alias("stamp"))
+
+
+def q_fixed_decimals(spark, sf):
+    return host_view(spark, sf).select("event_id", fixed(F.round("value", 1), 2).alias("label"))
+
+
+def q_whole_days(spark, sf):
+    return job_view(spark, sf).select("jid", whole_days("submit_time", "end_time").alias("days"))
+
+
 def q_clean_text(spark, sf):
     return host_view(spark, sf).select("unit", clean_text("unit").alias("cleaned")).distinct()
 
@@ -307,6 +391,22 @@ QUERIES = {
     "quarantine_job": q_quarantine_job,
     "clean_text": q_clean_text,
     "split_trim": q_split_trim,
+    "quality_audit_host_dirty": q_quality_audit_host_dirty,
+    "quality_audit_job_dirty": q_quality_audit_job_dirty,
+    "quarantine_job_dirty": q_quarantine_job_dirty,
+    "split_trim_dirty": q_split_trim_dirty,
+    "rolling_dirty": q_rolling_dirty,
+    "rolling_time_days": q_rolling_time_days,
+    "analyse_series": q_analyse_series,
+    "job_filter_big_int": q_job_filter_big_int,
+    "job_in_long_list": q_job_in_long_list,
+    "drop_aux": q_drop_aux,
+    "series_columns": q_series_columns,
+    "parameter_sql": q_parameter_sql,
+    "utc_naive": q_utc_naive,
+    "time_stamp": q_time_stamp,
+    "fixed_decimals": q_fixed_decimals,
+    "whole_days": q_whole_days,
 }
 
 
@@ -457,13 +557,28 @@ select mx as metric_x, my as metric_y, n_x, n_y, n, round(r, 6) as correlation,
 from pv2""")
 
 
-def _audit_sql(table: str, checks: list[tuple[str, str, str, str]]) -> str:
+def _quarantine_body(table: str, columns: str) -> str:
+    return (f"select {columns}, failed_rules from (select {columns}, list_filter([" +
+            ", ".join(f"case when coalesce({fail}, false) then '{name}' end" for name, _, _, fail in _job_checks()) +
+            f"], lambda x: x is not null) as failed_rules from {table}) where len(failed_rules) > 0")
+
+
+def _split_trim_sql(table: str) -> str:
+    return (f"select {_trim_sql('x')} as node, count(*) as n_jobs "
+            f"from (select unnest(string_split(host_list, ',')) as x from {table}) group by 1")
+
+
+def _audit_body(table: str, checks: list[tuple[str, str, str, str]]) -> str:
     parts = []
     for name, column, message, fail in checks:
         msg = message.replace("'", "''")
         parts.append(f"select '{name}' as rule, '{column}' as column, count(*) as n_checked, "
                      f"count(*) filter (where coalesce({fail}, false)) as n_failed, '{msg}' as message from {table}")
-    return with_views("\n union all ".join(parts))
+    return "\n union all ".join(parts)
+
+
+def _audit_sql(table: str, checks: list[tuple[str, str, str, str]]) -> str:
+    return with_views(_audit_body(table, checks))
 
 
 # the whitespace Python's strip()/float() remove, as an RE2 class
@@ -518,7 +633,8 @@ def oracle() -> dict[str, str]:
                  f"join {EVENT_POS_SQL.replace('ep(', 'b(')} on a.pos < b.pos")
     roll3 = _rolling_span_sql(["mean", "median", "std"], 3 * 3_600_000_000)
     # the rolling values are rounded in roll3; the box must see unrounded ones
-    roll3_raw = roll3.replace("round(avg(value) over w, 6)", "avg(value) over w") \
+    # (means from decimal sums: exact, so a quartile that is a tie of the last place kept does not follow the order of summation)
+    roll3_raw = roll3.replace("round(avg(value) over w, 6)", "avg(cast(value as decimal(18, 6))) over w") \
         .replace("round(quantile_cont(value, 0.5) over w, 6)", "quantile_cont(value, 0.5) over w") \
         .replace("round(stddev_samp(value) over w, 6)", "stddev_samp(value) over w")
     rolling_src = (f"select event, stat as statistic, val as value from ({roll3_raw}) r "
@@ -637,13 +753,34 @@ select date_trunc('hour', time) as time from host_data where event = 'memused'""
         "pearson_pairs": _pearson_sql(all_pairs),
         "quality_audit_host": _audit_sql("host_data", _host_checks()),
         "quality_audit_job": _audit_sql("job_data", _job_checks()),
-        "quarantine_job": with_views(
-            "select jid, failed_rules from (select jid, list_filter([" +
-            ", ".join(f"case when coalesce({fail}, false) then '{name}' end" for name, _, _, fail in _job_checks()) +
-            "], lambda x: x is not null) as failed_rules from job_data) where len(failed_rules) > 0"),
+        "quarantine_job": with_views(_quarantine_body("job_data", "jid")),
         "clean_text": with_views(
             "select distinct unit, regexp_replace(unit, '[^a-zA-Z0-9,]', '', 'g') as cleaned from host_data"),
-        "split_trim": with_views(
-            f"select {_trim_sql('x')} as node, count(*) as n_jobs "
-            "from (select unnest(string_split(host_list, ',')) as x from job_data) group by 1"),
+        "split_trim": with_views(_split_trim_sql("job_data")),
+        "quality_audit_host_dirty": with_dirty_views(_audit_body("host_dirty", _host_checks())),
+        "quality_audit_job_dirty": with_dirty_views(_audit_body("job_dirty", _job_checks())),
+        "quarantine_job_dirty": with_dirty_views(_quarantine_body("job_dirty", "jid, jobname")),
+        "split_trim_dirty": with_dirty_views(_split_trim_sql("job_dirty")),
+        "rolling_dirty": with_dirty_views("""
+select event_id, event, host, cast(big as varchar) as big, round(avg(v) over w, 6) as mean, round(quantile_cont(v, 0.5) over w, 6) as median,
+       round(stddev_samp(v) over w, 6) as std
+from (select *, case when isfinite(value) then value end as v from samples_dirty)
+window w as (partition by event, host order by epoch_us(time) range between 21599999999 preceding and current row)"""),
+        "rolling_time_days": with_views("""
+select event_id, time, event, round(avg(v) over w, 6) as mean, round(stddev_samp(v) over w, 6) as std
+from (select *, value * 1.4142135623730951 as v from host_data)
+window w as (partition by event order by epoch_us(time) range between 431999999999 preceding and current row)"""),
+        "analyse_series": with_views("select event_id, time, host, jid, event, unit, value from host_data"),
+        "job_filter_big_int": with_views(
+            "select jid, n as ncores from (select jid, cast(substr(jid, 4) as bigint) + 9007199254740992 as n from job_data) "
+            "where n >= 9007199254740993 and n < 9007199254741093"),
+        "job_in_long_list": with_views("select jid, queue from job_data where cast(substr(jid, 4) as bigint) % 7 = 0 "
+                                       "and cast(substr(jid, 4) as bigint) < 60000"),
+        "drop_aux": with_views("select event_id, time, host, jid, event, unit, value from host_data"),
+        "series_columns": with_views("select time, event, value, event_id from host_data"),
+        "parameter_sql": with_views("select host, count(*) as n, max(value) as top from host_data where event = 'block' and value > 10 group by host"),
+        "utc_naive": with_views("select event_id, time - interval 2 hours as seen from host_data"),
+        "time_stamp": with_views("select event_id, strftime(time, '%Y-%m-%d-%H-%M-%S') as stamp from host_data"),
+        "fixed_decimals": with_views("select event_id, printf('%.2f', round(value, 1)) as label from host_data"),
+        "whole_days": with_views("select jid, cast(floor((epoch_us(end_time) - epoch_us(submit_time)) / 86400000000) as bigint) as days from job_data"),
     }

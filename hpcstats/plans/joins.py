@@ -17,6 +17,7 @@ but are used by a second pass over the samples.  Two rules apply:
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -44,6 +45,18 @@ def materialize(df: DataFrame, label: str = "t", observe: dict | None = None) ->
     return out
 
 
+def stored_columns(df: DataFrame, label: str = "t") -> DataFrame:
+    """Write a sample-sized table once as Parquet in the shared checkpoint folder and read it back.
+
+    For tables that several passes read: columnar, compressed, and each pass
+    reads the columns it needs (a checkpoint keeps whole rows).
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def observed(df: DataFrame) -> dict:
     """Metrics gathered while ``df`` was materialised ({} for other frames)."""
     return getattr(df, "_hpcstats_observed", {})
@@ -67,10 +80,21 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", cols=No
     """
     small_enough = is_small(small, BROADCAST_MAX_ROWS if max_rows is None else max_rows)
     side = small.select(*cols) if cols is not None else small
-    if small_enough:
-        return big.join(F.broadcast(side), on, how)
     keys = [on] if isinstance(on, str) else list(on)
+    if small_enough:
+        return join_null_safe(big, F.broadcast(side), keys, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(JOIN_SALTS))
     salted_big = big.withColumn("_salt", salt)
     salted_side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(JOIN_SALTS - 1).cast("long"))))
-    return salted_big.join(salted_side, [*keys, "_salt"], how).drop("_salt")
+    return join_null_safe(salted_big, salted_side, [*keys, "_salt"], how).drop("_salt")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join on equal columns where NULL equals NULL: a NULL group key is a group like any other.
+
+    The columns are those of a join by name: the keys once (from the left).
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])

@@ -21,7 +21,7 @@ def _run(h):
         "hist": _rounded(histogram(h).collect()),
         "kde": _rounded(kde(h).collect()),
         "q": _rounded(exact_quantiles(h, "value", [0.5], by=["event"], in_memory_rows=0, rank_rows=50,
-                                    buckets=16).collect()),
+                                    splits=16).collect()),
         "roll_t": _rounded(rolling(series, ["mean", "median"], Span(3, "Hours"), tie="event_id").collect()),
         "roll_r": _rounded(rolling(series, ["std"], Rows(4), tie="event_id").collect()),
     }

@@ -156,7 +156,7 @@ def test_exact_quantiles_refinement(spark, skewed):
     pdf = pd.DataFrame({"g": groups, "value": vals})
     df = spark.createDataFrame(pdf)
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = exact_quantiles(df, "value", probs, by=["g"], in_memory_rows=0, rank_rows=40, buckets=8).toPandas()
+    got = exact_quantiles(df, "value", probs, by=["g"], in_memory_rows=0, rank_rows=40, splits=8).toPandas()
     fast = exact_quantiles(df, "value", probs, by=["g"]).toPandas()
     for g, sub in pdf.groupby("g"):
         want = np.percentile(sub["value"], [p * 100 for p in probs])
@@ -167,7 +167,7 @@ def test_exact_quantiles_refinement(spark, skewed):
 
 def test_exact_quantiles_global_and_empty(spark):
     df = spark.createDataFrame([(float(v),) for v in range(10)], "value double")
-    r = exact_quantiles(df, "value", [0.5], in_memory_rows=0, rank_rows=3, buckets=4).first()
+    r = exact_quantiles(df, "value", [0.5], in_memory_rows=0, rank_rows=3, splits=4).first()
     assert r[0] == 4.5
     empty = exact_quantiles(df.where("value > 100"), "value", [0.5], by=[])
     assert empty.count() == 0
@@ -178,7 +178,7 @@ def test_refinement_on_shared_table(spark):
     from conftest import SF_CHECK
     h = host_view(spark, SF_CHECK)
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
-    forced = exact_quantiles(h, "value", probs, by=["event"], in_memory_rows=0, rank_rows=100, buckets=16)
+    forced = exact_quantiles(h, "value", probs, by=["event"], in_memory_rows=0, rank_rows=100, splits=16)
     direct = exact_quantiles(h, "value", probs, by=["event"])
     pdf = h.select("event", "value").toPandas()
     a, b = forced.toPandas().set_index("event"), direct.toPandas().set_index("event")
@@ -188,16 +188,19 @@ def test_refinement_on_shared_table(spark):
             assert _close(a.loc[event, col], w, 1e-12) and _close(b.loc[event, col], w, 1e-12)
 
 
-def test_quantiles_complete_after_round_limit(spark, monkeypatch):
+def test_quantiles_narrow_by_count(spark):
+    """Infinities, extreme magnitudes and a NULL group: the same answers on every path, and few values ranked at last."""
     import hpcstats.operators.quantiles as Q
-    monkeypatch.setattr(Q, "MAX_ROUNDS", 1)
-    # values over many orders of magnitude: equal-width buckets shrink the range slowly
-    vals = [float(2.0 ** e) for e in range(-400, 400, 3)] + [-1e300, 0.0, 5e-324]
-    df = spark.createDataFrame([(v,) for v in vals], "value double")
-    r = Q.exact_quantiles(df, "value", [0.25, 0.5, 0.9], in_memory_rows=0, rank_rows=2, buckets=4).first()
-    want = np.percentile(np.array(vals), [25, 50, 90])
-    assert all(_close(a, b, 1e-12) for a, b in zip(r, want))
-
+    vals = [float(2.0 ** e) for e in range(-400, 400, 3)] + [-1e308, 1e308, 0.0, 5e-324, float("inf"), float("inf"), float("-inf")]
+    rows = [("a", v) for v in vals] + [(None, v) for v in vals] + [(None, 1.0)] * 200 + [("b", float("inf"))] * 9 + [("b", float("nan")), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(6)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    one, many = ({r[0]: tuple(r[1:]) for r in Q.exact_quantiles(df, "value", probs, by=["g"], **kw).collect()}
+                 for kw in ({}, {"in_memory_rows": 0, "rank_rows": 5, "splits": 8}))
+    assert one.keys() == many.keys() == {"a", "b", None}
+    for g in one:
+        assert all(a == b or math.isclose(a, b, rel_tol=1e-12) for a, b in zip(one[g], many[g])), g
+    assert one[None][2] == 1.0 and one["b"] == (math.inf,) * 5
 
 def test_extract_compares_nan_like_the_database(spark):
     from hpcstats.functions.predicates import FilterSpec, Predicate
