@@ -46,9 +46,16 @@ def stamp_py(value) -> str:
     return value.strftime(EXPORT_TIME_FORMAT) if isinstance(value, _dt.datetime) else str(value)
 
 
+def wall_micros(col) -> Column:
+    """Microseconds of a wall-clock time since 1970, whatever the session's zone."""
+    t = _c(col).cast("timestamp_ntz")
+    clock = (F.hour(t) * 60 + F.minute(t)).cast("long") * F.lit(60_000_000)
+    return F.unix_date(t.cast("date")) * F.lit(86_400_000_000) + clock + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
 def whole_days(start, end) -> Column:
     """Whole days between two times (floored)."""
-    return F.timestamp_diff("DAY", _c(start), _c(end))
+    return F.floor((wall_micros(end) - wall_micros(start)) / F.lit(86_400_000_000)).cast("long")
 
 
 def fixed(col, decimals: int = 2) -> Column:

@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hpcstats.functions.intervals import Rows, Span
+from hpcstats.functions.text import wall_micros
 from hpcstats.plans.joins import join_small, materialize, observed
 from hpcstats.sources.readers import missing_as_null
 
@@ -78,8 +79,7 @@ def _agg(stat: str, value: Column) -> Column:
 
 
 def _micros(col: str = "time") -> Column:
-    """Microseconds of the wall clock since 1970, whatever the session's zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(col).cast("timestamp_ntz"))
+    return wall_micros(col)
 
 
 def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: str | None = None,
