@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hpcstats.llm.shared import SMALL_ROWS, documents, stored, with_columns
-from hpcstats.llm.tokens import TextEncoder, sliced, vocabulary_path
+from hpcstats.llm.tokens import sliced, vocabulary_path, worker_encoder
 
 SIZE = 2048
 END_ID = 0
@@ -48,7 +48,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_i
     path = path or vocabulary_path()
 
     def run(batches):
-        encoder, seen, end = TextEncoder(path), np.zeros(size + 1, dtype=np.int64), np.uint32(end_id).tobytes()
+        encoder, seen, end = worker_encoder(path), np.zeros(size + 1, dtype=np.int64), np.uint32(end_id).tobytes()
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in sliced(texts):

@@ -67,7 +67,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         total = np.zeros(CLASSES ** ORDER, dtype=np.int64)
         for frame in batches:
             values = frame["text"].tolist()
-            for a, b in sliced(values):
+            for a, b in sliced(values, 2_000_000):
                 code, starts, ends = _gram_codes(Batch(values[a:b]))
                 edges = np.zeros(len(code) + 1, dtype=np.int32)
                 np.add.at(edges, starts, 1)
@@ -145,7 +145,7 @@ def score(docs: DataFrame, cost: np.ndarray) -> DataFrame:
         table = model.value
         for frame in batches:
             values = frame["text"].tolist()
-            for a, b in sliced(values):
+            for a, b in sliced(values, 2_000_000):
                 batch = Batch(values[a:b])
                 out = _word_statistics(values[a:b], batch)
                 code, starts, ends = _gram_codes(batch)

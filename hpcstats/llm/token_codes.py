@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hpcstats.llm.shared import SMALL_ROWS, documents, shuffle_parts, stored, with_columns
-from hpcstats.llm.tokens import TextEncoder, sliced, vocabulary_path
+from hpcstats.llm.tokens import sliced, vocabulary_path, worker_encoder
 
 MAGIC = b"DAC1"
 WIDTHS = (8, 4, 4, 16)  # chunk bits of the levels; together they hold any 32-bit id
@@ -128,7 +128,7 @@ class Segment:
 
 def _segments(path: str, end_id: int, segment_tokens: int):
     def run(batches):
-        encoder, ids, lengths, docs, tokens, part = TextEncoder(path), [], [], [], 0, None
+        encoder, ids, lengths, docs, tokens, part = worker_encoder(path), [], [], [], 0, None
         end, number = np.uint32(end_id).tobytes(), 0
 
         def close():
