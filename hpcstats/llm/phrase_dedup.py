@@ -35,13 +35,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hpcstats.llm.shared import documents, shuffle_parts, stored, with_columns
+from hpcstats.llm.shared import batch_rows, documents, shuffle_parts, stored, with_columns
 from hpcstats.llm.wordhash import BASE, BYTE_VALUES, mixed, powers
 
 LENGTH = 50
 TRIGGER = 20
-BLOCK_BYTES = 2_000_000
-BUCKET_BYTES = 8_000_000
+BLOCK_BYTES = 1_000_000
+BUCKET_BYTES = 4_000_000
+BATCH_BLOCKS = 16  # blocks handed to Python at a time
 HOT = 20_000
 BROADCAST_BYTES = 32_000_000
 NO_ID = np.iinfo(np.int64).min
@@ -79,7 +80,7 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[:len(low) - (width - span)], low[width - span:]) if width > span else low
 
 
-def phrases(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER, chunk: int = 1 << 20):
+def phrases(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER, chunk: int = 1 << 18):
     """Start, number of strings and trigger of every phrase of texts that lie end to end (``ends``)."""
     starts, counts, triggers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     over = length - 1
@@ -218,7 +219,8 @@ def _dictionary(block, ids, ends, data, answers, buckets):
     singles = live & hot
     # strings of hot triggers travel singly, by their own fingerprints
     at = ragged(starts[singles], counts[singles])
-    key = rolling(data, LENGTH)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+    strings = ragged(starts[singles], counts[singles] + LENGTH - 1)
+    key = _suffixes(data[strings], counts[singles]) if len(at) else np.zeros(0, dtype=np.uint64)
     live &= ~hot
     starts, counts = np.concatenate([starts[live], at]), np.concatenate([counts[live], np.ones(len(at), dtype=np.int64)])
     key = np.concatenate([triggers[live], key])
@@ -245,6 +247,19 @@ def _dictionary(block, ids, ends, data, answers, buckets):
         yield int(b), block, False, _pack(ids[doc[x]], starts[x], counts[x], text)
 
 
+def _suffixes(text: np.ndarray, counts: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
+    """Fingerprint of the first ``LENGTH`` bytes of every suffix of phrases that lie end to end, some phrases at a time."""
+    sizes = counts + LENGTH - 1
+    ends = np.cumsum(sizes)
+    out, i = [], 0
+    while i < len(counts):
+        start = ends[i] - sizes[i]
+        j = max(i + 1, int(np.searchsorted(ends, start + chunk)))
+        out.append(rolling(text[start:ends[j - 1]], LENGTH)[ragged(ends[i:j] - sizes[i:j] - start, counts[i:j])])
+        i = j
+    return np.concatenate(out)
+
+
 def _repeats(frame: pd.DataFrame) -> pd.DataFrame:
     """A bucket of the dictionary: byte ranges (block, ranges) whose 50-byte strings start in a smaller doc_id too."""
     local, frame = frame[frame["local"]], frame[~frame["local"]]
@@ -253,9 +268,8 @@ def _repeats(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(d, np.int64, np.int64, np.int64, np.uint8) for d in frame["data"]]
         ids, starts, counts, text = (np.concatenate(x) for x in zip(*parts))
         where = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        sizes = counts + LENGTH - 1
-        at = ragged(np.cumsum(sizes) - sizes, counts)
-        suffix = rolling(text, LENGTH)[at]
+        suffix = _suffixes(text, counts)
+        at = np.arange(len(suffix))
         owner = np.repeat(np.arange(len(ids)), counts)
         order = np.argsort(suffix)
         ordered = suffix[order]
@@ -317,7 +331,6 @@ def removed_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int =
     blocks = text_blocks(docs, block_bytes)
     total = blocks.select(F.sum("n_bytes")).first()[0] or 0
     buckets = max(2 * shuffle_parts(docs.sparkSession), -(-total // BUCKET_BYTES))
-    marked = _answered(blocks, repeated_ranges(blocks, buckets, hot), "ranges")
 
     def cut(batches):
         for frame in batches:
@@ -337,9 +350,11 @@ def removed_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int =
                                 kept.decode("utf-8", "replace") if texts else None))
                 yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    rows = marked.mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows if texts else rows.drop("kept_text")
+    with batch_rows(docs.sparkSession, BATCH_BLOCKS):
+        marked = _answered(blocks, repeated_ranges(blocks, buckets, hot), "ranges")
+        rows = marked.mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+        rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+        return stored(rows if texts else rows.drop("kept_text"), "cut")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
