@@ -100,7 +100,8 @@ def phrases(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, trigger: i
         starts.append(at + a)
         counts.append(np.flatnonzero(last) - at + 1)
         triggers.append(least[at])
-    return np.concatenate(starts), np.concatenate(counts), np.concatenate(triggers)
+    # least hashes are small numbers: mixed once more, they fill all buckets alike
+    return np.concatenate(starts), np.concatenate(counts), mixed(np.concatenate(triggers) + np.uint64(1))
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
