@@ -22,7 +22,7 @@ A trigger that occurs in very many different phrases (a stock expression in a
 third of the texts) would fill its bucket: above ``HOT`` its 50-byte strings
 travel singly, dealt by their own fingerprints.  Documents lie in blocks of
 about ``BLOCK_BYTES``, stored once; what buckets answer is small and joined to
-the blocks, by broadcast only if counted small.
+the blocks by their numbers.
 """
 
 from __future__ import annotations
@@ -44,7 +44,6 @@ BLOCK_BYTES = 1_000_000
 BUCKET_BYTES = 4_000_000
 BATCH_BLOCKS = 16  # blocks handed to Python at a time
 HOT = 20_000
-BROADCAST_BYTES = 32_000_000
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -293,10 +292,9 @@ def _repeats(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def _answered(blocks: DataFrame, answers: DataFrame, column: str) -> DataFrame:
-    """Blocks with their answers; the answers are broadcast only if they are known to be small."""
-    size = answers.select(F.sum(F.aggregate(column, F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)))).first()[0] or 0
-    return blocks.join(F.broadcast(answers) if size <= BROADCAST_BYTES else answers, "block", "left")
+def _answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Blocks with their answers, joined by block at every size: the answers grow with the corpus."""
+    return blocks.join(answers.hint("shuffle_merge"), "block", "left")
 
 
 def repeated_ranges(blocks: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
@@ -308,7 +306,7 @@ def repeated_ranges(blocks: DataFrame, buckets: int, hot: int = HOT) -> DataFram
                 if rows:
                     yield pd.DataFrame(rows, columns=["bucket", "block", "local", "data"])
 
-    known = _answered(blocks, repeated_triggers(blocks, buckets, hot), "answers")
+    known = _answered(blocks, repeated_triggers(blocks, buckets, hot))
     phrase_rows = known.mapInPandas(parse, "bucket int, block long, local boolean, data binary")
     # ranges settled in the block need no bucket: they are dealt by block
     dealt = phrase_rows.withColumn("task", F.when(F.col("local"), F.pmod(F.xxhash64("block"), F.lit(buckets))).otherwise(F.col("bucket")))
@@ -352,7 +350,7 @@ def removed_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int =
                 yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     with batch_rows(docs.sparkSession, BATCH_BLOCKS):
-        marked = _answered(blocks, repeated_ranges(blocks, buckets, hot), "ranges")
+        marked = _answered(blocks, repeated_ranges(blocks, buckets, hot))
         rows = marked.mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
         rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
         return stored(rows if texts else rows.drop("kept_text"), "cut")
