@@ -1,36 +1,49 @@
-"""Quality rules: exact word statistics, and perplexity bands from a modified Kneser-Ney model.
-
-The model is over characters, in an alphabet of 32 classes (the letters a-z,
-one class each for capitals, digits, white space, punctuation, other ASCII and
-everything beyond ASCII), of order 4.  Spark counts the 4-grams of *all* texts:
-every task sums its own, an aggregation adds them up.  There are at most
-32 ** 4 = 1,048,576 different ones, whatever the corpus, so the array of their
-probabilities, sorted by the gram's code (its hash, free of collisions), is
-bounded by 4 MB and broadcast.
-
-A text's score is the mean negative log probability of its characters.  A
-language's band is centred on the median score of its texts that pass the base
-rules, and is as wide as ``WIDTH`` robust deviations plus a share for chance
-that shrinks with the square root of the text's length.  Texts above (noise,
-symbols, capitals) or below (monotony) are rejected.
+"""Quality rules: exact word statistics, and perplexity bands from modified Kneser-Ney models.
+
+The word model is over pairs of words as they are written (64-bit hashes of
+their bytes: capitals, digits and every script apart).  Spark counts the pairs
+of *all* texts, summed per task first; the model, one row per different pair
+with the cost (-log P) of its second word after the first and alone, grows with
+the corpus and is kept as Parquet sorted and partitioned by ranges of the
+pair's hash.  Texts meet it by a join on that hash; the most frequent pairs, at
+most ``SMALL_ROWS``, are looked up in the workers, so none fills a task.
+
+The spelling model is over characters, in an alphabet of 32 classes (the
+letters a-z, one class each for capitals, digits, white space, punctuation,
+other ASCII and everything beyond ASCII), of order 4: at most 32 ** 4 =
+1,048,576 numbers, broadcast.
+
+A text has three scores: the mean cost of its characters (``surprise``), of its
+words alone (``word_surprise``) and after one another (``pair_surprise``).  A
+language's bands are centred on the medians of its texts that pass the base
+rules and are ``WIDTH`` robust deviations wide; the variance at a text's length
+is a part of its own and a part for chance over the length, both fitted to the
+spread of the scores at all lengths.  Texts above (noise, symbols,
+capitals, unusual order) or below (monotony) are rejected, but not those with a
+low ``pair_surprise``: that marks copies, which the dedup stages judge.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hpcstats.llm.shared import SMALL_ROWS, documents, stored, with_columns
+from hpcstats.llm.shared import SMALL_ROWS, documents, shuffle_parts, stored, with_columns
 from hpcstats.llm.tokens import sliced
-from hpcstats.llm.wordhash import Batch, mixed
+from hpcstats.llm.wordhash import STEP, Batch, mixed
 
 ORDER = 4
 CLASSES = 32
 WIDTH = 3.0
-CHANCE = 2.5
 LEAST_DEVIATION = 0.02
+MIN_SPREAD = 20  # texts of like length for a measured spread; fewer count only where no length has as many
+# The scores and the column that holds how many costs each is the mean of.
+SCORES = {"surprise": "n_chars", "word_surprise": "n_words", "pair_surprise": "n_words"}
+BEGIN = np.uint64(0x9AE16A3B2F90404F)  # stands before the first word of a text
 WINDOW = 5
 MIN_WORDS = 10
 MOST_REPEATED = 20  # percent of the words
@@ -113,6 +126,108 @@ def train(texts: DataFrame) -> np.ndarray:
     return -np.log(kneser_ney(counts)).reshape(-1).astype(np.float32)
 
 
+def _pairs(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word before every word (BEGIN for a text's first) and of the two as a pair."""
+    left = np.full(len(batch.word_hash), BEGIN, dtype=np.uint64)
+    inside = np.flatnonzero(batch.word_doc[1:] == batch.word_doc[:-1]) + 1
+    left[inside] = batch.word_hash[inside - 1]
+    return left, mixed(left * STEP + batch.word_hash)
+
+
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """(text) to (pair, left, word, n): all pairs of words of all texts, by their hashes."""
+    def run(batches):
+        for frame in batches:
+            values = frame["text"].tolist()
+            for a, b in sliced(values, 2_000_000):
+                batch = Batch(values[a:b])
+                left, pair = _pairs(batch)
+                seen, first, n = np.unique(pair, return_index=True, return_counts=True)
+                yield pd.DataFrame({"pair": seen.view(np.int64), "left": left[first].view(np.int64),
+                                    "word": batch.word_hash[first].view(np.int64), "n": n})
+    return texts.mapInPandas(run, "pair long, left long, word long, n long").groupBy("pair").agg(
+        F.first("left").alias("left"), F.first("word").alias("word"), F.sum("n").alias("n"))
+
+
+def _discounts(have: list[int]) -> list[float]:
+    """Of counts 1, 2 and more, from the numbers of counts 1 to 4."""
+    if not (have[0] and have[1]):
+        return [0.5, 0.5, 0.5]
+    y = have[0] / (have[0] + 2 * have[1])
+    found = [k - (k + 1) * y * have[k] / have[k - 1] if have[k - 1] else 0.5 for k in (1, 2, 3)]
+    return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), found)]
+
+
+def _by_key(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of a stored table with one that has a row per key; the keys with the most rows are broadcast."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * SMALL_ROWS > total  # at most SMALL_ROWS keys, as their weights sum up to the total
+    often, rest = F.broadcast(table.where(hot).drop(weight)), table.where(~hot).drop(weight)
+    return rows.join(often, key).unionByName(rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(rest, key))
+
+
+def word_model(texts: DataFrame) -> DataFrame:
+    """(text) to (pair, n, pair_cost, word_cost): interpolated modified Kneser-Ney costs of all pairs, sorted by hash.
+
+    As in ``kneser_ney``: a word alone counts its different left neighbours,
+    over a uniform base; a pair has its discounted count, and the discounts of
+    its left word's pairs are shared out by the words alone.
+    """
+    counts = stored(count_pairs(texts), "pairs")
+    counted = lambda k: F.sum((F.col("n") == k).cast("long"))
+    words = stored(counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    lefts = stored(counts.groupBy("left").agg(F.sum("n").alias("total"), *[counted(k).alias(f"n{k}") for k in (1, 2)],
+                                              F.count(F.lit(1)).alias("pairs")), "lefts")
+    of_pairs, of_words = ([x or 0 for x in t.agg(*[counted(k) for k in (1, 2, 3, 4)], F.count(F.lit(1)), F.sum("n")).first()]
+                          for t in (counts, words))
+    d_pair, d_word = _discounts(of_pairs), _discounts(of_words)
+    taken = lambda d: F.when(F.col("n") >= 3, d[2]).when(F.col("n") == 2, d[1]).otherwise(d[0])
+    different, tokens = max(of_words[4], 1), max(of_words[5], 1)
+    spare = sum(d * n for d, n in zip(d_word, (of_words[0], of_words[1], of_words[4] - of_words[0] - of_words[1])))
+    words = words.select("word", ((F.col("n") - taken(d_word) + spare / different) / tokens).alias("p_word"), F.col("n").alias("pairs"))
+    shared = d_pair[0] * F.col("n1") + d_pair[1] * F.col("n2") + d_pair[2] * (F.col("pairs") - F.col("n1") - F.col("n2"))
+    lefts = lefts.select("left", "total", shared.alias("shared"), "pairs")
+    both = _by_key(_by_key(counts, words, "word", "pairs"), lefts, "left", "pairs")
+    p_pair = (F.col("n") - taken(d_pair) + F.col("shared") * F.col("p_word")) / F.col("total")
+    costs = both.select("pair", "n", (-F.log(p_pair)).cast("float").alias("pair_cost"), (-F.log("p_word")).cast("float").alias("word_cost"))
+    return stored(costs.repartitionByRange(shuffle_parts(texts.sparkSession), "pair").sortWithinPartitions("pair"), "word-model")
+
+
+def word_scores(texts: DataFrame, model: DataFrame) -> DataFrame:
+    """(text_key, text) to (text_key, word_surprise, pair_surprise): mean costs of each text's words; equal texts share a row."""
+    session = texts.sparkSession
+    total = model.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * SMALL_ROWS > total  # at most SMALL_ROWS pairs, as their counts sum up to the total
+    often = model.where(hot).drop("n").toPandas().sort_values("pair")
+    table = session.sparkContext.broadcast([often[c].to_numpy() for c in ("pair", "pair_cost", "word_cost")])
+
+    def run(batches):
+        known, *costs = table.value
+        for frame in batches:
+            values = frame["text"].tolist()
+            for a, b in sliced(values, 2_000_000):
+                batch = Batch(values[a:b])
+                key, doc, pair = frame["text_key"].to_numpy()[a:b], batch.word_doc, _pairs(batch)[1].view(np.int64)
+                at = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
+                found = known[at] == pair if len(known) else np.zeros(len(pair), dtype=bool)
+                sums = [np.bincount(doc[found], weights=c[at[found]], minlength=batch.docs) for c in costs]
+                # one row per text with what is known here (under its own key, which spreads them), the others by their pairs
+                yield pd.DataFrame({"text_key": key, "pair": key, "n": np.bincount(doc[found], minlength=batch.docs),
+                                    "pair_sum": sums[0], "word_sum": sums[1]})
+                rest = np.flatnonzero(~found)
+                order = rest[np.lexsort((pair[rest], doc[rest]))]
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (pair[order][1:] != pair[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+                first = np.flatnonzero(new)
+                yield pd.DataFrame({"text_key": key[doc[order[first]]], "pair": pair[order[first]],
+                                    "n": np.diff(np.append(first, len(order))), "pair_sum": None, "word_sum": None})
+
+    rows = texts.mapInPandas(run, "text_key long, pair long, n int, pair_sum double, word_sum double")
+    joined = rows.join(model.where(~hot).drop("n"), "pair", "left")
+    part = lambda c: F.coalesce(F.col(f"{c}_sum"), F.col("n") * F.col(f"{c}_cost"))
+    return joined.groupBy("text_key").agg(*[F.try_divide(F.sum(part(c)), F.sum("n")).alias(f"{c}_surprise") for c in ("word", "pair")])
+
+
 def _word_statistics(texts: list[str], batch: Batch) -> dict[str, np.ndarray]:
     lines = [[x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")] for t in texts]
     hashes, at = batch.windows(WINDOW)
@@ -138,7 +253,7 @@ def _word_statistics(texts: list[str], batch: Batch) -> dict[str, np.ndarray]:
 
 
 def score(docs: DataFrame, cost: np.ndarray) -> DataFrame:
-    """Per document: doc_id, lang, the statistics, base_failed, n_chars, surprise (mean -log P of a character; NULL without any)."""
+    """Per document: doc_id, lang, text_key, the statistics, base_failed, n_chars, surprise (mean -log P of a character; NULL without any)."""
     model = docs.sparkSession.sparkContext.broadcast(cost)  # 32 ** 4 numbers
 
     def run(batches):
@@ -153,19 +268,58 @@ def score(docs: DataFrame, cost: np.ndarray) -> DataFrame:
                 n = ends - starts
                 out["n_chars"] = n
                 out["total_cost"] = running[ends] - running[starts]
-                out |= {c: frame[c].iloc[a:b].to_numpy() for c in ("doc_id", "lang")}
+                out |= {c: frame[c].iloc[a:b].to_numpy() for c in ("doc_id", "lang", "text_key")}
                 yield pd.DataFrame(out)
 
     schema = ("doc_id string, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-              "n_chars long, total_cost double")
+              "n_chars long, total_cost double, text_key long")
     scored = docs.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn(
         "surprise", F.when(F.col("n_chars") > 0, F.col("total_cost") / F.col("n_chars"))).drop("total_cost")
 
 
-def quality(docs: DataFrame, width: float = WIDTH, chance: float = CHANCE) -> DataFrame:
-    """One row per document: doc_id, lang, statistics, base_failed, surprise, lower, upper, kept.
+def each_width(width: float, bounds: int) -> float:
+    """Deviations for each of several bounds that together cut off what one band of +-width cuts off a normal score."""
+    return -NormalDist().inv_cdf(2 * NormalDist().cdf(-width) / bounds)
+
+
+def _fitted(c: str) -> list:
+    """own and chance of variance = own + chance / size, by least squares over the lengths' relative errors.
+
+    A row is a language's texts of like length: their number, ``size`` and
+    variance times size, which is chance + own * size.
+    """
+    x, z = F.col(f"{c}_size"), F.col(f"{c}_variance") * F.col(f"{c}_size")
+    w = F.when(F.col(f"{c}_n") >= MIN_SPREAD, 1.0).otherwise(1e-6) * F.col(f"{c}_n") / (z * z)
+    sw, sx, sz, sxx, sxz = (F.sum(v) for v in (w, w * x, w * z, w * x * x, w * x * z))
+    spread = sw * sxx - sx * sx
+    slope = F.when(spread > 1e-9 * sw * sxx, F.try_divide(sw * sxz - sx * sz, spread)).otherwise(0.0)
+    chance = (sz - slope * sx) / sw
+    # neither part is below 0: without it, the other is fitted alone
+    own = F.when(slope <= 0, 0.0).when(chance < 0, sxz / sxx).otherwise(slope)
+    return [own.alias(f"{c}_own"), F.when(slope <= 0, sz / sw).otherwise(F.greatest(chance, F.lit(0.0))).alias(f"{c}_chance")]
+
+
+def _bands(good: DataFrame) -> DataFrame:
+    """Per language ("of"), for each score: centre, own and chance variance, from the texts that pass the base rules."""
+    centre = stored(good.groupBy(F.col("lang").alias("of")).agg(
+        *[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_centre") for c in SCORES]), "quality-centre")
+    small = (lambda t: F.broadcast(t)) if centre.count() <= SMALL_ROWS else (lambda t: t)
+    own = good.join(small(centre), F.col("lang").eqNullSafe(F.col("of")))
+    bands = centre
+    for c, size in SCORES.items():
+        mad = F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_centre")), 0.5, 10_000)
+        lengths = own.groupBy("of", F.floor(F.log2(size)).alias("length")).agg(
+            F.count(F.lit(1)).alias(f"{c}_n"), (1 / F.avg(1 / F.col(size))).alias(f"{c}_size"),
+            F.pow(F.greatest(1.4826 * mad, F.lit(LEAST_DEVIATION)), 2).alias(f"{c}_variance"))
+        fit = lengths.withColumnRenamed("of", "fit_of").groupBy("fit_of").agg(*_fitted(c))
+        bands = bands.join(small(stored(fit, "quality-fit")), F.col("of").eqNullSafe(F.col("fit_of"))).drop("fit_of")
+    return bands
+
+
+def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
+    """One row per document: doc_id, lang, statistics, base_failed, scores, lower and upper (of surprise), kept.
 
     NULL and empty texts have no words and fail the base rules.  NULL languages
     form one of their own; a language all of whose texts fail the base rules
@@ -173,22 +327,24 @@ def quality(docs: DataFrame, width: float = WIDTH, chance: float = CHANCE) -> Da
     gives no rows; columns other than doc_id, text and lang are ignored.
     """
     rows = with_columns(docs, doc_id="string", text="string", lang="string").withColumn("text", F.coalesce("text", F.lit("")))
-    scored = stored(score(rows, train(rows.select("text"))), "quality")
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    scored = score(rows, train(rows.select("text"))).join(word_scores(rows.select("text_key", "text"), word_model(rows.select("text"))), "text_key", "left")
+    scored = stored(scored.drop("text_key"), "quality")
     good = scored.where(~F.col("base_failed"))
-    centre = stored(good.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("centre")), "quality-centre")
-    few = centre.count() <= SMALL_ROWS
-    small = (lambda t: F.broadcast(t)) if few else (lambda t: t)
-    own = centre.withColumnRenamed("lang", "of")
-    apart = good.join(small(own), F.col("lang").eqNullSafe(F.col("of"))).groupBy("of", "centre").agg(
-        F.percentile_approx(F.abs(F.col("surprise") - F.col("centre")), 0.5, 10_000).alias("mad"))
-    bands = apart.withColumn("deviation", F.greatest(1.4826 * F.col("mad"), F.lit(LEAST_DEVIATION))).select("of", "centre", "deviation")
-    judged = scored.join(small(stored(bands, "quality-bands")), F.col("lang").eqNullSafe(F.col("of")), "left")
-    margin = width * F.col("deviation") + chance / F.sqrt(F.greatest("n_chars", F.lit(1)))
-    judged = judged.withColumn("lower", F.col("centre") - margin).withColumn("upper", F.col("centre") + margin)
-    inside = F.coalesce(F.col("surprise").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & inside).select(
+    bands = stored(_bands(good), "quality-bands")
+    small = F.broadcast(bands) if bands.count() <= SMALL_ROWS else bands
+    judged = scored.join(small, F.col("lang").eqNullSafe(F.col("of")), "left")
+    inside, width = F.lit(True), each_width(width, 2 * len(SCORES) - 1)
+    for name, size in SCORES.items():
+        margin = width * F.sqrt(F.col(f"{name}_own") + F.col(f"{name}_chance") / F.greatest(size, F.lit(1)))
+        if name == "surprise":
+            judged = judged.withColumn("lower", F.col("surprise_centre") - margin).withColumn("upper", F.col("surprise_centre") + margin)
+        inside &= F.col(name) <= F.col(f"{name}_centre") + margin
+        if name != "pair_surprise":
+            inside &= F.col(name) >= F.col(f"{name}_centre") - margin
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        "surprise", "lower", "upper", "kept")
+        *SCORES, "lower", "upper", "kept")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:

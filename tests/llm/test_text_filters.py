@@ -80,6 +80,54 @@ def test_quality_edge_cases(spark):
     assert perplexity.quality_filter(table).count() == perplexity.quality(table).where("kept").count() > 0
 
 
+def pair_costs(texts):
+    """Modified Kneser-Ney over pairs of words, plainly: costs of each text's words after one another and alone."""
+    def discounts(x):
+        have = [sum(v == k for v in x.values()) for k in (1, 2, 3, 4)]
+        if not (have[0] and have[1]):
+            return [0.5, 0.5, 0.5]
+        y = have[0] / (have[0] + 2 * have[1])
+        return [min(max(k - (k + 1) * y * have[k] / have[k - 1] if have[k - 1] else 0.5, 0.05), k - 0.05) for k in (1, 2, 3)]
+
+    rows = [[(a, b) for a, b in zip([None, *WORD.findall(t)], WORD.findall(t))] for t in texts]
+    pairs = Counter(p for r in rows for p in r)
+    words = Counter(b for _, b in pairs)
+    d2, d1 = discounts(pairs), discounts(words)
+    spare = sum(d1[min(n, 3) - 1] for n in words.values()) / len(pairs)
+    alone = {w: (n - d1[min(n, 3) - 1]) / len(pairs) + spare / len(words) for w, n in words.items()}
+    total, shared = Counter(), Counter()
+    for (a, _), n in pairs.items():
+        total[a] += n
+        shared[a] += d2[min(n, 3) - 1]
+    after = {(a, b): (n - d2[min(n, 3) - 1] + shared[a] * alone[b]) / total[a] for (a, b), n in pairs.items()}
+    return [(np.mean([-np.log(after[p]) for p in r]), np.mean([-np.log(alone[p[1]]) for p in r])) for r in rows if r]
+
+
+def test_word_model_matches_brute_force(spark, monkeypatch):
+    texts = [r.text for r in docs(spark).limit(60).collect()] + ["Один два три один два", "два Один три", "A a 1 2 a A", "A a 1 2 a A"]
+    table = spark.createDataFrame(list(enumerate(texts)), "text_key long, text string")
+    for most in (perplexity.SMALL_ROWS, 50):  # with all pairs looked up in the workers, and with most of them joined
+        monkeypatch.setattr(perplexity, "SMALL_ROWS", most)
+        model = perplexity.word_model(table)
+        assert model.count() == len({p for t in texts for p in zip([None, *WORD.findall(t)], WORD.findall(t))})
+        found = {r.text_key: r for r in perplexity.word_scores(table, model).collect()}
+        for k, (pair, word) in enumerate(pair_costs(texts)):
+            assert found[k].pair_surprise == pytest.approx(pair, rel=1e-5) and found[k].word_surprise == pytest.approx(word, rel=1e-5)
+
+
+def test_words_outside_ascii_and_their_order_count(spark):
+    rnd, names = random.Random(4), ["мир дом", "кот пёс", "лес сад", "чай сок", "нос рот", "час год"]
+    plain = [" ".join(rnd.choice(names) for _ in range(20)) for _ in range(300)]
+    swapped = " ".join(w for p in rnd.choices(names, k=20) for w in p.split()[::-1])
+    letters = " ".join("".join(rnd.choice("абвгдежз") for _ in range(3)) for _ in range(40))
+    table = spark.createDataFrame([(k, t, "ru") for k, t in enumerate([*plain, swapped, letters])], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in perplexity.quality(table).collect()}
+    assert len({round(r.surprise, 6) for r in rows.values()}) == 1  # one class of characters: the spelling model sees no difference
+    assert not rows[300].kept and not rows[301].kept
+    tried = [r for r in rows.values() if r.doc_id < 300 and not r.base_failed]
+    assert sum(r.kept for r in tried) > 0.9 * len(tried) > 0
+
+
 # urls
 
 def page(url):
