@@ -128,6 +128,27 @@ def test_words_outside_ascii_and_their_order_count(spark):
     assert sum(r.kept for r in tried) > 0.9 * len(tried) > 0
 
 
+def test_few_labelled_low_quality_texts_are_kept(spark):
+    sf = "/root/testdata/sf0.1"
+    judged = perplexity.quality(docs(spark, sf)).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed")
+    share = dict(judged.selectExpr("quality", "cast(kept as double) as k").groupBy("quality").avg("k").collect())
+    assert share[1] > 0.995 and share[0] < 0.05
+
+
+def test_chance_is_fitted_to_the_scores_of_each_language(spark):
+    rnd, rows = np.random.default_rng(3), []
+    for lang, own, chance in (("a", 0.01, 4.0), ("b", 0.25, 0.5), (None, 0.0, 9.0)):
+        for n in (2 ** rnd.integers(4, 13, 20_000)).tolist():
+            z = rnd.normal() * np.sqrt(own + chance / n) + 7
+            rows.append((lang, n, n, float(z), float(z), float(z)))
+    table = spark.createDataFrame(rows, "lang string, n_chars long, n_words long, surprise double, word_surprise double, pair_surprise double")
+    found = {r.of: r for r in perplexity._bands(table).collect()}
+    for lang, own, chance in (("a", 0.01, 4.0), ("b", 0.25, 0.5), (None, 0.0, 9.0)):
+        for n in (16, 256, 4096):
+            assert found[lang].surprise_own + found[lang].surprise_chance / n == pytest.approx(own + chance / n, rel=0.2)
+    assert perplexity.each_width(3.0, 2) == pytest.approx(3.0)
+
+
 # urls
 
 def page(url):
