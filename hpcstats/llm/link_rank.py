@@ -4,8 +4,9 @@ The links of all pages give a weighted graph of hosts.  Trust is personalised
 PageRank along the links, started from hosts that an allow rule covers;
 distrust is the same against the links (who links to a blocked host is suspect)
 started from hosts that a block rule covers.  Both are sums over the graph's
-edges in Spark, ``ROUNDS`` times; a page that no rule fits is blocked if its
-host's distrust exceeds its trust by ``MARGIN`` of a seed's own weight.
+edges in Spark, repeated until what further rounds could still move is below
+``TOLERANCE`` of the bar; a page that no rule fits is blocked if its host's
+distrust exceeds its trust by ``MARGIN`` of a seed's own weight.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from hpcstats.llm.shared import SMALL_ROWS, fold_case, stored, with_columns
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
-ROUNDS = 12
+ROUNDS = 12  # between two looks at the change
+TOLERANCE = 0.01
+ROUNDING = 1e-13  # sums of doubles do not settle below it
 MARGIN = 0.1
 LINK = r"""(?i)\s(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]+)"""
 SALTS = 64
@@ -52,12 +55,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links")))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
+           tolerance: float = ROUNDING) -> DataFrame:
     """Personalised PageRank: (src, dst, links) and (host, weight) to (host, score).
 
     Every round a host hands ``damping`` of its score to the hosts it links to,
     by links, and the seeds get the rest; what reaches a host without links
-    ends there.  The frontier is stored every four rounds to cut the lineage.
+    ends there.  The scores are stored every four rounds to cut the lineage.
+    After every ``rounds`` the summed change is looked at: a round shrinks the
+    distance to the converged scores by ``damping`` at least, which bounds what
+    is left of it; the spread ends when that is at most ``tolerance``.
     """
     out = edges.groupBy("src").agg(F.sum("links").alias("out"))
     shares = stored(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share")), "shares")
@@ -68,27 +75,39 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     if shares.isEmpty():  # nothing to hand on: every round gives the seeds' own share
         return start.select("host", ((1 - damping) * F.col("start")).alias("score"))
     score = start.select("host", F.col("start").alias("score"))
-    for r in range(rounds):
-        flow = shares.join(score, shares["src"] == score["host"]).select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("part"))
-        base = start.select("host", ((1 - damping) * F.col("start")).alias("part"))
-        score = base.unionByName(flow).groupBy("host").agg(F.sum("part").alias("score"))
-        if r % 4 == 3 and r + 1 < rounds:
-            score = stored(score, "score")
-    return stored(score, "score")
-
-
-def host_scores(pages: DataFrame, rules=RULES) -> DataFrame:
-    """Per host of the pages: host, trust, distrust (shares of all seed weight; 0 if nothing reaches it)."""
+    shrunk, left = damping ** rounds, None
+    while left is None or left > max(tolerance, ROUNDING):
+        before = score
+        for r in range(rounds):
+            flow = shares.join(score, shares["src"] == score["host"]).select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("part"))
+            base = start.select("host", ((1 - damping) * F.col("start")).alias("part"))
+            score = base.unionByName(flow).groupBy("host").agg(F.sum("part").alias("score"))
+            if r % 4 == 3 and r + 1 < rounds:
+                score = stored(score, "score")
+        score = stored(score, "score")
+        moved = score.unionByName(before.select("host", (-F.col("score")).alias("score"))).groupBy("host").agg(F.abs(F.sum("score")).alias("moved"))
+        left = moved.agg(F.sum("moved")).first()[0] * shrunk / (1 - shrunk)
+    return score
+
+
+def bar(seeds: int, margin: float) -> float:
+    """What distrust must exceed trust by: ``margin`` of the mean seed's own share."""
+    return margin * (1 - DAMPING) / max(seeds, 1)
+
+
+def host_scores(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFrame:
+    """Per host of the pages: host, trust, distrust (shares of all seed weight; 0 if nothing reaches it), distrust_seed."""
     ruled = with_rule(with_host(pages.select("url")), rules).where("host <> ''")
     hosts = stored(ruled.groupBy("host").agg(F.sum(F.when(F.col("rule_verdict") == "allow", 1.0).otherwise(0.0)).alias("allowed"),
                                              F.sum(F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0)).alias("blocked"),
                                              F.count(F.lit(1)).alias("n")), "hosts")
     edges = stored(host_edges(pages), "edges")
+    exact = TOLERANCE * bar(hosts.where("blocked > 0").count(), margin)
     # a host is a seed by the share of its pages that the rules decide
-    trust = spread(edges, hosts.where("allowed > 0").select("host", (F.col("allowed") / F.col("n")).alias("weight")))
+    trust = spread(edges, hosts.where("allowed > 0").select("host", (F.col("allowed") / F.col("n")).alias("weight")), tolerance=exact)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = spread(back, hosts.where("blocked > 0").select("host", (F.col("blocked") / F.col("n")).alias("weight")))
-    return hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(
+    distrust = spread(back, hosts.where("blocked > 0").select("host", (F.col("blocked") / F.col("n")).alias("weight")), tolerance=exact)
+    return hosts.select("host", (F.col("blocked") > 0).alias("distrust_seed")).join(trust.withColumnRenamed("score", "trust"), "host", "left").join(
         distrust.withColumnRenamed("score", "distrust"), "host", "left").na.fill(0.0)
 
 
@@ -103,8 +122,9 @@ def judge_urls(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFra
     gives no rows; columns other than page_id, url and html are ignored.
     """
     rows = with_columns(pages, page_id="long", url="string", html="string")
-    scores = stored(host_scores(rows, rules), "host-scores")
-    seeds = scores.where("distrust > 0").count()
+    scores = stored(host_scores(rows, rules, margin), "host-scores")
+    seeds = scores.where("distrust_seed").count()
+    scores = scores.drop("distrust_seed")
     judged = with_rule(with_host(rows.select("page_id", "url")), rules).drop("url")
     if scores.count() <= SMALL_ROWS:
         joined = judged.join(F.broadcast(scores), "host", "left")
@@ -113,7 +133,7 @@ def judge_urls(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFra
         joined = judged.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(
             salted, ["host", "salt"], "left").drop("salt")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    suspect = distrust > trust + margin * (1 - DAMPING) / max(seeds, 1)
+    suspect = distrust > trust + bar(seeds, margin)
     verdict = F.coalesce("rule_verdict", F.when(suspect, "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 

@@ -212,6 +212,30 @@ def test_trust_and_distrust_spread_along_links(spark):
     assert link_rank.judge_urls(table.limit(0)).count() == 0
 
 
+def linked(url, *hosts):
+    return url, "".join(f'<a href="http://{h}/">' for h in hosts)
+
+
+def test_ranks_are_converged(spark):
+    # h0 .. h15 in a row towards a blocked host, and two that link to each other and to it
+    pages = [linked("http://bad.com/de/1"), *[linked(f"http://h{k}.net/", f"h{k - 1}.net" if k else "bad.com") for k in range(16)],
+             linked("http://x.net/", "y.net"), linked("http://y.net/", "x.net", "bad.com")]
+    table = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    back = {(b, a): n for (a, b), n in {(r.src, r.dst): r.links for r in link_rank.host_edges(table).collect()}.items()}
+    want = rank_brute(back, {"bad.com": 1.0}, rounds=400)
+    rows = {r.host: r for r in link_rank.judge_urls(table).collect()}
+    bar = link_rank.MARGIN * (1 - link_rank.DAMPING)
+    assert want["h15.net"] > 0 and sum(abs(r.distrust - want[h]) for h, r in rows.items()) <= 0.01 * bar
+
+
+def test_bar_does_not_fall_with_the_hosts_reached(spark):
+    pages = [linked("http://bad.com/de/1"), *[linked(f"http://n{k}.net/", "bad.com") for k in range(60)]]
+    table = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    rows = link_rank.judge_urls(table).collect()
+    # each has 0.85 / 60 of a seed's share, below a tenth
+    assert {r.verdict for r in rows if r.host != "bad.com"} == {"allow"} and all(r.distrust > 0 for r in rows)
+
+
 # personal data
 
 def spans_brute(text):
