@@ -7,8 +7,8 @@ pieces cut there, one after another.  Corpora repeat their words, so a worker
 keeps the ids of the pieces it has seen and sends only new ones to the
 tokenizer, thousands in one call.  When the memo holds ``MEMO_PIECES``, it is
 cut back to the pieces of the texts at hand.  A text with white space next to
-white space, with other white space than spaces and line ends, or with a NUL is
-encoded whole.
+white space, with other white space than spaces and line ends, with a NUL, or
+with a string that the vocabulary has as an added token is encoded whole.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ MEMO_PIECES = 800_000
 OTHER_SPACE = [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
                                 0x202F, 0x205F, 0x3000) if c != 0x0A]
 NOT_CUT = ("  ", "\n\n", " \n", "\n ", "\0", *OTHER_SPACE)
-#: Strings that are one id in the vocabulary but ordinary text in documents stay ordinary text.
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -36,13 +35,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class TextEncoder:
-    """Encodes lists of texts to little-endian unsigned 32-bit ids, as bytes."""
+    """Encodes lists of texts to little-endian unsigned 32-bit ids, as bytes.
 
-    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
+    ``literal``: the strings of special tokens are ordinary text.  The operators
+    encode plainly (``worker_encoder``): there such a string is its one id.
+    """
+
+    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        self.not_cut = (*NOT_CUT, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.memo_pieces = memo_pieces
         self.memo: dict[str, bytes] = {}
         self.line_end = self._whole(["\n"])[0]
@@ -76,7 +80,7 @@ class TextEncoder:
         memo.update(zip(rest, self._whole(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not any(x in t for x in NOT_CUT) and not t.startswith((" ", "\n")) and not t.endswith((" ", "\n")) for t in texts]
+        plain = [not any(x in t for x in self.not_cut) and not t.startswith((" ", "\n")) and not t.endswith((" ", "\n")) for t in texts]
         out: list[bytes] = [b""] * len(texts)
         at = [i for i, p in enumerate(plain) if p]
         for i, ids in zip(at, self._by_pieces([texts[i] for i in at])) if at else ():
@@ -124,7 +128,7 @@ def worker_encoder(path: str) -> TextEncoder:
     """
     cache = sys.modules.setdefault("_hpcstats_encoders", types.ModuleType("_hpcstats_encoders")).__dict__
     if path not in cache:
-        cache[path] = TextEncoder(path)
+        cache[path] = TextEncoder(path, literal=False)
     return cache[path]
 
 

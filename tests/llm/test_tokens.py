@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from hpcstats.llm import packing, token_codes
-from hpcstats.llm.tokens import TextEncoder, sliced, vocabulary_path
+from hpcstats.llm.tokens import TextEncoder, sliced, vocabulary_path, worker_encoder
 from util import ODD_ROWS, docs, empty, odd
 
 
@@ -29,6 +29,33 @@ def test_memo_gives_the_ids_of_whole_texts(reference):
     assert [x for a, b in sliced(texts, 3000) for x in encoder.encode(texts[a:b])] == reference(texts)
 
 
+@pytest.fixture(scope="module")
+def plain():
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_operators_encode_plainly(plain):
+    encoder = worker_encoder(vocabulary_path())
+    ids = lambda texts: [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(texts)]
+    assert ids(["a <|endoftext|> b"]) == [[64, 220, 50256, 275]]
+    rnd = random.Random(6)
+    parts = ["a", " ", "\n", "é", ".", ",", "<|endoftext|>", "<|endoftext", "|>", "<", " the", " word,", "Word."]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(20_000)]
+    assert ids(texts) == plain(texts)
+
+
+def test_added_tokens_in_the_tables(spark, plain):
+    texts = ["a b", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y", "c d"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = [len(x) + 1 for x in plain(texts)]
+    found = token_codes.read_documents(token_codes.write_tokens(table)).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in found] == sizes and [r.start for r in found] == (np.cumsum(sizes) - sizes).tolist()
+    pieces = packing.pack_documents(table)
+    assert dict(pieces.groupBy("doc_id").sum("length").collect()) == dict(enumerate(sizes))
+
+
 @pytest.mark.parametrize("ids", [[], [0], [0, 2 ** 32 - 1, 255, 256, 4095, 4096, 65535, 65536],
                                  np.random.default_rng(1).integers(0, 50257, 3000).tolist()])
 def test_codes_are_directly_addressable(ids):
