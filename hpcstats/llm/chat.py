@@ -17,7 +17,7 @@ escaped, as the role is a line of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hpcstats.llm.shared import with_columns
@@ -115,15 +115,18 @@ def as_events(rows: DataFrame, piece: int = PIECE) -> DataFrame:
     """Whole turns (conv_id, turn, role, text) as a stream of delta events of at most ``piece`` code points.
 
     Rows of the same conversation and turn stay messages of their own, ordered
-    by role, the beginning of the text and its digest; equal rows are numbered,
-    so repeats are kept.
+    by role and text (a message is named by the text's beginning and its rank
+    among the texts that begin alike); equal rows are numbered, so repeats are
+    kept.
     """
     rows = with_columns(rows, conv_id="long", turn="long", role="string", text="string").select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
-    single = counted.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
-    message = F.struct(F.col("role"), F.when(F.length("text") > 64, F.substring("text", 1, 64)).otherwise(F.col("text")).alias("begin"),
-                       F.sha2("text", 256).alias("sha"), F.col("copy"))
+    begin = F.when(F.length("text") > 64, F.substring("text", 1, 64)).otherwise(F.col("text"))
+    alike = Window.partitionBy("conv_id", "turn", "role", "begin").orderBy("text")
+    ranked = counted.withColumn("begin", begin).withColumn("place", F.row_number().over(alike))
+    single = ranked.select("conv_id", "turn", "role", "text", "begin", "place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    message = F.struct("role", "begin", "place", "copy")
     pieces = F.expr(f"transform(sequence(0, greatest(length(text) - 1, 0) div {piece}), i -> named_struct("
                     f"'seq', cast(i as bigint), 'text', substring(text, i * {piece} + 1, {piece})))")
     return single.select("conv_id", "turn", message.alias("message"), "role", F.explode(pieces).alias("p")).select(

@@ -112,6 +112,13 @@ def test_chat_query_matches_plain_digests(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_turns_that_begin_alike_are_in_the_order_of_their_texts(spark):
+    texts = [("same beginning " * 6)[:n] + end for n in (63, 64, 65, 80) for end in ("", *"zyxé b")]
+    table = spark.createDataFrame([(1, 0, "user", t) for t in texts], "conv_id long, turn long, role string, text string")
+    [read] = chat.read_back(chat.format_conversations(chat.final_messages(chat.as_events(table, piece=9)))).collect()
+    assert [t.text for t in read.turns] == sorted(texts)
+
+
 def test_chat_repeated_rows_and_empty_table(spark):
     table = spark.createDataFrame([(1, 0, "user", "a")] * 3, "conv_id long, turn long, role string, text string")
     [read] = chat.read_back(chat.format_conversations(chat.final_messages(chat.as_events(table)))).collect()
