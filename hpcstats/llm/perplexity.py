@@ -319,7 +319,7 @@ def _bands(good: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
-    """One row per document: doc_id, lang, statistics, base_failed, scores, lower and upper (of surprise), kept.
+    """One row per document: doc_id, lang, text_key (a hash of the text), statistics, base_failed, scores, lower and upper (of surprise), kept.
 
     NULL and empty texts have no words and fail the base rules.  NULL languages
     form one of their own; a language all of whose texts fail the base rules
@@ -329,7 +329,7 @@ def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     rows = with_columns(docs, doc_id="string", text="string", lang="string").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     scored = score(rows, train(rows.select("text"))).join(word_scores(rows.select("text_key", "text"), word_model(rows.select("text"))), "text_key", "left")
-    scored = stored(scored.drop("text_key"), "quality")
+    scored = stored(scored, "quality")
     good = scored.where(~F.col("base_failed"))
     bands = stored(_bands(good), "quality-bands")
     small = F.broadcast(bands) if bands.count() <= SMALL_ROWS else bands
@@ -343,20 +343,31 @@ def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
         if name != "pair_surprise":
             inside &= F.col(name) >= F.col(f"{name}_centre") - margin
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", "lang", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         *SCORES, "lower", "upper", "kept")
 
 
+def own_column(docs: DataFrame, name: str):
+    """The column as ``quality`` reads it; NULL if there is none."""
+    column = F.col(f"`{name}`") if name in docs.columns else F.lit(None)
+    return column.cast("long" if name == "doc_id" else "string")
+
+
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents kept, with all their columns.
 
-    A verdict depends on the row's text and language alone, so rows repeated
-    with one doc_id share it if those are the same; with different texts, a
-    doc_id is rejected only if no row of it is kept.
+    A verdict depends on the row's text and language alone; rows share one only
+    if doc_id, text and language are the same, so rows without an id or with a
+    repeated one are judged each by its own text.
     """
-    kept = quality(docs).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct()
-    own = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull())
-    return own.join(kept, ["_id", "_none"], "left_semi").select(*docs.columns)
+    judged = quality(docs).where("kept")
+    key = lambda t, text_key: [
+        F.coalesce(t["doc_id"], F.lit(0)).alias("_id"), t["doc_id"].isNull().alias("_none"), text_key.alias("_text"),
+        F.coalesce(t["lang"], F.lit("")).alias("_lang"), t["lang"].isNull().alias("_no_lang")]
+    names = ["_id", "_none", "_text", "_lang", "_no_lang"]
+    kept = judged.select(*key(judged, F.col("text_key"))).distinct()
+    rows = docs.select("*", *key({c: own_column(docs, c) for c in ("doc_id", "lang")}, F.xxhash64(F.coalesce(own_column(docs, "text"), F.lit("")))))
+    return rows.join(kept, names, "left_semi").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -149,6 +149,17 @@ def test_chance_is_fitted_to_the_scores_of_each_language(spark):
     assert perplexity.each_width(3.0, 2) == pytest.approx(3.0)
 
 
+def test_rows_with_one_id_or_none_are_judged_by_their_own_texts(spark):
+    text = lambda i: " ".join(f"word{chr(97 + (i * j) % 26)}" for j in range(30))
+    good = [(i, text(i), None) for i in range(40)]
+    junk = "#### " * 50
+    table = spark.createDataFrame([*good, *[(i, junk, None) for i in range(40)], (None, junk, None), *[(None, t, lang) for _, t, lang in good]],
+                                  "doc_id long, text string, lang string")
+    verdicts = perplexity.quality(table).where("kept").count()
+    kept = perplexity.quality_filter(table).collect()
+    assert len(kept) == verdicts > 0 and any(r.doc_id is None for r in kept) and not any(r.text == junk for r in kept)
+
+
 # urls
 
 def page(url):
