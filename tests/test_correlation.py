@@ -8,7 +8,7 @@ import pytest
 from hpcstats.functions.pvalue import pearson_p
 from hpcstats.operators.correlation import common_times, paired_points, pearson, pearson_pairs
 from hpcstats.plans.catalog import hourly
-from conftest import SF_CHECK, host_frame
+from helpers import SF_CHECK, host_frame
 
 
 @pytest.mark.parametrize("r,n,p", [(0.5, 10, 0.14111), (0.2, 100, 0.04604), (0.9, 3, 0.28713)])

@@ -11,7 +11,7 @@ from hpcstats.operators.box import box_outliers, box_source, box_stats
 from hpcstats.operators.distribution import cdf, histogram, kde
 from hpcstats.functions.intervals import Span
 from hpcstats.sources.shared_tables import host_view
-from conftest import SF_CHECK, host_frame
+from helpers import SF_CHECK, host_frame
 
 
 @pytest.fixture(scope="module")

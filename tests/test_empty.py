@@ -12,7 +12,7 @@ from hpcstats.operators.rolling import rolling
 from hpcstats.operators.summary import metric_summary, outside_ratio
 from hpcstats.plans.analysis import analyse
 from hpcstats.sources.shared_tables import host_view
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from hpcstats.functions.intervals import Rows, Span
 from hpcstats.functions.predicates import FilterSpec, Predicate
 from hpcstats.functions.pvalue import pearson_p

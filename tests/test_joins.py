@@ -7,7 +7,7 @@ from hpcstats.operators.distribution import histogram, kde
 from hpcstats.operators.quantiles import exact_quantiles
 from hpcstats.operators.rolling import rolling
 from hpcstats.sources.shared_tables import host_view
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 
 def _rounded(rows):

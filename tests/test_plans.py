@@ -11,7 +11,7 @@ from hpcstats.operators.extract import extract
 from hpcstats.operators.rolling import rolling
 from hpcstats.plans.analysis import explain
 from hpcstats.sources.shared_tables import host_view
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 PAIRWISE = ("CartesianProduct", "BroadcastNestedLoopJoin")
 PYTHON = ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "FlatMapGroupsInArrow", "MapInPandas", "MapInArrow")

@@ -9,7 +9,7 @@ from hpcstats.functions.predicates import (FilterSpec, Predicate, check_window,
                                            split_list)
 from hpcstats.operators.extract import extract, row_count
 from hpcstats.sources.shared_tables import host_view, job_view
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 
 def test_window_rule():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hpcstats.sources.sinks import export, export_name, is_empty, utc_naive, write_csv
 from hpcstats.sources.readers import read_host, union_sources
 from hpcstats.sources.shared_tables import host_view
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 
 def test_zoned_to_naive_utc(spark):

@@ -11,7 +11,7 @@ from hpcstats.functions.intervals import Rows, Span, parse_interval
 from hpcstats.operators.quantiles import exact_quantiles
 from hpcstats.operators.rolling import rolling
 from hpcstats.operators.summary import metric_summary, outside_ratio
-from conftest import host_frame
+from helpers import host_frame
 
 BASE = pd.Timestamp("2024-01-01 00:00:00")
 
@@ -136,7 +136,7 @@ def test_auto_buckets_against_pandas(spark):
 
 def test_split_equals_plain_on_shared_table(spark):
     from hpcstats.sources.shared_tables import host_view
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     h = host_view(spark, SF_SMALL).select("event_id", "time", "event", "value")
     a = rolling(h, ["mean", "std"], Span(2, "Hours"), tie="event_id", split=True, split_factor=1)
     b = rolling(h, ["mean", "std"], Span(2, "Hours"), tie="event_id", split=False)
@@ -175,7 +175,7 @@ def test_exact_quantiles_global_and_empty(spark):
 
 def test_refinement_on_shared_table(spark):
     from hpcstats.sources.shared_tables import host_view
-    from conftest import SF_CHECK
+    from helpers import SF_CHECK
     h = host_view(spark, SF_CHECK)
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
     forced = exact_quantiles(h, "value", probs, by=["event"], in_memory_rows=0, rank_rows=100, splits=16)

@@ -12,7 +12,7 @@ from hpcstats.operators.extract import drop_aux, series_columns, with_unit
 from hpcstats.plans.analysis import analyse, explain
 from hpcstats.sources.shared_tables import host_view
 from hpcstats.streaming import filter_stream, read_host_stream, split_by_rules, write_stream
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 
 def test_stream_filter_and_quarantine(spark):
