@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from hpcstats.llm import chosen_path, components, phrase_dedup, run_merge
-from util import ODD_ROWS, WORD, docs, empty, fold, odd
+from llm_helpers import ODD_ROWS, WORD, docs, empty, fold, odd
 
 
 # exact dedup

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from hpcstats.llm import chat, mixing
-from util import ODD_ROWS, WORD, docs, empty, odd
+from llm_helpers import ODD_ROWS, WORD, docs, empty, odd
 
 
 def targets_brute(sizes, weights=(5, 2, 1), share=1.5, most=2.0):

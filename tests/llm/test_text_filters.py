@@ -10,7 +10,7 @@ import pytest
 
 from hpcstats.llm import link_rank, perplexity, pii
 from hpcstats.llm.wordhash import Batch
-from util import ODD_ROWS, WORD, docs, empty, odd
+from llm_helpers import ODD_ROWS, WORD, docs, empty, odd
 
 
 def statistics(text):

@@ -8,7 +8,7 @@ import pytest
 
 from hpcstats.llm import packing, token_codes
 from hpcstats.llm.tokens import TextEncoder, sliced, vocabulary_path, worker_encoder
-from util import ODD_ROWS, docs, empty, odd
+from llm_helpers import ODD_ROWS, docs, empty, odd
 
 
 @pytest.fixture(scope="module")
