@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hpcstats.llm import chat, chosen_path, link_rank, mixing, packing, perplexity, phrase_dedup, pii, run_merge, token_codes
+from hpcstats.llm import chat, chosen_path, line_dedup, link_rank, mixing, packing, perplexity, phrase_dedup, pii, run_merge, token_codes
 
 QUERIES = {
     "op1_token_codes": token_codes.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_link_rank_urls": link_rank.query,
     "op9_chat_events": chat.query,
     "op10_pii_boosted": pii.query,
+    "op11_cuckoo_lines": line_dedup.query,
 }
 
 ORACLE_SQL = {
     "op3_run_merge_dedup": run_merge.ORACLE,
     "op9_chat_events": chat.ORACLE,
+    "op11_cuckoo_lines": line_dedup.ORACLE,
 }

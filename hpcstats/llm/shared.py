@@ -77,6 +77,20 @@ def with_columns(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
+def join_weighted(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, most: int = SMALL_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with a stored table of one row per key; ``weight`` counts the rows that a key has.
+
+    Keys with more than a ``most``-th of all rows (there are fewer than
+    ``most``) are broadcast, so no hot key is dealt to one task; the others
+    meet in a shuffle.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * most > total
+    few = table.where(hot)
+    spread = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(table.where(~hot), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(spread)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
