@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hpcstats.llm import chat, chosen_path, line_dedup, link_rank, mixing, packing, perplexity, phrase_dedup, pii, repair, run_merge, token_codes
+from hpcstats.llm import chat, chosen_path, line_dedup, link_rank, mixing, packing, perplexity, phrase_dedup, pii, repair, run_merge, spelling, token_codes
 
 QUERIES = {
     "op1_token_codes": token_codes.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_events": chat.query,
     "op10_pii_boosted": pii.query,
     "op11_cuckoo_lines": line_dedup.query,
+    "op12_spelling_tries": spelling.query,
     "op13_conversation_repair": repair.query,
 }
 
