@@ -13,56 +13,64 @@ column per statistic to every sample row; all other columns pass unchanged.
 A NULL, NaN or infinite ``value`` is a missing one (pandas' rolling sees
 infinities as missing, too); times are wall-clock and do not depend on the
 session's zone; a NULL group key is a group of its own.  The result does not
-depend on ``split``, ``engine`` or the sizes, which only choose the plan.
+depend on the sizes, which only choose the plan.
 
 Scale.  A plain window partitioned by metric puts a whole metric in one task,
-and a sliding frame is recomputed for every row.  Instead:
-
-* mean and std over a span: time is cut into ``CELLS`` cells per span.  A frame
-  is the row's own cell up to the row, the whole cells between, and the end of
-  the cell one span back.  Every row goes to its own cell and, as a leaving row,
-  to the cell one span later; two running windows per cell give the first and
-  the last part, a small table of cell moments the middle one, and the three
-  (n, mean, M2) are merged.  A partition is a cell: a ``CELLS``-th of the span,
-  however long the span, and no job runs while the plan is built.
-* median over a span: buckets ``b = floor(t / B)``; the rows of the last ``w`` of
-  a bucket are also copied into the next one, and only a bucket's own rows are
-  kept.  ``B`` is a whole multiple of ``w`` chosen per group from its peak hourly
-  rate, so that a bucket holds about a million rows.  A bucket is never narrower
-  than the span: if it may hold more than ``PANDAS_MAX_ROWS`` rows, ``rolling``
-  raises an error instead of starting a plan that cannot finish.
-* row windows: a global row index per group without a global sort (rows per
-  time bucket of about a million rows -> running offsets on that small table
-  -> ``row_number`` inside the bucket), then chunks of rows with the ``n-1``
-  previous rows as halo, with the same bound.
-
-Buckets and chunks that need a sorted frame (medians, and row windows of more
-than ``PANDAS_FRAME_ROWS`` rows) are handed to pandas' rolling through
-``applyInArrow``, which reads the time, the value and two flags only; the other
-columns stay Arrow columns and come back as they were.
+and a sliding frame is recomputed for every row.  Instead every row has a key on
+an axis (its time, or its number within the group), enters at its key and leaves
+``w`` later.  The axis is cut into *cells* of a power of two, of which each is
+narrowed until at most ``2 * target`` rows enter or leave in it; a hot hour gets
+cells of minutes or seconds, the quiet rest keeps wide ones.  A row's frame is
+
+* the rows that entered in its cell up to it,
+* those of the rows leaving in its cell that leave later than it, and
+* the *core*: rows that entered before the cell and leave behind it, the same
+  for all rows of a cell.
+
+The first two are in the cell's task (a copy of each row goes to the cell where
+it leaves).  The core is a run of whole (entering cell, leaving cell) groups:
+
+* mean and std: their moments (n, mean, M2) are attached to the O(log) dyadic
+  nodes that cover the cells between, and a cell gathers those of its ancestors.
+  Everything is merged, nothing subtracted, so values that left leave no error.
+* median: rank search over sorted cells.  A frame in the cell differs from the
+  core by as many rows as enter or leave there, so its median is among the core's
+  values around the middle rank.  Evenly spaced samples of the groups' sorted
+  value arrays bound that range from both sides; each group sends the values
+  inside it and the numbers below and above.  In the cell, pandas' rolling runs
+  over (leaving rows, middle of the core, entering rows), a bounded array,
+  however long the frame.
+
+Row numbers come without a global sort: rows per time bucket of about a million
+rows -> running offsets on that small table -> ``row_number`` inside the bucket.
+Mean and std over few rows (``SHORT_FRAME``) are plain sliding frames over chunks
+of row numbers with the ``n-1`` previous rows as halo.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hpcstats.functions.intervals import Rows, Span
 from hpcstats.functions.text import wall_micros
-from hpcstats.plans.joins import join_small, materialize, observed
+from hpcstats.plans.joins import join_null_safe, join_small, materialize, observed, stored_columns
 from hpcstats.sources.readers import missing_as_null
 
 STATS = ("mean", "median", "std")
 SPLIT_FACTOR = "auto"
-TARGET_BUCKET_ROWS = 1_000_000   # rows per window partition that `auto` aims at
+TARGET_BUCKET_ROWS = 1_000_000   # rows per window partition that the cells aim at
+MEDIAN_TARGET_ROWS = 250_000     # the same for cells that a Python worker holds
 MIN_BUCKET_ROWS = 1_000
-PANDAS_FRAME_ROWS = 256          # `auto` engine: larger row frames go to pandas' rolling (measured crossover)
-CELLS = 16                       # cells per span of the mean/std plan
-PANDAS_MAX_ROWS = 20_000_000     # never hand pandas a bucket that may hold more rows
+SHORT_FRAME = 256                # mean/std over so many rows: sliding frames, recomputed per row
+SAMPLES = 256                    # of each sorted group's values, to bound the middle of a core
 CHUNK_ROWS = 1_000_000
 HOUR = 3_600_000_000
 MAX_BUCKET_MICROS = 30 * 24 * HOUR
+WIDEST = 62                      # a cell of 2 ** 62 holds a whole group
 
 
 VALUE = "_finite"                # the value that statistics see: NULL unless finite
@@ -103,14 +111,16 @@ def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: s
     v = F.col("value").cast("double")
     df = df.where(F.col("time").isNotNull()).withColumn(VALUE, F.when(F.abs(v) < float("inf"), v))
     if isinstance(interval, Rows):
-        out = _rolling_rows(df, stats, interval.n, by, tie, chunk_rows, target_rows, engine)
+        out = _rolling_rows(df, stats, interval.n, by, tie, chunk_rows, target_rows)
     else:
-        out = df
+        w = interval.micros
+        out = axis = df.withColumn(KEY, _micros())
         moments = [s for s in stats if s != "median"]
         if moments:
-            out = _span_moments(out, moments, interval.micros, by, tie, ties)
+            out = _axis_moments(out, plan_cells(axis, by, w, target_rows, wide=False), moments, w, by, tie, ties).drop(COUNT)
         if "median" in stats:
-            out = _span_median(out, interval.micros, by, tie, ties, split_factor, target_rows, engine)
+            cells = plan_cells(axis, by, w, min(target_rows, MEDIAN_TARGET_ROWS), wide=True)
+            out = _axis_median(out, axis, cells, w, by, tie, ties)
     return out.select(*names, *stats).unionByName(timeless)
 
 
@@ -166,46 +176,6 @@ def bucket_widths(df: DataFrame, by: list[str], min_us: int, target_rows: int =
     return out
 
 
-def _with_copies(df: DataFrame, bucket: Column, to_next: Column, name: str) -> DataFrame:
-    """Each row in its bucket (``_own``) and, where ``to_next``, a copy in the next bucket."""
-    targets = F.when(to_next, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
-    return df.withColumn(name, F.explode(targets)).withColumn("_own", F.col(name) == bucket)
-
-
-# ---- row windows -------------------------------------------------------------
-
-def _rows_frame_cols(n: int, stats, w) -> list[Column]:
-    full = F.count(F.col(VALUE)).over(w) >= n
-    return [F.when(full, _agg(s, F.col(VALUE)).over(w)).alias(s) for s in stats]
-
-
-def _rolling_rows(df, stats, n, by, tie, chunk_rows, target_rows, engine):
-    cols = df.columns
-    widths = bucket_widths(df, by, 1, target_rows)
-    idx = with_row_index(df, by, tie, widths=widths)
-    chunk = max(2 * n, min(max(8 * n, int(chunk_rows)), observed(widths)["target"]))
-    c = F.floor(F.col("_idx") / chunk)
-    # one pass: every row goes to its chunk; the last n-1 rows of a chunk also to the next one
-    halo = (F.col("_idx") % chunk) >= chunk - (n - 1)
-    both = _with_copies(idx, c, halo, "_c")
-    large = engine == "pandas" or (engine == "auto" and n > PANDAS_FRAME_ROWS)
-    in_pandas = [s for s in stats if large or (s == "median" and engine != "spark")]
-    in_jvm = [s for s in stats if s not in in_pandas]
-    if in_jvm:
-        w = Window.partitionBy(*by, "_c").orderBy("_idx").rowsBetween(-(n - 1), 0)
-        both = both.select(*cols, "_c", "_idx", "_own", *_rows_frame_cols(n, in_jvm, w))
-    if in_pandas:
-        _check_bucket(chunk + n, f"Rows({n})")
-        both = _bucket_frames(both, in_pandas, ("rows", n), "peers", by, "_c", ["_idx"])
-    return both.where("_own")
-
-
-def _check_bucket(rows: float, what: str) -> None:
-    if rows > PANDAS_MAX_ROWS:
-        raise ValueError(f"{what}: a frame of this length with its neighbours may hold {int(rows)} rows, more than one task may "
-                         f"take ({PANDAS_MAX_ROWS}); choose a shorter interval, or mean/std over a time span")
-
-
 def with_row_index(df: DataFrame, by: list[str], tie: list[str],
                    target_rows: int = TARGET_BUCKET_ROWS, widths: DataFrame | None = None) -> DataFrame:
     """Add ``_idx``: 0-based position of each row in its group in (time, tie) order.
@@ -228,7 +198,129 @@ def with_row_index(df: DataFrame, by: list[str], tie: list[str],
     return joined.withColumn("_idx", F.col("_off") + F.row_number().over(rw) - 1).drop("_hb", "_off")
 
 
-# ---- time-span windows -----------------------------------------------------------
+# ---- cells of an axis -----------------------------------------------------------------
+
+KEY, LG = "_key", "_width"          # a row's place on the axis, and its base cell's width as a power of two
+
+
+@dataclass(frozen=True)
+class Cells:
+    """How the axis is cut: base cells of width 2 ** ``base`` (or per group, ``widths``: by, LG), narrower ones (by, _base, _sub) in hot base cells."""
+
+    base: int
+    widths: DataFrame | None
+    splits: DataFrame | None
+    finest: int
+    target: int
+
+    def on(self, df: DataFrame, by: list[str]) -> DataFrame:
+        """``df`` with every row's base width LG."""
+        return df.withColumn(LG, F.lit(self.base)) if self.widths is None else join_small(df, self.widths, by)
+
+
+def _start(key: Column, lg) -> Column:
+    """Where the key's cell of width 2 ** lg begins."""
+    lg = F.lit(lg) if isinstance(lg, int) else lg
+    return F.call_function("shiftleft", F.call_function("shiftright", key, lg), lg)
+
+
+def plan_cells(df: DataFrame, by: list[str], w: int, target_rows: int, wide: bool) -> Cells:
+    """Cut the axis so that at most ``2 * target`` rows enter or leave in a cell (rows with one key cannot be parted).
+
+    Base cells are the largest power of two up to ``w`` wide; with ``wide``, at least ``w``, and more for groups with few
+    rows a span.
+    """
+    base = (w - 1).bit_length() if wide else w.bit_length() - 1
+    ends = F.explode(F.array(F.col(KEY), F.col(KEY) + F.lit(w))).alias("_at")
+    counted = F.count(F.lit(1)).alias("_n")
+    events = df.select(*by, ends)
+    counts = events.groupBy(*by, _start(F.col("_at"), base).alias("_base")).agg(counted)
+    if wide:
+        peaks = materialize(counts.groupBy(*by).agg(F.sum("_n").alias("_e"), F.max("_n").alias("_n"), (F.max("_base") - F.min("_base")).alias("_x")),
+                            "cell-peaks", {"events": F.sum("_e"), "most": F.max("_n")})
+        seen = observed(peaks)
+    else:
+        seen = counts.agg(F.sum("_n").alias("events"), F.max("_n").alias("most")).first().asDict()
+    target = bucket_target(df.sparkSession, (seen["events"] or 0) // 2, target_rows)
+    bound, cells, unsure = 2 * target, Cells(base, None, None, base, target), False
+    if wide:
+        # as many base cells in one as fit where the group is fullest; if it is far emptier elsewhere, as many as fit on the whole
+        power = lambda x: F.least(F.lit(WIDEST), F.greatest(F.lit(base), F.floor(F.log2(x)).cast("int")))
+        sure = power(F.lit(float(1 << base) * target) / F.col("_n"))
+        mean = power((F.col("_x") + F.lit(float(1 << base))) * target / F.col("_e"))
+        lg = F.when(F.col("_e") <= target, F.lit(WIDEST)).when(mean > sure + 2, mean).otherwise(sure)
+        widths = materialize(peaks.select(*by, lg.alias(LG), ((F.col("_e") > target) & (mean > sure + 2)).alias("_unsure")), "cell-widths",
+                             {"lowest": F.min(LG), "unsure": F.max(F.col("_unsure").cast("int"))})
+        seen_widths = observed(widths)
+        widths = widths.drop("_unsure")
+        widths._hpcstats_observed = seen_widths
+        unsure = bool(seen_widths.get("unsure"))
+        cells = replace(cells, widths=widths, finest=seen_widths.get("lowest") or base)
+    if (seen["most"] or 0) <= bound and not unsure:
+        return cells
+    narrower = lambda lg, n: F.greatest(F.lit(0), F.col(lg) - F.ceil(F.log2(F.col(n) / target)).cast("int"))
+    based = cells.on(events, by).withColumn("_base", _start(F.col("_at"), F.col(LG)))
+    hot = based.groupBy(*by, LG, "_base").agg(counted).where(F.col("_n") > bound)
+    splits = materialize(hot.select(*by, "_base", narrower(LG, "_n").alias("_sub")), "cell-splits", {"lowest": F.min("_sub")})
+    more = not splits.isEmpty()
+    if not more:
+        return cells
+    while more:
+        inside = join_small(based, splits, [*by, "_base"])
+        most = (inside.groupBy(*by, "_base", "_sub", _start(F.col("_at"), F.col("_sub"))).agg(counted)
+                .groupBy(*by, "_base", "_sub").agg(F.max("_n").alias("_n")))
+        new = F.when(F.col("_n") > bound, narrower("_sub", "_n")).otherwise(F.col("_sub"))
+        splits = materialize(most.select(*by, "_base", new.alias("_sub"), (new < F.col("_sub")).alias("_more")), "cell-splits",
+                             {"lowest": F.min("_sub"), "more": F.max(F.col("_more").cast("int"))})
+        more = bool(observed(splits).get("more"))
+    return replace(cells, splits=splits, finest=min(cells.finest, observed(splits)["lowest"]))
+
+
+def row_cells(lg: int) -> Cells:
+    """Cells over row numbers: 2 ** lg rows each."""
+    return Cells(lg, None, None, lg, 1 << lg)
+
+
+def _located(df: DataFrame, cells: Cells, by: list[str], w: int) -> DataFrame:
+    """Rows with the cell where they enter (_j, width 2 ** _jg) and the start of the one where they leave (_l)."""
+    df = cells.on(df, by)
+    for name, key in (("_j", F.col(KEY)), ("_l", F.col(KEY) + F.lit(w))):
+        lg = f"{name}g"
+        df = df.withColumn(name, _start(key, F.col(LG))).withColumn(lg, F.col(LG))
+        if cells.splits is not None:
+            side = cells.splits.select(*by, F.col("_base").alias(name), F.col("_sub").alias("_narrow"))
+            side._hpcstats_observed = observed(cells.splits)
+            df = join_small(df, side, [*by, name], "left").withColumn(lg, F.coalesce("_narrow", lg)).drop("_narrow")
+            df = df.withColumn(name, _start(key, F.col(lg)))
+    return df.drop(LG)
+
+
+def _end(start: str, lg: str) -> Column:
+    return F.col(start) + F.call_function("shiftleft", F.lit(1).cast("long"), F.col(lg))
+
+
+def _nodes(x: str, y: str, finest: int, top: int) -> Column:
+    """The dyadic nodes (lv, no) that cover [x, y), both multiples of 2 ** finest: at most two per level."""
+    return F.expr(f"""
+      aggregate(sequence({finest}, {top}),
+        named_struct('x', shiftright({x}, {finest}), 'y', shiftright({y}, {finest}), 'out', cast(array() as array<struct<lv:int,no:bigint>>)),
+        (s, k) -> named_struct('x', shiftright(s.x + 1, 1), 'y', shiftright(s.y, 1), 'out', concat(s.out,
+            if(s.x < s.y and s.x % 2 <> 0, array(named_struct('lv', k, 'no', s.x)), cast(array() as array<struct<lv:int,no:bigint>>)),
+            if(s.x < s.y and s.y % 2 <> 0, array(named_struct('lv', k, 'no', s.y - 1L)), cast(array() as array<struct<lv:int,no:bigint>>)))),
+        s -> s.out)""")
+
+
+def _cored(groups: DataFrame, cells: DataFrame, by: list[str], w: int, finest: int, group_cols, cell_cols) -> tuple[DataFrame, DataFrame]:
+    """(groups by node, cells by node): a group (_j, _jg, _l) covers the cells (_cell, _cg) that share a node with it."""
+    top = w.bit_length()
+    covered = groups.withColumn("_x", _end("_j", "_jg")).where("_x < _l").select(
+        *by, *group_cols, F.explode(_nodes("_x", "_l", finest, top)).alias("_n")).select(*by, *group_cols, "_n.lv", "_n.no")
+    above = cells.where(F.col("_cg") <= top).select(*by, *cell_cols, F.explode(F.sequence(F.col("_cg"), F.lit(top))).alias("lv"), "_cell").withColumn(
+        "no", F.call_function("shiftright", F.col("_cell"), F.col("lv")))
+    return covered, above.select(*by, *cell_cols, "lv", "no")
+
+
+# ---- moments ----------------------------------------------------------------------------
 
 def _split(v: Column) -> tuple[Column, Column]:
     """A value as a multiple of 2**-20 and the rest: sums of the former are exact for usual magnitudes,
@@ -256,39 +348,51 @@ def _merge(a: dict, b: dict) -> dict:
     return out
 
 
-def _span_moments(df: DataFrame, stats, w_us: int, by, tie, ties) -> DataFrame:
-    """Mean and std over ``(t - w, t]`` from cells shorter than the span (see the module's text)."""
-    names = df.columns
-    cells = next(k for k in (CELLS, 8, 4, 2, 1) if w_us % k == 0)
-    width = w_us // cells
-    cell = F.floor(_micros() / width)
+NOTHING = "named_struct('n', 0L, 's0', 0D, 's1', 0D, 'q', 0D)"
+
+
+def _folded(parts: str) -> Column:
+    """Moments of the union of disjoint sets: an array of (n, s0, s1, q), merged in a fixed order."""
+    return F.expr(f"""
+      aggregate(sort_array({parts}), {NOTHING}, (a, b) -> named_struct(
+        'n', a.n + b.n, 's0', a.s0 + b.s0, 's1', a.s1 + b.s1,
+        'q', a.q + b.q + if(a.n = 0, 0D, pow((b.s0 + b.s1) / b.n - (a.s0 + a.s1) / a.n, 2) * a.n * b.n / (a.n + b.n))))""")
+
+
+def _core_moments(rows: DataFrame, cells: Cells, by, w: int) -> DataFrame:
+    """(by, _cell, _between): moments of the core of every cell that has one."""
     v = F.col(VALUE)
-    std = "std" in stats
-    # moments of whole cells, handed to the cells - 1 cells behind them and merged there
     coarse, fine = _split(v)
     part = F.struct(F.count(v).alias("n"), F.sum(coarse).alias("s0"), F.sum(fine).alias("s1"), (F.var_pop(v) * F.count(v)).alias("q"))
-    whole = (df.where(v.isNotNull()).groupBy(*by, cell.alias("_cell")).agg(part.alias("_part"))
-             .select(*by, F.explode(F.sequence(F.col("_cell") + 1, F.col("_cell") + (cells - 1))).alias("_cell"), "_part")
-             if cells > 1 else None)
-    both = df.withColumn("_kind", F.explode(F.array(F.lit(1), F.lit(2))))
+    across = rows.where(v.isNotNull() & (_end("_j", "_jg") < F.col("_l")))
+    groups = across.groupBy(*by, "_j", "_jg", "_l").agg(part.alias("_part"))
+    if cells.splits is None and cells.finest == w.bit_length() - 1:
+        # cells of more than half a span: a row's two cells have one cell between them at most
+        return groups.select(*by, _end("_j", "_jg").alias("_cell"), F.col("_part").alias("_between"))
+    groups = materialize(groups, "cell-groups")
+    own = materialize(rows.select(*by, F.col("_j").alias("_cell"), F.col("_jg").alias("_cg")).distinct(), "own-cells")
+    covered, above = _cored(groups, own, by, w, cells.finest, ["_part"], ["_cell"])
+    nodes = covered.groupBy(*by, "lv", "no").agg(F.collect_list("_part").alias("_parts")).select(*by, "lv", "no", _folded("_parts").alias("_part"))
+    met = join_null_safe(above, nodes, [*by, "lv", "no"])
+    return materialize(met.groupBy(*by, "_cell").agg(F.collect_list("_part").alias("_parts")).select(*by, "_cell", _folded("_parts").alias("_between")), "cores")
+
+
+def _axis_moments(df: DataFrame, cells: Cells, stats, w: int, by, tie, ties) -> DataFrame:
+    """``df`` with mean and std over frames of ``w`` on the axis (see the module's text)."""
+    names = df.columns
+    rows, v, std = _located(df, cells, by, w), F.col(VALUE), "std" in stats
     own = F.col("_kind") == 1
+    both = rows.withColumn("_kind", F.explode(F.array(F.lit(1), F.lit(2)))).where(own | v.isNotNull())
     entering = both.select(
         *by, *[F.when(own, F.col(c)).alias(c) for c in names if c not in by and c != VALUE],
-        F.when(own, cell).otherwise(cell + cells).alias("_cell"), F.when(own, _micros()).otherwise(_micros() + w_us).alias("_key"),
+        F.when(own, F.col("_j")).otherwise(F.col("_l")).alias("_cell"), F.when(own, F.col(KEY)).otherwise(F.col(KEY) + F.lit(w)).alias("_at"),
         "_kind", VALUE)
-    if whole is not None:
-        between = whole.groupBy(*by, "_cell").agg(F.sort_array(F.collect_list("_part")).alias("_parts")).select(
-            *by, "_cell", F.lit(-(1 << 62)).cast("long").alias("_key"), F.lit(0).alias("_kind"), F.expr("""
-              aggregate(_parts, named_struct('n', 0L, 's0', 0D, 's1', 0D, 'q', 0D), (a, b) -> named_struct(
-                'n', a.n + b.n, 's0', a.s0 + b.s0, 's1', a.s1 + b.s1,
-                'q', a.q + b.q + if(a.n = 0, 0D, pow((b.s0 + b.s1) / b.n - (a.s0 + a.s1) / a.n, 2) * a.n * b.n / (a.n + b.n))))""").alias("_between"))
-        entering = entering.unionByName(between, allowMissingColumns=True)
-    else:
-        entering = entering.withColumn("_between", F.lit(None).cast("struct<n:bigint,s0:double,s1:double,q:double>"))
+    core = _core_moments(rows, cells, by, w).select(*by, "_cell", F.lit(-(1 << 62)).cast("long").alias("_at"), F.lit(0).alias("_kind"), "_between")
+    entering = entering.unionByName(core, allowMissingColumns=True)
     part = Window.partitionBy(*by, "_cell")
-    up = part.orderBy("_key", "_kind", *(tie if ties == "row" else ()))
-    upto = up.rowsBetween(Window.unboundedPreceding, 0) if ties == "row" else part.orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
-    behind = part.orderBy(F.col("_key").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    up = part.orderBy("_at", "_kind", *(tie if ties == "row" else ()))
+    upto = up.rowsBetween(Window.unboundedPreceding, 0) if ties == "row" else part.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    behind = part.orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, -1)
     first = _moments(F.when(F.col("_kind") == 1, v), upto, std)
     last = _moments(F.when(F.col("_kind") == 2, v), behind, std)
     middle = F.first(F.col("_between"), ignorenulls=True).over(upto)
@@ -299,62 +403,160 @@ def _span_moments(df: DataFrame, stats, w_us: int, by, tie, ties) -> DataFrame:
     m = _merge(_merge(a, b), c)
     n, mean, m2 = m["n"], (m["s0"] + m["s1"]) / F.greatest(m["n"], F.lit(1)).cast("double"), m.get("q", F.lit(0.0))
     out = {"mean": F.when(n > 0, mean), "std": F.when(n > 1, F.sqrt(m2 / F.greatest(n - 1, F.lit(1)).cast("double")))}
-    return parts.select(*names, *[out[s].alias(s) for s in stats])
+    return parts.select(*names, *[out[s].alias(s) for s in stats], n.alias(COUNT))
 
 
-def _span_median(df: DataFrame, w_us, by, tie, ties, split_factor, target_rows, engine) -> DataFrame:
-    cols, t = df.columns, _micros()
-    widths = bucket_widths(df, by, w_us, target_rows)
-    if split_factor == "auto":
-        sized, width, spans = join_small(df, widths, by, cols=[*by, "_bw"]), F.col("_bw"), 1
-    else:
-        sized, width, spans = df, F.lit(int(split_factor) * w_us), int(split_factor)
-    # a bucket is a span wide at least: its rows are bounded by the target or the peak hourly rate
-    peak = observed(widths).get("max_peak") or 0
-    rows = max(observed(widths).get("target", 0) if split_factor == "auto" else 0, peak * (spans * w_us / HOUR + 1))
-    b = F.floor(t / width)
-    # one pass: every row goes to its bucket; the rows of a bucket's last span also to the next one
-    both = _with_copies(sized, b, t > (b + 1) * width - w_us, "_b")
-    if engine == "spark" and ties == "peers":
-        win = Window.partitionBy(*by, "_b").orderBy(t).rangeBetween(-(w_us - 1), 0)
-        return both.select(*cols, "_own", _agg("median", F.col(VALUE)).over(win).alias("median")).where("_own")
-    _check_bucket(rows, "median over this span")
-    return _bucket_frames(both, ["median"], ("span", w_us), ties, by, "_b", ["_micros", *tie]).where("_own")
-
-
-# ---- pandas' rolling for bounded buckets -------------------------------------------
-
-def _bucket_frames(both: DataFrame, stats, kind, ties, by, bucket, order) -> DataFrame:
-    """Rolling statistics per (group, bucket) with pandas' rolling on the bucket's rows.
-
-    The rows come sorted by their place in ``order``, computed in the JVM; only
-    the time, the value and that place are read, every column is returned as it came.
-    """
+COUNT = "_present"               # values in the frame
+
+
+def _rolling_rows(df, stats, n, by, tie, chunk_rows, target_rows):
+    names = df.columns
+    widths = bucket_widths(df, by, 1, target_rows)
+    out = axis = with_row_index(df, by, tie, widths=widths)
+    target = max(1, min(int(chunk_rows), observed(widths)["target"]))
+    moments = [s for s in stats if s != "median"]
+    if moments and n <= SHORT_FRAME:
+        # every row goes to its chunk; the last n-1 rows of a chunk also to the next one
+        chunk = max(8 * n, target)
+        bucket = F.floor(F.col("_idx") / chunk)
+        targets = F.when((F.col("_idx") % chunk) >= chunk - (n - 1), F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
+        both = out.withColumn("_cell", F.explode(targets)).withColumn("_own", F.col("_cell") == bucket)
+        w = Window.partitionBy(*by, "_cell").orderBy("_idx").rowsBetween(-(n - 1), 0)
+        full = F.count(F.col(VALUE)).over(w) >= n
+        out = both.select(*names, "_idx", "_own", *[F.when(full, _agg(s, F.col(VALUE)).over(w)).alias(s) for s in moments]).where("_own").drop("_own")
+    elif moments:
+        lg = min(n.bit_length() - 1, (2 * target).bit_length() - 1)
+        out = _axis_moments(out.withColumn(KEY, F.col("_idx")), row_cells(lg), moments, n, by, [], "peers")
+        out = out.select(*names, "_idx", *[F.when(F.col(COUNT) >= n, F.col(s)).alias(s) for s in moments])
+    if "median" in stats:
+        lg = (2 * min(target, MEDIAN_TARGET_ROWS)).bit_length() - 1
+        out = _axis_median(out.withColumn(KEY, F.col("_idx")), axis.withColumn(KEY, F.col("_idx")), row_cells(lg), n, by, [], "peers")
+        out = out.withColumn("median", F.when(F.col(COUNT) >= n, F.col("median")))
+    return out
+
+
+# ---- medians ----------------------------------------------------------------------------
+
+def _axis_median(df: DataFrame, axis: DataFrame, cells: Cells, w: int, by, tie, ties) -> DataFrame:
+    """``df`` with the median over frames of ``w`` on the axis (see the module's text); ``axis``: its rows as they came, for the core."""
+    names = df.columns
+    rows, own = _located(df, cells, by, w), F.col("_kind") == 1
+    both = rows.withColumn("_kind", F.explode(F.array(F.lit(1), F.lit(2)))).where(own | (F.col(VALUE).isNotNull() & (F.col("_j") != F.col("_l"))))
+    both = both.select(
+        *by, *[F.when(own, F.col(c)).alias(c) for c in names if c not in by and c not in (VALUE, KEY)], VALUE, KEY, "_kind",
+        F.when(own, F.col("_j")).otherwise(F.col("_l")).alias("_cell"))
+    if ties == "row":
+        both = both.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(KEY, *tie)))
+    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("median", T.DoubleType()), T.StructField(COUNT, T.LongType())])
+    solve = _solver(names, w, ties)
+    if cells.finest >= (w - 1).bit_length():  # no cell is narrower than a span, so no row enters before one and leaves behind it
+        return both.groupBy(*by, "_cell").applyInArrow(lambda t: solve(t, None), schema)
+    ids = materialize(axis.select(*by).distinct().withColumn("_g", F.monotonically_increasing_id()), "group-ids")
+    core = _core_middles(join_small(_located(axis, cells, by, w), ids, by), w, cells.finest)
+    return join_small(both, ids, by).groupBy("_g", "_cell").cogroup(core.groupBy("_g", "_cell")).applyInArrow(solve, schema)
+
+
+def _solver(names: list[str], w: int, ties: str):
+    """Medians of one cell's rows: an Arrow table of entering (kind 1) and leaving rows, and the core's parts or None."""
     import numpy as np
     import pandas as pd
     import pyarrow as pa
+    from pandas.api.indexers import BaseIndexer
+
+    class Given(BaseIndexer):
+        """Windows [start, end) that were worked out before."""
 
-    mode, param = kind
-    if mode == "span":
-        both = both.withColumn("_micros", _micros())
-    place = Window.partitionBy(*by, bucket).orderBy(*order)
-    both = both.withColumn("_place", F.row_number().over(place))
-    schema = T.StructType([*both.schema.fields, *[T.StructField(s, T.DoubleType()) for s in stats]])
-
-    def frames(table: pa.Table) -> pa.Table:
-        table = table.take(pa.array(np.argsort(table.column("_place").to_numpy(), kind="stable")))
-        values = table.column(VALUE).to_numpy(zero_copy_only=False).astype("float64")
-        if mode == "span":
-            micros = table.column("_micros").to_numpy()
-            roll = pd.Series(values, index=pd.DatetimeIndex(micros.astype("datetime64[us]"))).rolling(pd.Timedelta(microseconds=param))
+        def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+            return self.start, self.end
+
+    def rolled(values, start, end):
+        """Median of values[start:end], both rising; pandas wants as many values as windows."""
+        extra = len(values) - len(start)
+        if extra > 0:
+            start, end = (np.concatenate([np.zeros(extra, dtype=np.int64), x]) for x in (start, end))
         else:
-            roll = pd.Series(values).rolling(int(param))
-        for stat in stats:
-            res = getattr(roll, stat)().to_numpy()
-            if mode == "span" and ties == "peers":
-                # all rows of one timestamp see the frame of its last row
-                res = res[np.searchsorted(micros, micros, side="right") - 1]
-            table = table.append_column(stat, pa.array(res, pa.float64(), from_pandas=True))
-        return table
-
-    return both.groupBy(*by, bucket).applyInArrow(frames, schema)
+            values = np.concatenate([values, np.full(-extra, np.nan)])
+        indexer = Given(start=start.astype(np.int64), end=end.astype(np.int64))
+        return pd.Series(values).rolling(indexer, min_periods=1).median().to_numpy()[max(extra, 0):]
+
+    def solve(table: pa.Table, core) -> pa.Table:
+        kind, key = table.column("_kind").to_numpy(), table.column(KEY).to_numpy()
+        order = np.argsort(table.column("_place").to_numpy() if ties == "row" else key, kind="stable")
+        own_at, gone_at = order[kind[order] == 1], order[kind[order] == 2]
+        own, gone = table.take(pa.array(own_at)), table.take(pa.array(gone_at))
+        value = own.column(VALUE).to_numpy(zero_copy_only=False).astype("float64")
+        at, leave = key[own_at], key[gone_at] + w
+        there = ~np.isnan(value)
+        middle, present = np.zeros(0), 0
+        if core is not None and len(core):
+            middle = np.concatenate([np.asarray(x, dtype="float64") for x in core.column("slice").to_pylist()])
+            below, above = (int(np.sum(core.column(c).to_numpy())) for c in ("below", "above"))
+            present = len(middle) + below + above
+            # as many of the lowest as of the highest values may go: the median stays; the rest stand in as extremes
+            most = np.finfo("float64").max
+            middle = np.concatenate([middle, np.full(abs(below - above), -most if below > above else most)])
+        before = len(leave) + len(middle)
+        counted = np.concatenate([[0], np.cumsum(there)])
+        upto = np.searchsorted(at, at, side="right") if ties == "peers" else np.arange(1, len(at) + 1)
+        left, own_left = np.searchsorted(leave, at, side="right"), counted[np.searchsorted(at, at - w, side="right")]
+        start = np.where(own_left > 0, before + own_left, left)   # a row that entered here leaves after all that entered before
+        values = np.concatenate([gone.column(VALUE).to_numpy(zero_copy_only=False).astype("float64"), middle, value[there]])
+        res = rolled(values, start, before + counted[upto])
+        n = len(leave) - left + present + counted[upto] - own_left
+        return own.select(names).append_column("median", pa.array(np.where(n > 0, res, np.nan), pa.float64(), from_pandas=True)).append_column(
+            COUNT, pa.array(n, pa.int64()))
+
+    return solve
+
+
+def _core_middles(rows: DataFrame, w: int, finest: int) -> DataFrame:
+    """(_g, _cell, slice, below, above), a row per group in the cell's core: its sorted values around the core's middle and how many lie beside them.
+
+    The slices of a cell together hold every value that is the median of any of the cell's frames.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = rows.select("_g", "_j", "_jg", "_l", VALUE, KEY)
+    across = rows.where(F.col(VALUE).isNotNull() & (_end("_j", "_jg") < F.col("_l")))
+    groups = stored_columns(across.groupBy("_g", "_j", "_jg", "_l").agg(F.sort_array(F.collect_list(VALUE)).alias("vals")), "sorted-groups")
+    # how many rows enter or leave in a cell: so far a frame's middle rank can be from the core's
+    moved = rows.select("_g", F.explode(F.array(F.struct(F.col("_j").alias("_cell"), F.col("_jg").alias("_cg")),
+                                                F.struct(F.col("_l").alias("_cell"), F.lit(None).cast("int").alias("_cg")))).alias("c"))
+    own = materialize(moved.groupBy("_g", "c._cell").agg(F.max("c._cg").alias("_cg"), F.count(F.lit(1)).alias("moved")).where("_cg is not null"), "own-cells")
+    covered, above = _cored(groups.select("_g", "_j", "_jg", "_l"), own, ["_g"], w, finest, ["_j", "_l"], ["_cell", "moved"])
+    met = materialize(covered.join(above, ["_g", "lv", "no"]).select("_g", "_j", "_l", "_cell", "moved"), "cores")
+    n = F.size("vals").cast("long")
+    places = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES)), lambda k: F.floor(k * (n - 1) / SAMPLES).cast("int"))
+    sampled = groups.select("_g", "_j", "_l", n.alias("n"), F.transform(places, lambda p: F.get("vals", p)).alias("sample"))
+
+    def bounds(frame: pd.DataFrame) -> pd.DataFrame:
+        """Values between which the median of every frame of the cell must lie, by the samples of its groups."""
+        total, room = int(frame["n"].sum()), int(frame["moved"].iloc[0]) + 2
+        candidates = np.unique(np.concatenate(frame["sample"].tolist()))
+        most_below, least_upto = np.zeros(len(candidates), dtype=np.int64), np.zeros(len(candidates), dtype=np.int64)
+        for size, sample in zip(frame["n"], frame["sample"]):
+            place = np.arange(SAMPLES + 1) * (size - 1) // SAMPLES
+            first = np.searchsorted(sample, candidates, side="left")    # values below a candidate: at most those up to the next sample
+            most_below += np.where(first <= SAMPLES, place[np.minimum(first, SAMPLES)], size)
+            last = np.searchsorted(sample, candidates, side="right")    # values up to it: at least those up to the sample before
+            least_upto += np.where(last > 0, place[np.maximum(last - 1, 0)] + 1, 0)
+        low, high = np.flatnonzero(most_below <= total // 2 - room), np.flatnonzero(least_upto >= total // 2 + room + 1)
+        return pd.DataFrame({"_g": frame["_g"].iloc[:1], "_cell": frame["_cell"].iloc[:1],
+                             "lo": [candidates[low[-1]] if len(low) else -np.inf], "hi": [candidates[high[0]] if len(high) else np.inf]})
+
+    limits = met.join(sampled, ["_g", "_j", "_l"]).select("_g", "_cell", "moved", "n", "sample").groupBy("_g", "_cell").applyInPandas(
+        bounds, "_g long, _cell long, lo double, hi double")
+    asked = met.join(limits, ["_g", "_cell"]).groupBy("_g", "_j", "_l").agg(F.collect_list(F.struct("_cell", "lo", "hi")).alias("asked"))
+
+    def slices(frames):
+        for frame in frames:
+            for g, vals, asked in frame.itertuples(index=False, name=None):
+                out = []
+                for r in asked:
+                    a, b = np.searchsorted(vals, r["lo"], side="left"), np.searchsorted(vals, r["hi"], side="right")
+                    out.append((g, r["_cell"], vals[a:b], a, len(vals) - b))
+                yield pd.DataFrame(out, columns=["_g", "_cell", "slice", "below", "above"])
+
+    return groups.join(asked, ["_g", "_j", "_l"]).select("_g", "vals", "asked").mapInPandas(
+        slices, "_g long, _cell long, slice array<double>, below long, above long")

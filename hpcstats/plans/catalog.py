@@ -374,6 +374,9 @@ QUERIES = {
     "rolling_time_plain": _roll(["mean", "median", "std"], Span(3, "Hours"), split=False),
     "rolling_time_ties": q_rolling_ties,
     "rolling_by_host": q_rolling_by_host,
+    "rolling_count_long": _roll(["mean", "median", "std"], Rows(700)),
+    "rolling_median_days": _roll(["median"], Span(5, "Days")),
+    "rolling_median_narrow_cells": _roll(["median", "std"], Span(5, "Days"), target_rows=100),
     "rolling_count_by_host": q_rolling_count_by_host,
     "histogram": q_histogram,
     "histogram_fixed_bins": q_histogram_fixed_bins,
@@ -700,6 +703,9 @@ from {METRICS_SQL} left join s on m.event = s.event"""),
         "rolling_time_median": _rolling_span_sql(["median"], 3 * 3_600_000_000),
         "rolling_time_std": _rolling_span_sql(["std"], 3 * 3_600_000_000),
         "rolling_time_plain": roll3,
+        "rolling_count_long": _rolling_rows_sql(["mean", "median", "std"], 700),
+        "rolling_median_days": _rolling_span_sql(["median"], 5 * 24 * 3_600_000_000),
+        "rolling_median_narrow_cells": _rolling_span_sql(["median", "std"], 5 * 24 * 3_600_000_000),
         "rolling_time_ties": with_views("""
 , h as (select event_id, date_trunc('hour', time) as time, event, value from host_data)
 select a.event_id, a.time, a.event, a.value, round(avg(b.value), 6) as mean,
