@@ -15,11 +15,16 @@ bin grid is generated from the per-metric table with ``sequence``, so empty
 bins appear with count 0.  The number of bins is at most ``2*sqrt(n)``.
 
 The density is the Gaussian kernel sum on a 200-point grid from min to max
-with Scott's bandwidth ``sd * n^(-1/5)``.  Every row is spread over the grid
-points it can reach (terms beyond 38.6 bandwidths are exactly zero in
-doubles, so skipping them changes no sum) and summed per (group, point) with
-map-side partial aggregation: the shuffle carries at most 200 partial sums per
-group and task, and a row costs fewer than 200 terms once n is large.
+with Scott's bandwidth ``h = sd * n^(-1/5)``, as a binned fast Gauss transform:
+values fall into boxes of a tenth of a bandwidth, and a box is kept as 20 numbers,
+the sums of ``exp(-s^2 / 2) * s^j`` with ``s = (value - centre) / h``, |s| <= 1/20.
+At ``t`` bandwidths from the centre its values' kernels sum up to
+``exp(-t^2 / 2) * sum(m_j * t^j / j!)``.  As a kernel is zero in doubles beyond
+38.6 bandwidths, |t s| <= 1.95, and what the series leaves out is below
+``1.95^20 / 20! * e^1.95 < 2e-12`` of the sum, in the far tails as well, so no box
+needs the plain sum.  A value is one record (a partial sum per task and box),
+never one per grid point; only boxes meet the grid points that they can reach,
+about ``160,000 + boxes`` times per group.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ from hpcstats.sources.readers import missing_as_null
 
 KDE_POINTS = 200
 KERNEL_REACH = 40.0   # bandwidths; beyond 38.6 the Gaussian term underflows to 0.0
+BOX = 0.1             # width of a box in bandwidths
+TERMS = 20            # moments kept of a box
 
 
 def _values(df: DataFrame, by: list[str], drop_any_null: bool) -> DataFrame:
@@ -121,6 +128,26 @@ def cdf(df: DataFrame, by=("event",), bins: int | None = None, drop_any_null: bo
         .withColumn("cum_fraction", F.col("cum_count") / F.sum("count").over(total))
 
 
+def _box_moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, value, lo, hi, h) to boxes: by, lo, hi, h, centre and m, the sums of exp(-s^2/2) * s^j for j < TERMS."""
+    width = F.col("h") * BOX
+    box = F.floor((F.col("value") - F.col("lo")) / width)
+    placed = rows.withColumn("_box", box).withColumn("_s", (F.col("value") - (F.col("lo") + (F.col("_box") + 0.5) * width)) / F.col("h"))
+    powers = [F.exp(F.lit(-0.5) * F.col("_s") * F.col("_s"))]
+    for _ in range(1, TERMS):
+        powers.append(powers[-1] * F.col("_s"))
+    sums = placed.groupBy(*by, "lo", "hi", "h", "_box").agg(*[F.sum(p).alias(f"_m{k}") for k, p in enumerate(powers)])
+    return sums.select(*by, "lo", "hi", "h", (F.col("lo") + (F.col("_box") + 0.5) * width).alias("centre"), *[f"_m{k}" for k in range(TERMS)])
+
+
+def _kernel_sum() -> Column:
+    """Sum of the kernels of a box's values at distance ``t`` (bandwidths) from its centre, from its moments."""
+    total = F.col(f"_m{TERMS - 1}")
+    for k in range(TERMS - 1, 0, -1):
+        total = F.col(f"_m{k - 1}") + F.col("t") / k * total
+    return F.exp(F.lit(-0.5) * F.col("t") * F.col("t")) * total
+
+
 def kde(df: DataFrame, by=("event",), points: int = KDE_POINTS, drop_any_null: bool = True) -> DataFrame:
     """Gaussian kernel density on ``points`` grid values from min to max.
 
@@ -145,17 +172,12 @@ def kde(df: DataFrame, by=("event",), points: int = KDE_POINTS, drop_any_null: b
     step = (F.col("hi") - F.col("lo")) / F.lit(points - 1)
     j = F.col("point")
     x = F.when(j == points - 1, F.col("hi")).otherwise(F.col("lo") + j.cast("double") * step)
-    # each row meets the grid points it can reach (a generator, not a join); partial sums per
-    # (group, point) map-side.  exp(-z^2/2) is exactly 0.0 in doubles for |z| > 38.6, so points
-    # further than KERNEL_REACH bandwidths add nothing and are skipped: the sums are unchanged,
-    # and with many rows (small bandwidth) a row reaches only a few points.
-    reach = F.lit(KERNEL_REACH) * F.col("h")
-    first = F.greatest(F.lit(0), F.floor((F.col("value") - reach - F.col("lo")) / step).cast("int") - 1)
-    last = F.least(F.lit(points - 1), F.ceil((F.col("value") + reach - F.col("lo")) / step).cast("int") + 1)
-    spread = rows.select(*by, "value", "lo", "hi", "h",
-                         F.explode(F.sequence(first, F.greatest(first, last))).alias("point"))
-    sums = spread.groupBy(*by, "point").agg(
-        F.sum(F.exp(F.lit(-0.5) * F.pow((x - F.col("value")) / F.col("h"), 2))).alias("_s"))
+    sums = _box_moments(rows, by)
+    reach, centre = F.lit(KERNEL_REACH) * F.col("h"), F.col("centre")
+    first = F.greatest(F.lit(0), F.floor((centre - reach - F.col("lo")) / step).cast("int") - 1)
+    last = F.least(F.lit(points - 1), F.ceil((centre + reach - F.col("lo")) / step).cast("int") + 1)
+    spread = sums.select(*by, "centre", "lo", "hi", "h", *[f"_m{k}" for k in range(TERMS)], F.explode(F.sequence(first, F.greatest(first, last))).alias("point"))
+    sums = spread.withColumn("t", (x - centre) / F.col("h")).groupBy(*by, "point").agg(F.sum(_kernel_sum()).alias("_s"))
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
     # every grid point appears, also those no row reaches (density 0)
     grid = st.select(*by, "n", "lo", "hi", "h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))

@@ -121,3 +121,24 @@ def test_kde_reach_skips_only_zero_terms(spark):
     grid = np.linspace(x.min(), x.max(), 200)
     dens = np.array([np.exp(-0.5 * ((g - x) / bw) ** 2).sum() for g in grid]) / (len(x) * bw * math.sqrt(2 * math.pi))
     assert np.allclose(got["density"].to_numpy(), dens, rtol=1e-9, atol=0)
+
+
+@pytest.mark.parametrize("kind", ["normal", "heavy", "copies"])
+def test_kde_equals_the_plain_sum(spark, kind):
+    """The box expansion against every value's kernel at every grid point."""
+    rng = np.random.default_rng(11)
+    values = {"normal": rng.normal(1e6, 3, 700), "heavy": np.concatenate([rng.normal(0, 1, 400), [1e5, -2e4, 5e4]]),
+              "copies": np.repeat([1.0, 2.0, 2.5], [300, 5, 200])}[kind]
+    df = host_frame(spark, [(i, "2024-01-01 00:00:00", "nfs", float(v)) for i, v in enumerate(values)])
+    got = kde(df).orderBy("point").toPandas()
+    h = values.std(ddof=1) * len(values) ** -0.2
+    grid = got["x"].to_numpy()
+    want = np.exp(-0.5 * ((grid[:, None] - values[None, :]) / h) ** 2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
+    assert len(got) == 200 and np.allclose(got["density"], want, rtol=1e-9, atol=0)
+
+
+def test_kde_keeps_one_record_per_box(spark):
+    from hpcstats.operators.distribution import _box_moments
+    rows = spark.range(20_000).repartition(3).selectExpr("'nfs' as event", "cast(id % 1000 as double) as value", "0D as lo", "999D as hi", "200D as h")
+    boxes = _box_moments(rows, ["event"]).collect()
+    assert len(boxes) == 50 and 0.99 * 20_000 < sum(b["_m0"] for b in boxes) <= 20_000
