@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hpcstats.llm.components import components
-from hpcstats.llm.shared import SMALL_ROWS, documents, shuffle_parts, stored, with_columns
+from hpcstats.llm.shared import SMALL_ROWS, WORD_PATTERN, documents, shuffle_parts, stored, with_columns
 from hpcstats.llm.tokens import sliced
 from hpcstats.llm.wordhash import STEP, Batch, mixed
 
@@ -336,18 +336,8 @@ def _groups(linked: np.ndarray, same: bool) -> np.ndarray:
     return label
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, class_size.
-
-    Two texts are linked if the Jaccard similarity of their sets of five-word
-    shingles is at least ``threshold``; a class is a component of the links,
-    named by its least doc_id (NULL if it has none).  ``n_links`` counts the
-    other documents linked to this one, exact copies included.  A text of one
-    to four words is its own single shingle; NULL, empty and wordless texts
-    have no shingle, no link and a class of their own.  Repeated rows count as
-    copies; an empty table gives no rows; columns other than doc_id and text
-    are ignored.
-    """
+def _texts_classified(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and per different text (key1, key2): copies, least_id, root (of its class), n_links."""
     sigs = signatures(docs, threshold, runs_for(recall))
     worded = sigs.where("n_words > 0")
     texts = stored(worded.groupBy("key1", "key2").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"),
@@ -365,6 +355,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
              .join(counted.withColumnRenamed("a", "row"), "row", "left")
              .select("key1", "key2", "copies", "least_id", F.coalesce("root", "row").alias("root"),
                      (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    return sigs, known
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, class_size.
+
+    Two texts are linked if the Jaccard similarity of their sets of five-word
+    shingles is at least ``threshold``; a class is a component of the links,
+    named by its least doc_id (NULL if it has none).  ``n_links`` counts the
+    other documents linked to this one, exact copies included.  A text of one
+    to four words is its own single shingle; NULL, empty and wordless texts
+    have no shingle, no link and a class of their own.  Repeated rows count as
+    copies; an empty table gives no rows; columns other than doc_id and text
+    are ignored.
+    """
+    sigs, known = _texts_classified(docs, threshold, recall)
+    worded = sigs.where("n_words > 0")
     named = known.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     answer = stored(known.join(named, "root").select("key1", "key2", "class_id", "class_size", "n_links"), "classes")
     out = worded.select("doc_id", "key1", "key2").join(answer, ["key1", "key2"]).select("doc_id", "class_id", "n_links", "class_size")
@@ -374,10 +381,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The rows of ``docs`` that stay: of every class the one whose doc_id names it (rows without an id stay)."""
-    kept = near_duplicates(docs, threshold, recall).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return found.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` that stay, with all their columns whatever their names: one row per class of near duplicates.
+
+    It is the row with the smallest doc_id (NULL ids after all others), then
+    the smallest text hash; of rows equal in both, any one stays.  Rows that
+    share an id but not a class are judged apart.  Texts without words have no
+    class and stay, all of them.  An empty table gives no rows.
+    """
+    sigs, known = _texts_classified(docs, threshold, recall)
+    # per text first, so that a text which many rows hold is one row in the join
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = sigs.where("n_words > 0").groupBy("key1", "key2").agg(F.min(place).alias("first"))
+    winners = first.join(known.select("key1", "key2", "root"), ["key1", "key2"]).groupBy("root").agg(F.min("first").alias("first"))
+    key = lambda c: [F.coalesce(c["doc_id"], F.lit(0)).alias("id"), c["doc_id"].isNull().alias("none"), c["text_hash"].alias("text_hash")]
+    kept = stored(winners.select(*key({c: F.col(f"first.{c}") for c in ("doc_id", "text_hash")})), "near-kept")
+    column = lambda c, t: (F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(t)
+    text = F.coalesce(column("text", "string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), *key({"doc_id": column("doc_id", "long"), "text_hash": F.xxhash64(text)}),
+                       F.regexp_like(text, F.lit(WORD_PATTERN)).alias("worded"))
+    names = ["id", "none", "text_hash"]
+    one = rows.where("worded").join(kept, names, "left_semi").dropDuplicates(names)
+    return one.unionByName(rows.where("not worded")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -167,20 +167,27 @@ def _sql_pattern() -> str:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with its own columns."""
-    keys = ["_id", "_none", "_source", "_nosource", "_size"]
-    key = lambda size: [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"),
-                        F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_nosource"), size.alias("_size")]
+    """The mix itself: every document as often as it is taken, with its own columns whatever their names.
+
+    Rows that agree in doc_id, source and size share their copies evenly, the
+    first ones in the order of their text's hash taking what is left over.
+    Documents without words are not taken; an empty table gives no rows.
+    """
+    keys = ["id", "none", "of", "nowhere", "size"]
+    key = lambda size: [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"),
+                        F.coalesce("source", F.lit("")).alias("of"), F.col("source").isNull().alias("nowhere"), size.alias("size")]
     taken = mix(docs, **options).select(*key(F.col("size")), "copies")
     # rows repeated with one identity share their copies: so many rows, each taken copies / rows times, remainders first
     taken = taken.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
     words = F.coalesce(F.expr(f"regexp_count(text, '{_sql_pattern()}')"), F.lit(0)).cast("long")
-    own = docs.select("*", *key(words))
-    number = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).otherwise(1)
-    joined = own.join(taken.where("copies > 0"), keys)
-    times = F.floor((F.col("copies") + F.col("rows") - F.col("_no")) / F.col("rows")).cast("int")
-    return (joined.withColumn("_no", number).withColumn("_times", times).where("_times > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns))
+    column = lambda c, t: (F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(t).alias(c)
+    own = docs.select(F.struct("*").alias("row"), column("doc_id", "long"), column("text", "string"), column("source", "string"))
+    own = own.select("row", F.xxhash64("text").alias("hash"), *key(words))
+    number = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))).otherwise(1)
+    joined = own.join(taken.where("copies > 0"), keys).withColumn("number", number)
+    times = F.floor((F.col("copies") + F.col("rows") - F.col("number")) / F.col("rows")).cast("int")
+    return joined.withColumn("times", times).where("times > 0").select(
+        "row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

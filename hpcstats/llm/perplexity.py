@@ -358,16 +358,17 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 
     A verdict depends on the row's text and language alone; rows share one only
     if doc_id, text and language are the same, so rows without an id or with a
-    repeated one are judged each by its own text.
+    repeated one are judged each by its own text.  NULL and empty texts go; the
+    columns may have any names; an empty table gives no rows.
     """
     judged = quality(docs).where("kept")
-    key = lambda t, text_key: [
-        F.coalesce(t["doc_id"], F.lit(0)).alias("_id"), t["doc_id"].isNull().alias("_none"), text_key.alias("_text"),
-        F.coalesce(t["lang"], F.lit("")).alias("_lang"), t["lang"].isNull().alias("_no_lang")]
-    names = ["_id", "_none", "_text", "_lang", "_no_lang"]
-    kept = judged.select(*key(judged, F.col("text_key"))).distinct()
-    rows = docs.select("*", *key({c: own_column(docs, c) for c in ("doc_id", "lang")}, F.xxhash64(F.coalesce(own_column(docs, "text"), F.lit("")))))
-    return rows.join(kept, names, "left_semi").select(*docs.columns)
+    key = lambda doc_id, lang, text_key: [
+        F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), text_key.alias("text_key"),
+        F.coalesce(lang, F.lit("")).alias("of"), lang.isNull().alias("nowhere")]
+    kept = judged.select(*key(F.col("doc_id"), F.col("lang"), F.col("text_key"))).distinct()
+    rows = docs.select(F.struct("*").alias("row"), *key(own_column(docs, "doc_id"), own_column(docs, "lang"),
+                                                         F.xxhash64(F.coalesce(own_column(docs, "text"), F.lit("")))))
+    return rows.join(kept, kept.columns, "left_semi").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -79,12 +79,20 @@ def exact_groups(docs: DataFrame, keep: str = "largest", fan_in: int = FAN_IN) -
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest", fan_in: int = FAN_IN) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one per group of equal texts."""
-    keys = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_missing")]
-    kept = exact_groups(docs, keep, fan_in).where("kept").select(*keys, F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(fold_case(F.coalesce(F.col("text"), F.lit(""))), 256).alias("_sha")
-    found = docs.select("*", *keys, sha).join(kept, ["_id", "_missing", "_sha"], "left_semi")
-    return found.dropDuplicates(["_id", "_missing", "_sha"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns whatever their names: one per group of equal texts.
+
+    Rows are told apart by doc_id and text; of rows equal in both, any one stays
+    (they may differ in other columns).  NULL texts are empty texts, a NULL id
+    loses against any other; an empty table gives no rows.
+    """
+    own = with_columns(docs, doc_id="long", text="string").columns
+    column = lambda c, t: (F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(t)
+    key = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("missing")]
+    kept = exact_groups(docs, keep, fan_in).where("kept").select(*key, F.col("text_sha256").alias("sha"))
+    found = docs.select(F.struct("*").alias("row"), *[column(c, t).alias(c) for c, t in zip(own, ("long", "string"))])
+    found = found.select("row", *key, F.sha2(fold_case(F.coalesce("text", F.lit(""))), 256).alias("sha"))
+    names = ["id", "missing", "sha"]
+    return found.join(kept, names, "left_semi").dropDuplicates(names).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ from collections import defaultdict
 import pytest
 
 from hpcstats.llm import chat, mixing
+from pyspark.sql import functions as F
+
 from llm_helpers import ODD_ROWS, WORD, docs, empty, odd
 
 
@@ -157,3 +159,19 @@ def test_pipeline_takes_odd_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, odd(spark), "").count() >= 0
     assert len(ODD_ROWS) == odd(spark).count()
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    """Extra columns named like the stages' own pass through unchanged, with repeated ids and rows."""
+    import corpus_pipeline
+    extra = ["_id", "_missing", "_sha", "_kept", "_size", "rows", "copies", "_no", "_times", "_copy", "_text", "_lang",
+             "id", "missing", "none", "sha", "row", "of", "nowhere", "size", "hash", "number", "times", "copy", "text_hash", "text_key", "worded", "first"]
+    table = docs(spark).select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in extra])
+    table = table.unionByName(table.where("doc_id < 20")).unionByName(table.where("doc_id = 5").withColumn("text", F.lit("a text of its own, which no other document holds at all")))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, table, "")
+        assert out.columns == table.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in extra), name
+    near = [r["text"] for r in corpus_pipeline.near(spark, table, "").where("doc_id = 5").collect()]
+    assert len(near) == 2
