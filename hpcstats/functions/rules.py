@@ -61,10 +61,13 @@ class Rule:
 def prefixed_list(col: str, prefix: str) -> Column:
     """V1-V6: every comma-separated item, trimmed and upper-cased, is PREFIX<digits>.
 
-    Checked item by item: a regular expression over the whole list would recurse once per item.
+    A list of one item, as nearly all are, is one regular expression; longer ones are checked item by item, as an
+    expression over the whole list would recurse once per item.
     """
-    items = F.transform(F.split(F.col(col).cast("string"), ","), lambda x: F.upper(strip_ws(x)))
-    return F.forall(items, lambda x: x.rlike(f"^{prefix}[0-9]+$"))
+    text = F.col(col).cast("string")
+    items = F.transform(F.split(text, ","), lambda x: F.upper(strip_ws(x)))
+    several = F.forall(items, lambda x: x.rlike(f"^{prefix}[0-9]+$"))
+    return F.when(F.contains(text, F.lit(",")), several).otherwise(F.upper(text).rlike(f"^{WS}*{prefix}[0-9]+{WS}*$"))
 
 
 def numeric_text(col: str) -> Column:
