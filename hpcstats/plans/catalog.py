@@ -12,6 +12,8 @@ order does not matter.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,11 @@ from hpcstats.operators.rolling import rolling
 from hpcstats.operators.summary import metric_summary, outside_ratio
 from hpcstats.schema import EVENTS, EXITCODES, QUEUES, UNIT_TO_EVENT
 from hpcstats.plans.analysis import analyse
+from hpcstats.session import ensure_checkpoint_dir
 from hpcstats.sources.dirty import host_dirty, job_dirty, samples_dirty, with_dirty_views
+from hpcstats.sources.layout import read_host_layout, write_host_layout
 from hpcstats.sources.readers import run_sql, union_sources
+from hpcstats.sources.splits import split_points, split_read
 from hpcstats.sources.sinks import utc_naive
 from hpcstats.sources.shared_tables import host_view, job_view, with_views
 
@@ -200,6 +205,36 @@ def q_cdf(spark, sf):
     return rnd(cdf(host_view(spark, sf)), ["bin_lo", "bin_hi", "cum_fraction"])
 
 
+def gaps(spark, sf):
+    """Samples with missing values (NULL and NaN) and hosts."""
+    h, k = host_view(spark, sf), F.col("event_id")
+    value = F.when(k % 7 == 0, None).when(k % 11 == 0, float("nan")).otherwise(F.col("value"))
+    return h.withColumn("value", value).withColumn("host", F.when(k % 13 != 0, F.col("host")))
+
+
+GAPS_SQL = """(select event_id, time, case when event_id % 13 <> 0 then host end as host, jid, event, unit,
+  case when event_id % 7 = 0 or event_id % 11 = 0 then null else value end as value from host_data)"""
+
+
+def _totals(df):
+    return df.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"),
+                                   F.round(F.sum(F.col("value").cast("decimal(18,6)")), 2).cast("double").alias("total"))
+
+
+def q_split_pieces(spark, sf):
+    """The table read in balanced pieces of its time, and put together again."""
+    h = host_view(spark, sf)
+    points = split_points(h, "time", rows_per_split=max(1, h.count() // 8))
+    return _totals(union_sources(split_read(h, "time", points)))
+
+
+def q_host_layout_window(spark, sf):
+    """The table written as partitions of metric and date, hot ones cut by time, and a window of two metrics read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/host-layout-{uuid.uuid4().hex}"
+    write_host_layout(host_view(spark, sf), path, rows_per_file=200)
+    return _totals(read_host_layout(spark, path, HOST_WINDOW, ["cpuuser", "nfs"]))
+
+
 def q_kde(spark, sf):
     out = kde(host_view(spark, sf))
     return rnd(rnd(out, ["x", "count_density"], 6), ["density", "bandwidth"], 9)
@@ -385,6 +420,12 @@ QUERIES = {
     "box_raw": q_box_raw,
     "box_rolling": q_box_rolling,
     "box_outliers": q_box_outliers,
+    "histogram_dirty": lambda spark, sf: rnd(histogram(gaps(spark, sf)), ["bin_lo", "bin_hi"]),
+    "cdf_dirty": lambda spark, sf: rnd(cdf(gaps(spark, sf)), ["bin_lo", "bin_hi", "cum_fraction"]),
+    "kde_dirty": lambda spark, sf: rnd(rnd(kde(gaps(spark, sf)), ["x", "count_density"], 6), ["density", "bandwidth"], 9),
+    "box_raw_dirty": lambda spark, sf: rnd(box_stats(gaps(spark, sf)), BOX_DOUBLES),
+    "split_pieces": q_split_pieces,
+    "host_layout_window": q_host_layout_window,
     "paired_points": q_paired_points,
     "common_times": q_common_times,
     "pearson": q_pearson,
@@ -643,7 +684,7 @@ def oracle() -> dict[str, str]:
     rolling_src = (f"select event, stat as statistic, val as value from ({roll3_raw}) r "
                    "unpivot (val for stat in (mean, median, std)) where val is not null")
     hist = _bins_sql(f"select event, value from host_data where {NOT_NULL_ROW}")
-    return {
+    texts = {
         "host_filter_compare": with_views(
             f"select * from host_data where event = 'cpuuser' and value >= 20.5 and host != 'NODE3' and {hw}"),
         "host_like": with_views(
@@ -790,3 +831,11 @@ window w as (partition by event order by epoch_us(time) range between 4319999999
         "fixed_decimals": with_views("select event_id, printf('%.2f', round(value, 1)) as label from host_data"),
         "whole_days": with_views("select jid, cast(floor((epoch_us(end_time) - epoch_us(submit_time)) / 86400000000) as bigint) as days from job_data"),
     }
+    plain = "select event, value from host_data where"
+    for name in ("histogram", "cdf", "kde", "box_raw"):   # the same questions over rows with gaps
+        assert plain in texts[name]
+        texts[f"{name}_dirty"] = texts[name].replace(plain, f"select event, value from {GAPS_SQL} gaps where")
+    whole = "select event, count(*) as n, count(value) as n_values, cast(round(sum(cast(value as decimal(18, 6))), 2) as double) as total from host_data"
+    texts["split_pieces"] = with_views(whole + " group by event")
+    texts["host_layout_window"] = with_views(f"{whole} where event in ('cpuuser', 'nfs') and {hw} group by event")
+    return texts

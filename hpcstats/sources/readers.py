@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hpcstats.schema import HOST_OPTIONAL, HOST_SCHEMA, JOB_SCHEMA
+from hpcstats.sources.splits import PER_PIECE, ROWS_PER_SPLIT, split_points, split_sql
 
 # Environment variables of the database source; all four are required.
 DB_ENV_VARS = ("DBHOST", "DBPW", "DBNAME", "DBUSER")
@@ -109,21 +110,31 @@ def bounds_query(table: str, column: str) -> str:
     return f"(select min({column}) as lo, max({column}) as hi, count(*) as n from {table}) as bounds"
 
 
-def read_jdbc_split(spark: SparkSession, table: str, column: str, rows_per_split: int = 1_000_000,
-                    kind: str = "host", env: dict | None = None, max_splits: int = 10_000) -> DataFrame:
-    """The chunked fetch as Spark's partitioned JDBC read.
+def sample_query(table: str, column: str, share: float) -> str:
+    """The query that draws a uniform sample of the split column inside the database."""
+    return f"(select {column} as v from {table} where {column} is not null and random() < {share:.12f}) as sample"
 
-    The database computes min/max/count of a numeric column once; Spark then
-    reads ``ceil(count / rows_per_split)`` ranges of it in parallel tasks (an
-    empty table gives an empty frame with the schema).
+
+def read_jdbc_split(spark: SparkSession, table: str, column: str, rows_per_split: int = ROWS_PER_SPLIT,
+                    kind: str = "host", env: dict | None = None) -> DataFrame:
+    """The chunked fetch as Spark's parallel JDBC read, by conditions on any ordered column.
+
+    The database counts its rows and draws a sample of the column; Spark reads
+    one piece per condition, of about ``rows_per_split`` rows each, as many as
+    the table needs (an empty table gives an empty frame with the schema).
+    Text columns must be ordered by code points in the database (collation "C").
     """
     base = jdbc_options(table, env)
-    b = spark.read.format("jdbc").options(**{**base, "dbtable": bounds_query(table, column)}).load().first()
+    read = lambda query: spark.read.format("jdbc").options(**{**base, "dbtable": query}).load()
+    b = read(bounds_query(table, column)).first()
     if not b or b["n"] == 0 or b["lo"] is None:
         return read_jdbc(spark, table, kind, env)
-    parts = max(1, min(max_splits, -(-int(b["n"]) // rows_per_split)))
-    return read_jdbc(spark, table, kind, env, partition_column=column, lower_bound=b["lo"],
-                     upper_bound=int(b["hi"]) + 1, num_partitions=parts)
+    pieces = -(-int(b["n"]) // rows_per_split)
+    sample = read(sample_query(table, column, min(1.0, PER_PIECE * pieces / int(b["n"]))))
+    points = split_points(sample, "v", rows_per_split, rows=int(b["n"]))
+    properties = {k: v for k, v in base.items() if k not in ("url", "dbtable")}
+    df = spark.read.jdbc(base["url"], table, predicates=split_sql(column, points), properties=properties)
+    return conform_host(df) if kind == "host" else conform_job(df)
 
 
 def read_jdbc(spark: SparkSession, table: str, kind: str = "host", env: dict | None = None, **kw) -> DataFrame:
