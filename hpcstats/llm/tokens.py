@@ -101,7 +101,12 @@ class TextEncoder:
         bare = codes == line_end
         bare[1:] |= bare[:-1]
         bare[starts[:-1]] = True
-        kinds, place = np.unique(codes * 2 + bare, return_inverse=True)
+        # number the (word, bare or not) that occur by a table over all of them, without sorting the words
+        coded = codes.astype(np.int64) * 2 + bare
+        seen = np.zeros(2 * len(names), dtype=bool)
+        seen[coded] = True
+        kinds = np.flatnonzero(seen)
+        place = (np.cumsum(seen) - 1)[coded]
         pieces = [names[k >> 1] if k & 1 else " " + names[k >> 1] for k in kinds.tolist()]
         if len(self.memo) + len(pieces) > self.memo_pieces:
             known = self.memo
@@ -132,7 +137,7 @@ def worker_encoder(path: str) -> TextEncoder:
     return cache[path]
 
 
-def sliced(values: list, most_chars: int = 4_000_000):
+def sliced(values: list, most_chars: int = 8_000_000):
     """Ranges of a list of texts with at most so many characters each (or one text)."""
     start = chars = 0
     for i, v in enumerate(values):
