@@ -12,8 +12,10 @@ range that matters, so the work does not depend on n, nothing iterates to
 convergence, and there is no difference of large logarithms: the factor
 ``1 / B(nu/2, 1/2)`` comes from Stirling's series of a ratio of gammas.
 
-Spark has no such function, so this is a vectorised pandas UDF over the (one
-row per metric pair) correlation table; it never sees samples.
+``p_value`` is this integral as a Catalyst expression: an ``aggregate`` over
+the panels' nodes (a literal array), with the ratio of gammas taken 30 further on,
+where Stirling's series is exact, and brought back by its recurrence.
+``pearson_p`` is the same for two plain numbers.
 """
 
 from __future__ import annotations
@@ -21,23 +23,27 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 NODES, WEIGHTS = np.polynomial.legendre.leggauss(24)
 PANELS = 48
+SHIFT = 30
 
 
 def inverse_beta_half(a: float) -> float:
     """1 / B(a, 1/2) = gamma(a + 1/2) / (gamma(a) sqrt(pi)), to full precision for any a > 0."""
-    if a < 30:
+    if a < SHIFT:
         return math.exp(math.lgamma(a + 0.5) - math.lgamma(a)) / math.sqrt(math.pi)
-    # gamma(a + 1/2) / gamma(a) = sqrt(a) (1 - 1/(8a) + 1/(128a^2) + 5/(1024a^3) - 21/(32768a^4) - ...)
-    x = 1.0 / a
-    series = 1 + x * (-1 / 8 + x * (1 / 128 + x * (5 / 1024 + x * (-21 / 32768 + x * (-399 / 262144 + x * 869 / 4194304)))))
-    return math.sqrt(a / math.pi) * series
+    return math.sqrt(a / math.pi) * _series(1.0 / a)
+
+
+def _series(x):
+    """gamma(a + 1/2) / gamma(a) = sqrt(a) (1 - 1/(8a) + 1/(128a^2) + 5/(1024a^3) - 21/(32768a^4) - ...), less the root; x = 1 / a."""
+    total = x * (869 / 4194304)
+    for c in (-399 / 262144, -21 / 32768, 5 / 1024, 1 / 128, -1 / 8):
+        total = x * (total + c)
+    return total + 1
 
 
 def pearson_p(r: float | None, n: int | None) -> float | None:
@@ -64,11 +70,25 @@ def pearson_p(r: float | None, n: int | None) -> float | None:
     return min(1.0, p)
 
 
-@F.pandas_udf(T.DoubleType())
-def _p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
-    out = [pearson_p(None if pd.isna(a) else float(a), None if pd.isna(b) else int(b)) for a, b in zip(r, n)]
-    return pd.Series(out, dtype="float64")
-
-
 def p_value(r: Column, n: Column) -> Column:
-    return _p_udf(r, n)
+    """The p-value of correlation ``r`` of ``n`` pairs; NULL if either is or n < 2, 1 for n = 2."""
+    nodes, weights = (F.array(*[F.lit(float(x)) for x in values]) for values in (NODES, WEIGHTS))
+    rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    nu = F.greatest(n - 2, F.lit(1)).cast("double")
+    u0 = F.lit(-0.5) * F.log1p(-rho * rho)
+    start = F.sqrt(u0)
+    half = (F.sqrt(u0 + F.lit(750.0) / nu) - start) / F.lit(2.0 * PANELS)
+
+    def add(total: Column, i: Column) -> Column:
+        k = F.pmod(i, F.lit(len(NODES)))
+        s = start + half * (2 * F.floor(i / len(NODES)) + 1 + F.get(nodes, k))
+        u = s * s
+        return total + F.exp(-nu * (u - u0)) * 2 * s / F.sqrt(-F.expm1(F.lit(-2.0) * u)) * F.get(weights, k)
+
+    integral = half * F.aggregate(F.sequence(F.lit(0), F.lit(PANELS * len(NODES) - 1)), F.lit(0.0), add)
+    a = nu / 2
+    back = F.aggregate(F.sequence(F.lit(0), F.lit(SHIFT - 1)), F.lit(1.0), lambda p, j: p * (a + j) / (a + j + 0.5))
+    ratio = F.sqrt((a + SHIFT) / math.pi) * _series(F.lit(1.0) / (a + SHIFT)) * back
+    p = F.least(F.lit(1.0), F.lit(2.0) * ratio * integral * F.exp(-nu * u0))
+    return (F.when(r.isNull() | n.isNull() | F.isnan(r) | (n < 2), F.lit(None).cast("double"))
+            .when((n == 2) | (r == 0), 1.0).when(F.abs(rho) == 1.0, 0.0).otherwise(p))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hpcstats.functions.pvalue import pearson_p
 from hpcstats.operators.correlation import common_times, paired_points, pearson, pearson_pairs
@@ -54,3 +55,13 @@ def test_keep_first_per_time(spark):
     df = host_frame(spark, rows)
     r = pearson(df, "cpuuser", "memused", tie="event_id").first()
     assert r["n"] == 3 and math.isclose(r["correlation"], np.corrcoef([1, 2, 3], [2, 4, 7])[0, 1])
+
+
+def test_p_value_expression_equals_the_function(spark):
+    from hpcstats.functions.pvalue import p_value
+    rng = np.random.default_rng(2)
+    rows = [(float(r), int(n)) for n in (2, 3, 4, 5, 10, 59, 60, 61, 1000, 10 ** 6, 10 ** 10) for r in (*rng.uniform(-1, 1, 4), 0.0, 1e-9, 1e-5, 0.999999, 1.0, -1.0)]
+    rows += [(None, 5), (0.5, None), (0.5, 1), (float("nan"), 9)]
+    for r, n, p in spark.createDataFrame(rows, "r double, n long").withColumn("p", p_value(F.col("r"), F.col("n"))).collect():
+        want = pearson_p(r, n)
+        assert (p is None) == (want is None) and (p is None or abs(p - want) <= 1e-12 + 1e-9 * want), (r, n, p, want)

@@ -29,10 +29,8 @@ def test_entry_contract(spark):
     assert ours == {name for name in entry.oracle_sql() if not re.match(r"op\d+_|pipeline$", name)}
 
 
-# Python runs only for the p-value (one row per pair) and for rolling medians (pandas' rolling
-# on bounded buckets); everything else stays in the JVM.
-PYTHON_ALLOWED = {"pearson": "ArrowEvalPython", "pearson_pairs": "ArrowEvalPython",
-                  **dict.fromkeys(("rolling_count_median", "rolling_count_plain", "rolling_count_by_host", "rolling_time_median",
+# Python runs only for rolling medians (pandas' rolling on bounded cells); everything else stays in the JVM.
+PYTHON_ALLOWED = {**dict.fromkeys(("rolling_count_median", "rolling_count_plain", "rolling_count_by_host", "rolling_time_median",
                                    "rolling_time_plain", "rolling_time_ties", "rolling_dirty", "rolling_count_long",
                                    "rolling_median_days"), "FlatMapGroupsInArrow")}
 
