@@ -24,4 +24,5 @@ ORACLE_SQL = {
     "op3_run_merge_dedup": run_merge.ORACLE,
     "op9_chat_events": chat.ORACLE,
     "op11_cuckoo_lines": line_dedup.ORACLE,
+    "op12_spelling_tries": spelling.ORACLE,
 }

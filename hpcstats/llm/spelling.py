@@ -211,3 +211,27 @@ def query(spark, sf_dir: str) -> DataFrame:
     """NULL and empty texts have no words, a NULL doc_id is written as nothing before the colon; repeated rows count
     again; an empty table gives no rows; columns other than doc_id and text are ignored."""
     return spelling_forms(count_words(documents(spark, sf_dir)))
+
+
+# crc32 bit by bit: a byte is taken in, then eight (-1) steps of one bit each
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM d GROUP BY ALL),
+x AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS bytes FROM r),
+b AS (SELECT run, n, list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(bytes), 2), lambda k:
+        [('0x' || substr(bytes, k, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps FROM x),
+h AS (SELECT run, n, xor(list_reduce(steps, lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END),
+        4294967295::BIGINT) AS h FROM b),
+w AS (SELECT CASE WHEN h % {DAMAGE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= {MIN_CHARS} GROUP BY word HAVING sum(n) >= {MIN_COUNT}),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+skips AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+near AS (SELECT s.word, t.word AS other, t.n FROM skips s JOIN skips t ON s.i = t.i AND s.a = t.a AND s.b = t.b AND s.word <> t.word
+         UNION SELECT s.word, t.word, t.n FROM skips s JOIN words t ON s.a || s.b = t.word
+         UNION SELECT t.word, s.word, s.n FROM skips s JOIN words t ON s.a || s.b = t.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS other_n FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {FACTOR} * words.n THEN other END AS form,
+        CASE WHEN other_n >= {FACTOR} * words.n THEN other_n END AS form_n FROM words LEFT JOIN best ON words.word = best.word),
+ways AS (SELECT word, word AS root FROM forms WHERE form IS NULL UNION ALL SELECT f.word, ways.root FROM forms f JOIN ways ON f.form = ways.word)
+SELECT f.word, f.form, ways.root, f.n, f.n_near, f.form_n FROM forms f JOIN ways ON f.word = ways.word
+"""

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from hpcstats.llm.spelling import count_words, node_pairs, number_nodes, query, spelling_forms
+from hpcstats.llm.spelling import ORACLE, count_words, node_pairs, number_nodes, query, spelling_forms
 from llm_helpers import SF, docs, empty, fold, odd
 
 
@@ -83,9 +83,13 @@ def test_counting_equals_plain_counting(spark):
     assert got == expected and len(expected) > 5
 
 
-def test_query_on_the_shared_table(spark):
-    counts = brute_counts([(r["doc_id"], r["text"]) for r in docs(spark).collect()])
-    assert results(query(spark, SF)) == brute_forms(counts)
+def test_query_and_its_sql_on_the_shared_table(spark):
+    import duckdb
+    expected = brute_forms(brute_counts([(r["doc_id"], r["text"]) for r in docs(spark).collect()]))
+    assert results(query(spark, SF)) == expected
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    assert {w: (form, root, n, many, form_n) for w, form, root, n, many, form_n in con.execute(ORACLE).fetchall()} == expected
 
 
 def test_empty_odd_and_very_long(spark):
