@@ -26,6 +26,9 @@ from hpcstats.functions.pvalue import p_value
 from hpcstats.sources.readers import missing_as_null
 
 
+SPREAD_PAIRS = 64
+
+
 def _first_per_time(df: DataFrame, metrics: list[str], tie: str | None, time_col: str) -> DataFrame:
     """One row per time: for each metric, present flag + value of its first sample."""
     # a sample without a time cannot be matched on time
@@ -86,6 +89,76 @@ def _pair_stats(wide: DataFrame, pairs: list[tuple[int, int, str, str]]) -> Data
                       "_cov", "_sx", "_sy")
 
 
+def _block_stats(df: DataFrame, metrics: list[str], pairs: list[tuple[int, int, str, str]], tie: str | None, time_col: str) -> DataFrame:
+    """As ``_pair_stats`` for many pairs: co-moments of all pairs from products of matrices per block of time rows."""
+    import numpy as np
+    import pandas as pd
+
+    data = missing_as_null(df).where(F.col("event").isin(metrics) & F.col(time_col).isNotNull())
+    order = F.col(tie) if tie else F.struct(*[F.col(c) for c in sorted(df.columns) if c not in (time_col, "event")])
+    place = F.element_at(F.create_map(*[F.lit(x) for i, m in enumerate(metrics) for x in (m, i)]), F.col("event"))
+    firsts = data.groupBy(F.col(time_col).alias("time"), place.alias("i")).agg(F.min_by(F.col("value"), order).cast("double").alias("v"))
+    rows = firsts.groupBy("time").agg(F.collect_list("i").alias("at"), F.collect_list(F.coalesce("v", F.lit(float("nan")))).alias("vals"))
+    m, left, right = len(metrics), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+
+    def moments(here, x):
+        """Of one block: joint counts, and per (i, j) the mean and square sum of i where both have a value, and the products."""
+        has = (~np.isnan(x)).astype(np.float64)
+        centre = np.where(has.any(axis=0), x[has.argmax(axis=0), np.arange(m)], 0.0)
+        d = np.where(has > 0, x - centre, 0.0)
+        n, s = has.T @ has, d.T @ has
+        some = np.maximum(n, 1.0)
+        return {"both": here.T @ here, "n": n, "mean": centre[:, None] + s / some, "sq": (d * d).T @ has - s * s / some, "co": d.T @ d - s * s.T / some}
+
+    def merged(a, b):
+        n = a["n"] + b["n"]
+        shift = np.where((a["n"] > 0) & (b["n"] > 0), b["mean"] - a["mean"], 0.0)
+        weight = a["n"] * b["n"] / np.maximum(n, 1.0)
+        mean = np.where(a["n"] > 0, a["mean"] + shift * b["n"] / np.maximum(n, 1.0), b["mean"])
+        return {"both": a["both"] + b["both"], "n": n, "mean": mean, "sq": a["sq"] + b["sq"] + shift * shift * weight,
+                "co": a["co"] + b["co"] + shift * shift.T * weight}
+
+    def run(frames):
+        total = None
+        with np.errstate(invalid="ignore", over="ignore"):
+            for frame in frames:
+                for start in range(0, len(frame), 2048):
+                    at, vals = frame["at"].iloc[start:start + 2048].tolist(), frame["vals"].iloc[start:start + 2048].tolist()
+                    row = np.repeat(np.arange(len(at)), [len(a) for a in at])
+                    col = np.concatenate(at).astype(np.int64)
+                    here, x = np.zeros((len(at), m)), np.full((len(at), m), np.nan)
+                    here[row, col], x[row, col] = 1.0, np.concatenate(vals)
+                    block = moments(here, x)
+                    total = block if total is None else merged(total, block)
+        if total is not None:
+            alone = np.diag(total["both"])
+            yield pd.DataFrame({"k": np.arange(len(left)), "n_x": alone[left].astype(np.int64), "n_y": alone[right].astype(np.int64),
+                                "n": total["both"][left, right].astype(np.int64), "ok": total["n"][left, right], "mx": total["mean"][left, right],
+                                "my": total["mean"][right, left], "qx": np.maximum(total["sq"][left, right], 0.0),
+                                "qy": np.maximum(total["sq"][right, left], 0.0), "co": total["co"][left, right]})
+
+    parts = rows.select("at", "vals").mapInPandas(
+        run, "k int, n_x long, n_y long, n long, ok double, mx double, my double, qx double, qy double, co double")
+    part = F.struct("ok", "mx", "my", "qx", "qy", "co")
+    grouped = parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n_x", "n_y", "n")], F.sort_array(F.collect_list(part)).alias("parts"))
+    total = F.expr("""
+      aggregate(filter(parts, p -> p.ok > 0), named_struct('ok', 0D, 'mx', 0D, 'my', 0D, 'qx', 0D, 'qy', 0D, 'co', 0D), (a, b) -> named_struct(
+        'ok', a.ok + b.ok, 'mx', if(a.ok = 0, b.mx, a.mx + (b.mx - a.mx) * b.ok / (a.ok + b.ok)),
+        'my', if(a.ok = 0, b.my, a.my + (b.my - a.my) * b.ok / (a.ok + b.ok)),
+        'qx', a.qx + b.qx + if(a.ok = 0, 0D, (b.mx - a.mx) * (b.mx - a.mx) * a.ok * b.ok / (a.ok + b.ok)),
+        'qy', a.qy + b.qy + if(a.ok = 0, 0D, (b.my - a.my) * (b.my - a.my) * a.ok * b.ok / (a.ok + b.ok)),
+        'co', a.co + b.co + if(a.ok = 0, 0D, (b.mx - a.mx) * (b.my - a.my) * a.ok * b.ok / (a.ok + b.ok))))""")
+    stats = grouped.select("k", "n_x", "n_y", "n", total.alias("t"))
+    names = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(mx).alias("metric_x"), F.lit(my).alias("metric_y")) for k, (_, _, mx, my) in enumerate(pairs)])
+    asked = df.sparkSession.range(1).select(F.inline(names))
+    out = asked.join(F.broadcast(stats), "k", "left")   # one row per asked pair
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    ok = F.col("t.ok")
+    return out.select("metric_x", "metric_y", *[count(c).alias(c) for c in ("n_x", "n_y", "n")],
+                      (count("n") - F.coalesce(ok, F.lit(0.0)).cast("long")).alias("_n_missing"), F.try_divide(F.col("t.co"), ok).alias("_cov"),
+                      F.sqrt(F.try_divide(F.col("t.qx"), ok)).alias("_sx"), F.sqrt(F.try_divide(F.col("t.qy"), ok)).alias("_sy"))
+
+
 def _finish(stats: DataFrame) -> DataFrame:
     status = (F.when((F.col("n_x") < 2) | (F.col("n_y") < 2), F.lit("insufficient_samples"))
               .when(F.col("n") < 2, F.lit("too_few_common_times"))
@@ -112,6 +185,8 @@ def pearson_pairs(df: DataFrame, metrics: list[str], tie: str | None = None, tim
     """Q18: every pair of ``metrics`` (or the given pairs), one row each."""
     metrics = list(dict.fromkeys(metrics))
     pairs = pairs or list(combinations(metrics, 2))
-    wide = _first_per_time(df, metrics, tie, time_col)
     pos = {m: i for i, m in enumerate(metrics)}
-    return _finish(_pair_stats(wide, [(pos[a], pos[b], a, b) for a, b in pairs]))
+    placed = [(pos[a], pos[b], a, b) for a, b in pairs]
+    if len(placed) > SPREAD_PAIRS:
+        return _finish(_block_stats(df, metrics, placed, tie, time_col))
+    return _finish(_pair_stats(_first_per_time(df, metrics, tie, time_col), placed))

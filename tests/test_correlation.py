@@ -65,3 +65,28 @@ def test_p_value_expression_equals_the_function(spark):
     for r, n, p in spark.createDataFrame(rows, "r double, n long").withColumn("p", p_value(F.col("r"), F.col("n"))).collect():
         want = pearson_p(r, n)
         assert (p is None) == (want is None) and (p is None or abs(p - want) <= 1e-12 + 1e-9 * want), (r, n, p, want)
+
+
+def test_many_pairs_by_blocks_equal_pairs_one_by_one(spark, monkeypatch):
+    """Drifting, constant, missing and rare metrics: the matrices of blocks give what the copies per pair give."""
+    from hpcstats.operators import correlation as c
+    h = hourly(spark, SF_CHECK).select("event_id", "time", "event", "value")
+    extra = [h.where(f"event = 'cpuuser' and event_id % {k + 2} = 0").withColumn("event", F.lit(f"m{k}")).withColumn(
+        "value", F.when(F.lit(k == 3), F.lit(0.1)).when(F.lit(k == 4) & (F.col("event_id") % 5 == 0), F.lit(None)).otherwise(
+            F.col("value") * (k + 1) + F.col("event_id") * 1e4 * (k % 2) + 1e6)) for k in range(8)]
+    df = h
+    for e in extra:
+        df = df.unionByName(e)
+    metrics = ["cpuuser", "memused", "nfs", *[f"m{k}" for k in range(8)], "absent"]
+    monkeypatch.setattr(c, "SPREAD_PAIRS", 10 ** 6)
+    one = {(r.metric_x, r.metric_y): r for r in pearson_pairs(df, metrics, tie="event_id").collect()}
+    monkeypatch.setattr(c, "SPREAD_PAIRS", 10)
+    blocks = pearson_pairs(df, metrics, tie="event_id")
+    many = {(r.metric_x, r.metric_y): r for r in blocks.collect()}
+    assert one.keys() == many.keys() and len(one) == 66
+    for k, a in one.items():
+        b = many[k]
+        assert (a.n_x, a.n_y, a.n, a.status) == (b.n_x, b.n_y, b.n, b.status), k
+        for x, y in ((a.correlation, b.correlation), (a.p_value, b.p_value)):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-9), k
+    assert {r.status for r in many.values()} >= {"ok", "constant", "missing_values", "insufficient_samples"}
