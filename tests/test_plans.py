@@ -43,7 +43,7 @@ def test_no_pairwise_joins_and_python_only_where_designed(spark):
         found = {p for p in PYTHON if p in plan}
         allowed = {PYTHON_ALLOWED[name]} if name in PYTHON_ALLOWED else set()
         if name == "rolling_median_narrow_cells":  # frames of many cells: groups are cut to the middle of the core
-            allowed = {"FlatMapGroupsInPandas", "MapInPandas"}
+            allowed = {"FlatMapGroupsInArrow", "FlatMapGroupsInPandas", "MapInPandas"}
         assert found <= allowed, (name, found)
 
 
