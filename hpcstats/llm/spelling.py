@@ -45,9 +45,10 @@ MOST_COUNTED = 400_000
 def damaged_runs(text: str, prefix: int) -> Counter:
     """Runs of letters of a text (as latin-1) after damage; ``prefix``: crc32 of what stands before the run."""
     runs = Counter(RUN.findall(text.encode("latin-1", "replace").lower()))  # bytes.lower: A-Z only
-    for run, h in [(r, h) for r in runs if (h := zlib.crc32(r if r.isascii() else r.decode("latin-1").encode(), prefix)) % DAMAGE == 0]:
-        at = h % len(run)
-        runs[run[:at] + run[at + 1:]] += runs.pop(run)
+    hit = [(r, h % len(r)) for r in runs if (h := zlib.crc32(r if r.isascii() else r.decode("latin-1").encode(), prefix)) % DAMAGE == 0]
+    # all are taken out before any is put back: what one becomes may be another that is hit
+    for run, at, n in [(run, at, runs.pop(run)) for run, at in hit]:
+        runs[run[:at] + run[at + 1:]] += n
     return runs
 
 

@@ -83,6 +83,18 @@ def test_counting_equals_plain_counting(spark):
     assert got == expected and len(expected) > 5
 
 
+def test_a_run_is_damaged_once(spark):
+    """A run that becomes another run of its text, which is damaged too, loses one code point, not two."""
+    hit = lambda i, size: zlib.crc32(f"{i}:{'a' * size}".encode()) % 199 == 0
+    rows = []
+    for size in range(7, 15):
+        i = next(i for i in range(1_000_000) if hit(i, size) and hit(i, size - 1))
+        long, short = "a" * size, "a" * (size - 1)
+        rows += [(i, f"{long} {short} {short.upper()} " * 5), (i, f"{short} {long} " * 5)]
+    got = {r["word"]: r["n"] for r in count_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_counts(rows)
+
+
 def test_query_and_its_sql_on_the_shared_table(spark):
     import duckdb
     expected = brute_forms(brute_counts([(r["doc_id"], r["text"]) for r in docs(spark).collect()]))
