@@ -39,7 +39,9 @@ it leaves).  The core is a run of whole (entering cell, leaving cell) groups:
   value arrays bound that range from both sides; each group sends the values
   inside it and the numbers below and above.  In the cell, pandas' rolling runs
   over (leaving rows, middle of the core, entering rows), a bounded array,
-  however long the frame.
+  however long the frame.  As a cell looks at every group of its core, a target
+  that cuts a frame into more than ``FRAME_CELLS`` cells is raised (up to
+  ``MEDIAN_TARGET_ROWS``).
 
 Row numbers come without a global sort: rows per time bucket of about a million
 rows -> running offsets on that small table -> ``row_number`` inside the bucket.
@@ -67,6 +69,7 @@ MEDIAN_TARGET_ROWS = 250_000     # the same for cells that a Python worker holds
 MIN_BUCKET_ROWS = 1_000
 SHORT_FRAME = 256                # mean/std over so many rows: sliding frames, recomputed per row
 SAMPLES = 256                    # of each sorted group's values, to bound the middle of a core
+FRAME_CELLS = 64                 # cells a frame may cover, as every cell looks at the groups of all
 CHUNK_ROWS = 1_000_000
 HOUR = 3_600_000_000
 MAX_BUCKET_MICROS = 30 * 24 * HOUR
@@ -242,6 +245,9 @@ def plan_cells(df: DataFrame, by: list[str], w: int, target_rows: int, wide: boo
     else:
         seen = counts.agg(F.sum("_n").alias("events"), F.max("_n").alias("most")).first().asDict()
     target = bucket_target(df.sparkSession, (seen["events"] or 0) // 2, target_rows)
+    if wide:
+        # the core's parts are one per cell of the frame: so many narrow cells would cost the square of the frame's rows
+        target = max(target, min(MEDIAN_TARGET_ROWS, (seen["most"] or 0) // (2 * FRAME_CELLS)))
     bound, cells, unsure = 2 * target, Cells(base, None, None, base, target), False
     if wide:
         # as many base cells in one as fit where the group is fullest; if it is far emptier elsewhere, as many as fit on the whole

@@ -147,3 +147,20 @@ def test_very_large_values_that_left_do_not_show(spark):
     want = plain(series, np.maximum(i - 3, 0), i + 1)
     for stat in STATS:
         close(np.array(got[stat])[quiet], np.array(want[stat])[quiet])
+
+
+def test_a_frame_covers_few_cells_whatever_the_target(spark):
+    """A cell looks at the groups of all cells of its frames, so a small target must not cut a full frame into thousands."""
+    w = 10_000 * 1_000_000
+    axis = spark.range(20_000).select(F.lit("cpuuser").alias("event"), (F.col("id") * 1_000_000).alias(r.KEY))
+    cells = r.plan_cells(axis, ["event"], w, target_rows=3, wide=True)
+    entered = r._located(axis, cells, ["event"], w).select("_j").distinct().count()
+    assert r.FRAME_CELLS <= entered <= 2 * 4 * r.FRAME_CELLS  # two frames long; a cell is cut to less than half its bound
+
+
+def test_medians_of_a_full_frame_with_a_small_target(spark):
+    rng = np.random.default_rng(12)
+    df, series = frame(spark, np.sort(rng.integers(0, 20_000, 3000)), np.round(rng.normal(50, 20, 3000), 2))
+    want = series.rolling("10000s", closed="right").median()
+    got = rolling(df, ["median"], Span(10_000, "Seconds"), tie="event_id", ties="row", target_rows=3).orderBy("event_id").toPandas()
+    close(got["median"], want)
