@@ -9,10 +9,12 @@ groups, character mix) and on the words next to it.
 
 No labels come with the data, so the trees learn from the base rules: for each
 training span the features do *not* contain what the rule decides on, and the
-tree has to tell spans that the rules accept from spans that they refuse.  The
-fit uses at most ``TRAIN_SPANS`` spans drawn by hash; a second draw calibrates
-each kind's threshold, the lowest score at which ``PRECISION`` of the drawn
-spans above it are accepted ones.  A kind that has no such score adds nothing.
+tree has to tell spans that the rules accept from spans that they refuse.  All
+spans that a base rule judges take part: a hash parts them into two halves, each
+half trains a model, and the model of the one half scores the other.  Those
+scores of all spans calibrate each kind's threshold, the lowest score at which
+``PRECISION`` of the spans at or above it are accepted ones.  A further span's
+score is the mean of the two models'.  A kind that has no such score adds nothing.
 """
 
 from __future__ import annotations
@@ -46,9 +48,10 @@ GENERATORS = (
 )
 HAS_EMAIL_WORD = re.compile(r"@|\bat\b.{1,70}\bdot\b", re.S)
 CONTEXT_WORDS = ("phone", "tel", "call", "fax", "mail", "contact", "card", "visa", "pay", "ip", "host", "server", "version", "license")
-TRAIN_SPANS = 20_000
 PRECISION = 0.95
+LEVELS = 1 << 16    # scores are compared in steps of one part in so many
 SEED = 11
+MAX_BINS = 256      # borders of a feature's values; the library finds them from MAX_BINS ** 2 rows or more
 FEATURES = ["length", "digits", "digit_share", "letter_share", "separators", "groups", "longest_group", "shortest_group", "group_spread",
             "has_plus", "has_parens", "has_at", "dots", "dashes", "spaces", "before_alnum", "after_alnum", "line_start", "line_end",
             *(f"near_{w}" for w in CONTEXT_WORDS)]
@@ -159,49 +162,56 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long")), "pii-spans")
 
 
-def fit_thresholds(spans: DataFrame, train_spans: int = TRAIN_SPANS, precision: float = PRECISION):
-    """Boosted trees and a score threshold per kind from two disjoint draws; None without both classes."""
-    from pyspark.ml.classification import GBTClassifier
+def with_level(spans: DataFrame, models: list) -> DataFrame:
+    """Add ``level``: the models' mean score of the span's ``features``, in steps (0 to LEVELS)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    known = spans.where("label >= 0")
-    total = known.count()
-    # a draw by hash of the span: bounded by train_spans, the same in every run
-    cells = 1 << 20
-    keep = min(1.0, 2.0 * train_spans / max(total, 1))
-    place = F.pmod(F.xxhash64("doc_id", "kind", "start", "end", F.lit(SEED)), F.lit(cells))
-    drawn = known.withColumn("place", place).where(F.col("place") < int(keep * cells)).select(
-        "kind", "place", "label", array_to_vector("features").alias("features"))
-    drawn = stored(drawn.limit(4 * train_spans), "pii-draw")
-    train, check = drawn.where("place % 2 = 0"), drawn.where("place % 2 = 1")
-    classes = {r.label: r.n for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not (classes.get(0) and classes.get(1)):
-        return None, {}
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=4, seed=SEED).fit(train)
-    scored = model.transform(check).select("kind", "label", vector_to_array("probability")[1].alias("score")).toPandas()  # bounded
+    out, score = spans.withColumn("vector", array_to_vector("features")).withColumn("score", F.lit(0.0)), vector_to_array("probability")[1]
+    for model in models:
+        out = model.transform(out).withColumn("score", F.col("score") + score).drop("rawPrediction", "probability", "prediction")
+    return out.withColumn("level", F.floor(F.col("score") / len(models) * LEVELS)).drop("vector", "score")
+
+
+def fit_thresholds(spans: DataFrame, precision: float = PRECISION):
+    """(models, {kind: least level}) from all spans with a known label; ([], {}) if no half of them has both classes."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    half = F.pmod(F.xxhash64("doc_id", "kind", "start", "end", F.lit(SEED)), F.lit(2))
+    # spans alike are one row with their number as weight
+    known = stored(spans.where("label >= 0").groupBy(half.alias("half"), "kind", "label", "features").agg(F.count(F.lit(1)).cast("double").alias("n")),
+                   "pii-known")
+    classes = {r["half"] for r in known.groupBy("half").agg(F.countDistinct("label").alias("c")).where("c = 2").collect()}
+    models = {}
+    for h in sorted(classes):
+        rows = known.where(F.col("half") == h).select("label", "n", array_to_vector("features").alias("vector"))
+        models[h] = GBTClassifier(labelCol="label", featuresCol="vector", weightCol="n", maxIter=20, maxDepth=4, maxBins=MAX_BINS, seed=SEED).fit(rows)
+    tables = []
+    for h, model in models.items():
+        scored = with_level(known.where(F.col("half") == 1 - h), [model])
+        tables.append(scored.groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("good")).toPandas())
     thresholds = {}
-    for kind, rows in scored.groupby("kind"):
-        rows = rows.sort_values("score", ascending=False)
-        good = rows["label"].cumsum() / range(1, len(rows) + 1)
-        fine = rows["score"][(good >= precision) & (rows["score"] > 0.5)]
+    levels = pd.concat(tables).groupby(["kind", "level"], as_index=False).sum() if tables else pd.DataFrame(columns=["kind"])  # a row per kind and level
+    for kind, rows in levels.groupby("kind"):
+        rows = rows.sort_values("level", ascending=False)
+        share = rows["good"].cumsum() / rows["n"].cumsum()
+        fine = rows["level"][(share >= precision) & (rows["level"] > LEVELS // 2)]
         if len(fine):
-            thresholds[kind] = float(fine.min())
-    return model, thresholds
+            thresholds[kind] = int(fine.min())
+    return list(models.values()), thresholds
 
 
 def selected_spans(docs: DataFrame) -> DataFrame:
     """All reported spans and one NULL-kind row per document: doc_id, row, text_hash, kind, start, end, base."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
     spans = find_spans(docs)
-    model, thresholds = fit_thresholds(spans)
+    models, thresholds = fit_thresholds(spans)
     columns = ["doc_id", "row", "text_hash", "kind", "start", "end", "base"]
     fixed = spans.where("kind is null or base").select(*columns)
     if not thresholds:
         return fixed
     least = F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv])
-    judged = model.transform(spans.where("kind is not null and not base").withColumn("features", array_to_vector("features")))
-    added = judged.where(vector_to_array("probability")[1] >= least[F.col("kind")]).select(*columns).distinct()
+    judged = with_level(spans.where("kind is not null and not base"), models)
+    added = judged.where(F.col("level") >= least[F.col("kind")]).select(*columns).distinct()
     return fixed.unionByName(added)
 
 

@@ -299,3 +299,13 @@ def test_personal_data_edge_cases(spark):
     found = pii.personal_data(table)
     assert sorted(r.text for r in pii.redact(table, found).collect()) == ["x [email] [phone]"] * 2 + ["y [ip]"]
     assert hashlib.sha256(b"").hexdigest() in {r.h for r in pii.personal_data(odd(spark)).selectExpr("sha2(base_spans, 256) h").collect()}
+
+
+def test_every_judged_span_takes_part_in_the_fit(spark):
+    """Of 150,000 spans of one kind and a single one of another, the single one has its threshold, too."""
+    from pyspark.sql import functions as F
+    many = spark.range(150_000).select(F.col("id").alias("doc_id"), F.lit("card").alias("kind"), (F.col("id") % 2).cast("int").alias("label"))
+    one = spark.range(1).select(F.lit(7).cast("long").alias("doc_id"), F.lit("phone").alias("kind"), F.lit(1).alias("label"))
+    spans = many.unionByName(one).select("*", F.lit(0).cast("long").alias("start"), F.lit(9).cast("long").alias("end"),
+                                         F.array_repeat(F.col("label").cast("double"), len(pii.FEATURES)).alias("features"))
+    assert set(pii.fit_thresholds(spans)[1]) == {"card", "phone"}
