@@ -122,7 +122,7 @@ def rolling(df: DataFrame, stats=("mean",), interval=None, by=("event",), tie: s
         if moments:
             out = _axis_moments(out, plan_cells(axis, by, w, target_rows, wide=False), moments, w, by, tie, ties).drop(COUNT)
         if "median" in stats:
-            cells = plan_cells(axis, by, w, min(target_rows, MEDIAN_TARGET_ROWS), wide=True)
+            cells = plan_cells(axis, by, w, min(target_rows, MEDIAN_TARGET_ROWS), wide=True, frame_cells=FRAME_CELLS)
             out = _axis_median(out, axis, cells, w, by, tie, ties)
     return out.select(*names, *stats).unionByName(timeless)
 
@@ -227,11 +227,11 @@ def _start(key: Column, lg) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", key, lg), lg)
 
 
-def plan_cells(df: DataFrame, by: list[str], w: int, target_rows: int, wide: bool) -> Cells:
+def plan_cells(df: DataFrame, by: list[str], w: int, target_rows: int, wide: bool, frame_cells: int | None = None) -> Cells:
     """Cut the axis so that at most ``2 * target`` rows enter or leave in a cell (rows with one key cannot be parted).
 
     Base cells are the largest power of two up to ``w`` wide; with ``wide``, at least ``w``, and more for groups with few
-    rows a span.
+    rows a span.  With ``frame_cells``, the target is raised until a full frame has about so many cells.
     """
     base = (w - 1).bit_length() if wide else w.bit_length() - 1
     ends = F.explode(F.array(F.col(KEY), F.col(KEY) + F.lit(w))).alias("_at")
@@ -245,9 +245,9 @@ def plan_cells(df: DataFrame, by: list[str], w: int, target_rows: int, wide: boo
     else:
         seen = counts.agg(F.sum("_n").alias("events"), F.max("_n").alias("most")).first().asDict()
     target = bucket_target(df.sparkSession, (seen["events"] or 0) // 2, target_rows)
-    if wide:
+    if frame_cells:
         # the core's parts are one per cell of the frame: so many narrow cells would cost the square of the frame's rows
-        target = max(target, min(MEDIAN_TARGET_ROWS, (seen["most"] or 0) // (2 * FRAME_CELLS)))
+        target = max(target, min(MEDIAN_TARGET_ROWS, (seen["most"] or 0) // (2 * frame_cells)))
     bound, cells, unsure = 2 * target, Cells(base, None, None, base, target), False
     if wide:
         # as many base cells in one as fit where the group is fullest; if it is far emptier elsewhere, as many as fit on the whole

@@ -153,7 +153,7 @@ def test_a_frame_covers_few_cells_whatever_the_target(spark):
     """A cell looks at the groups of all cells of its frames, so a small target must not cut a full frame into thousands."""
     w = 10_000 * 1_000_000
     axis = spark.range(20_000).select(F.lit("cpuuser").alias("event"), (F.col("id") * 1_000_000).alias(r.KEY))
-    cells = r.plan_cells(axis, ["event"], w, target_rows=3, wide=True)
+    cells = r.plan_cells(axis, ["event"], w, target_rows=3, wide=True, frame_cells=r.FRAME_CELLS)
     entered = r._located(axis, cells, ["event"], w).select("_j").distinct().count()
     assert r.FRAME_CELLS <= entered <= 2 * 4 * r.FRAME_CELLS  # two frames long; a cell is cut to less than half its bound
 
