@@ -2,11 +2,13 @@
 
 The word model is over pairs of words as they are written (64-bit hashes of
 their bytes: capitals, digits and every script apart).  Spark counts the pairs
-of *all* texts, summed per task first; the model, one row per different pair
-with the cost (-log P) of its second word after the first and alone, grows with
-the corpus and is kept as Parquet sorted and partitioned by ranges of the
-pair's hash.  Texts meet it by a join on that hash; the most frequent pairs, at
-most ``SMALL_ROWS``, are looked up in the workers, so none fills a task.
+of *all* texts, summed per task first and sent as sorted arrays; the model, one
+row per different pair with the cost (-log P) of its second word after the
+first and alone, grows with the corpus.  Its counts are kept as Parquet, sorted
+by the left word and partitioned by ranges of the pair's hash.  Texts meet one
+range after the other, pair and request in the same bucket of the hash; the
+most frequent pairs, at most ``SMALL_ROWS``, are looked up in the workers, so
+none fills a task.  Shuffles end with their job and the tables with the scores.
 
 The spelling model is over characters, in an alphabet of 32 classes (the
 letters a-z, one class each for capitals, digits, white space, punctuation,
@@ -25,6 +27,7 @@ low ``pair_surprise``: that marks copies, which the dedup stages judge.
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hpcstats.llm.shared import SMALL_ROWS, documents, shuffle_parts, stored, with_columns
+from hpcstats.llm.shared import SMALL_ROWS, deleted, documents, scratch_path, shuffle_parts, shuffles_dropped, stored, with_columns
 from hpcstats.llm.tokens import sliced
 from hpcstats.llm.wordhash import STEP, Batch, mixed
 
@@ -44,6 +47,10 @@ MIN_SPREAD = 20  # texts of like length for a measured spread; fewer count only
 # The scores and the column that holds how many costs each is the mean of.
 SCORES = {"surprise": "n_chars", "word_surprise": "n_words", "pair_surprise": "n_words"}
 BEGIN = np.uint64(0x9AE16A3B2F90404F)  # stands before the first word of a text
+PARTS = 8  # ranges of the pairs' hashes that the counts are stored by
+PART_WORDS = 1_000_000  # words for which a range of its own is read; fewer share one
+PARTS_COUNTED = 4  # parts that are counted at a time
+TASK_PAIRS = 1_000_000  # pairs that a task sums up before it sends them
 WINDOW = 5
 MIN_WORDS = 10
 MOST_REPEATED = 20  # percent of the words
@@ -126,6 +133,19 @@ def train(texts: DataFrame) -> np.ndarray:
     return -np.log(kneser_ney(counts)).reshape(-1).astype(np.float32)
 
 
+def _pair_hash(rows: pd.DataFrame) -> np.ndarray:
+    left, word = (rows[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("left", "word"))
+    return mixed(left * STEP + word)
+
+
+def _looked_up(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands in the sorted table, and whether it does."""
+    if not len(table):
+        return np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
+
+
 def _pairs(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word before every word (BEGIN for a text's first) and of the two as a pair."""
     left = np.full(len(batch.word_hash), BEGIN, dtype=np.uint64)
@@ -134,19 +154,75 @@ def _pairs(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
     return left, mixed(left * STEP + batch.word_hash)
 
 
-def count_pairs(texts: DataFrame) -> DataFrame:
-    """(text) to (pair, left, word, n): all pairs of words of all texts, by their hashes."""
+def _blobs(bucket: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
+    """One row per bucket: the bytes of its values, in their order, of each column."""
+    order = np.argsort(bucket, kind="stable")
+    seen, first = np.unique(bucket[order], return_index=True)
+    cuts = list(zip(first, np.append(first[1:], len(order))))
+    return pd.DataFrame({"bucket": seen} | {c: [v[order[a:b]].tobytes() for a, b in cuts] for c, v in columns.items()})
+
+
+def _values(blobs: pd.DataFrame, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs[column]), dtype=kind)
+
+
+def _part(pair: np.ndarray) -> np.ndarray:
+    return (pair >> np.uint64(61)).astype(np.int64)  # 0 to PARTS - 1
+
+
+def _in_parts(pair: np.ndarray, low: int, high: int) -> np.ndarray:
+    part = _part(pair)
+    return np.flatnonzero((part >= low) & (part < high))
+
+
+def _share(pair: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for every pair, whatever its part."""
+    return ((pair >> np.uint64(20) & np.uint64(0xFFFFFF)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+
+
+def count_pairs(texts: DataFrame, low: int = 0, high: int = PARTS) -> DataFrame:
+    """(text) to (left, word, n, part): pairs of words of all texts, by their hashes, whose hash is in the parts low to high - 1.
+
+    Tasks sum up some ``TASK_PAIRS`` pairs and send them as arrays sorted by
+    the left word, by buckets of the pair's hash.
+    """
+    buckets = -(-4 * shuffle_parts(texts.sparkSession) // PARTS)  # in each part
+
+    def summed(held):
+        pair, left, word = (np.concatenate(x) for x in zip(*held))
+        pair, first, n = np.unique(pair, return_index=True, return_counts=True)
+        left, bucket = left[first], _part(pair) * buckets + _share(pair, buckets)
+        order = np.lexsort((left, bucket))
+        return _blobs(bucket[order], left=left[order], word=word[first][order], n=n[order].astype(np.uint32))
+
     def run(batches):
+        held, pairs = [], 0
         for frame in batches:
             values = frame["text"].tolist()
-            for a, b in sliced(values, 2_000_000):
+            for a, b in sliced(values, 1_000_000):
                 batch = Batch(values[a:b])
                 left, pair = _pairs(batch)
-                seen, first, n = np.unique(pair, return_index=True, return_counts=True)
-                yield pd.DataFrame({"pair": seen.view(np.int64), "left": left[first].view(np.int64),
-                                    "word": batch.word_hash[first].view(np.int64), "n": n})
-    return texts.mapInPandas(run, "pair long, left long, word long, n long").groupBy("pair").agg(
-        F.first("left").alias("left"), F.first("word").alias("word"), F.sum("n").alias("n"))
+                here = _in_parts(pair, low, high)
+                held.append((pair[here], left[here], batch.word_hash[here]))
+                pairs += len(here)
+                if pairs >= TASK_PAIRS:
+                    yield summed(held)
+                    held, pairs = [], 0
+        if pairs:
+            yield summed(held)
+
+    def total(blobs):
+        left, word = _values(blobs, "left", np.int64), _values(blobs, "word", np.int64)
+        order = np.lexsort((word, left))
+        left, word = left[order], word[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (left[1:] != left[:-1]) | (word[1:] != word[:-1])
+        first = np.flatnonzero(new)
+        n = np.add.reduceat(_values(blobs, "n", np.uint32)[order].astype(np.int64), first)
+        return pd.DataFrame({"left": left[first], "word": word[first], "n": n, "part": blobs["bucket"].iloc[0] // buckets})
+
+    sent = texts.mapInPandas(run, "bucket int, left binary, word binary, n binary")
+    return sent.groupBy("bucket").applyInPandas(total, "left long, word long, n long, part int")
 
 
 def _discounts(have: list[int]) -> list[float]:
@@ -166,18 +242,20 @@ def _by_key(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFra
     return rows.join(often, key).unionByName(rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(rest, key))
 
 
-def word_model(texts: DataFrame) -> DataFrame:
-    """(text) to (pair, n, pair_cost, word_cost): interpolated modified Kneser-Ney costs of all pairs, sorted by hash.
+def word_model(texts: DataFrame, folder: str | None = None) -> DataFrame:
+    """(text) to (left, word, n, part, pair_cost, word_cost): interpolated modified Kneser-Ney costs of all pairs.
 
-    As in ``kneser_ney``: a word alone counts its different left neighbours,
+    The counts are stored (in ``folder``, if given) by parts of the pairs; the
+    costs are joined to them where a part of the model is read.  As in ``kneser_ney``: a word alone counts its different left neighbours,
     over a uniform base; a pair has its discounted count, and the discounts of
     its left word's pairs are shared out by the words alone.
     """
-    counts = stored(count_pairs(texts), "pairs")
+    spans = [(low, min(low + PARTS_COUNTED, PARTS)) for low in range(0, PARTS, PARTS_COUNTED)]
+    counts = reduce(DataFrame.unionByName, [stored(count_pairs(texts, *s), f"pairs-{s[0]}", folder, ("part",)) for s in spans])
     counted = lambda k: F.sum((F.col("n") == k).cast("long"))
-    words = stored(counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    words = stored(counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words", folder)
     lefts = stored(counts.groupBy("left").agg(F.sum("n").alias("total"), *[counted(k).alias(f"n{k}") for k in (1, 2)],
-                                              F.count(F.lit(1)).alias("pairs")), "lefts")
+                                              F.count(F.lit(1)).alias("pairs")), "lefts", folder)
     of_pairs, of_words = ([x or 0 for x in t.agg(*[counted(k) for k in (1, 2, 3, 4)], F.count(F.lit(1)), F.sum("n")).first()]
                           for t in (counts, words))
     d_pair, d_word = _discounts(of_pairs), _discounts(of_words)
@@ -189,43 +267,93 @@ def word_model(texts: DataFrame) -> DataFrame:
     lefts = lefts.select("left", "total", shared.alias("shared"), "pairs")
     both = _by_key(_by_key(counts, words, "word", "pairs"), lefts, "left", "pairs")
     p_pair = (F.col("n") - taken(d_pair) + F.col("shared") * F.col("p_word")) / F.col("total")
-    costs = both.select("pair", "n", (-F.log(p_pair)).cast("float").alias("pair_cost"), (-F.log("p_word")).cast("float").alias("word_cost"))
-    return stored(costs.repartitionByRange(shuffle_parts(texts.sparkSession), "pair").sortWithinPartitions("pair"), "word-model")
+    return both.select("left", "word", "n", "part", (-F.log(p_pair)).cast("float").alias("pair_cost"), (-F.log("p_word")).cast("float").alias("word_cost"))
 
 
-def word_scores(texts: DataFrame, model: DataFrame) -> DataFrame:
-    """(text_key, text) to (text_key, word_surprise, pair_surprise): mean costs of each text's words; equal texts share a row."""
+def word_scores(texts: DataFrame, model: DataFrame, folder: str | None = None, words: int | None = None) -> DataFrame:
+    """(text_key, text) to (text_key, word_surprise, pair_surprise): mean costs of each text's words; equal texts share a row.
+
+    One range of the pairs' hashes after the other, so that what is sent at a
+    time stays a fraction of the pairs: the texts are read again for each, ask
+    for their pairs in that range, and their sums are stored (in ``folder``, if
+    given).  ``words`` is the number of all words that the model counted.
+    """
     session = texts.sparkSession
-    total = model.agg(F.sum("n")).first()[0] or 0
+    total = words if words is not None else model.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") * SMALL_ROWS > total  # at most SMALL_ROWS pairs, as their counts sum up to the total
-    often = model.where(hot).drop("n").toPandas().sort_values("pair")
+    often = model.where(hot).toPandas()
+    often["pair"] = _pair_hash(often)
+    often = often.sort_values("pair")
     table = session.sparkContext.broadcast([often[c].to_numpy() for c in ("pair", "pair_cost", "word_cost")])
+    ranges = min(PARTS, max(1, total // PART_WORDS))
+    buckets = max(-(-2 * shuffle_parts(session) // ranges), 8)
+    blob = "bucket int, pair binary, text_key binary, n binary, pair_cost binary, word_cost binary"
 
-    def run(batches):
-        known, *costs = table.value
+    def told(batches):  # the model's pairs and their costs
+        held, rows = [], 0
         for frame in batches:
-            values = frame["text"].tolist()
-            for a, b in sliced(values, 2_000_000):
-                batch = Batch(values[a:b])
-                key, doc, pair = frame["text_key"].to_numpy()[a:b], batch.word_doc, _pairs(batch)[1].view(np.int64)
-                at = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
-                found = known[at] == pair if len(known) else np.zeros(len(pair), dtype=bool)
-                sums = [np.bincount(doc[found], weights=c[at[found]], minlength=batch.docs) for c in costs]
-                # one row per text with what is known here (under its own key, which spreads them), the others by their pairs
-                yield pd.DataFrame({"text_key": key, "pair": key, "n": np.bincount(doc[found], minlength=batch.docs),
-                                    "pair_sum": sums[0], "word_sum": sums[1]})
-                rest = np.flatnonzero(~found)
-                order = rest[np.lexsort((pair[rest], doc[rest]))]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (pair[order][1:] != pair[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-                first = np.flatnonzero(new)
-                yield pd.DataFrame({"text_key": key[doc[order[first]]], "pair": pair[order[first]],
-                                    "n": np.diff(np.append(first, len(order))), "pair_sum": None, "word_sum": None})
-
-    rows = texts.mapInPandas(run, "text_key long, pair long, n int, pair_sum double, word_sum double")
-    joined = rows.join(model.where(~hot).drop("n"), "pair", "left")
-    part = lambda c: F.coalesce(F.col(f"{c}_sum"), F.col("n") * F.col(f"{c}_cost"))
-    return joined.groupBy("text_key").agg(*[F.try_divide(F.sum(part(c)), F.sum("n")).alias(f"{c}_surprise") for c in ("word", "pair")])
+            held.append(frame)
+            rows += len(frame)
+            if rows >= 200_000:
+                yield packed(pd.concat(held))
+                held, rows = [], 0
+        if rows:
+            yield packed(pd.concat(held))
+
+    def packed(rows):
+        pair = _pair_hash(rows)
+        return _blobs(_share(pair, buckets), pair=pair, **{c: rows[c].to_numpy(dtype=np.float32) for c in ("pair_cost", "word_cost")}).assign(
+            text_key=None, n=None)[["bucket", "pair", "text_key", "n", "pair_cost", "word_cost"]]
+
+    def asked(low, high):
+        def run(batches):
+            known, *costs = table.value
+            for frame in batches:
+                values = frame["text"].tolist()
+                for a, b in sliced(values, 1_000_000):
+                    batch = Batch(values[a:b])
+                    key, pair = frame["text_key"].to_numpy()[a:b], _pairs(batch)[1]
+                    here = _in_parts(pair, low, high)
+                    pair, doc = pair[here], batch.word_doc[here]
+                    at, found = _looked_up(known, pair)
+                    # per text the sums of what is known here, and its other pairs
+                    n, *sums = (np.bincount(doc[found], weights=w, minlength=batch.docs) for w in (None, *(c[at[found]] for c in costs)))
+                    yield _blobs(key.view(np.uint64) % np.uint64(buckets), text_key=key, n=n.astype(np.uint32), pair_cost=sums[0], word_cost=sums[1]).assign(
+                        pair=None)[["bucket", "pair", "text_key", "n", "pair_cost", "word_cost"]]
+                    pair, doc = pair[~found], doc[~found]
+                    order = np.lexsort((pair, doc))
+                    pair, doc = pair[order], doc[order]
+                    new = np.ones(len(pair), dtype=bool)
+                    new[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
+                    first = np.flatnonzero(new)
+                    pair, n = pair[first], np.diff(np.append(first, len(new))).astype(np.uint32)
+                    yield _blobs(_share(pair, buckets), pair=pair, text_key=key[doc[first]], n=n).assign(pair_cost=None, word_cost=None)
+        return run
+
+    def answered(blobs):
+        model, sums = blobs[blobs["text_key"].isna()], blobs[blobs["pair"].isna()]
+        asks = blobs[blobs["pair"].notna() & blobs["text_key"].notna()]
+        pair = _values(model, "pair", np.uint64)
+        order = np.argsort(pair)
+        at, found = _looked_up(pair[order], _values(asks, "pair", np.uint64))
+        n = _values(asks, "n", np.uint32)
+        keys, which = np.unique(np.concatenate([_values(t, "text_key", np.int64) for t in (asks, sums)]), return_inverse=True)
+        out = {"text_key": keys, "n": np.bincount(which, weights=np.concatenate([n, _values(sums, "n", np.uint32)]), minlength=len(keys)).astype(np.int64)}
+        for c in ("pair_cost", "word_cost"):
+            cost = np.zeros(len(n))
+            cost[found] = n[found] * _values(model, c, np.float32)[order[at[found]]].astype(np.float64)
+            out[c] = np.bincount(which, weights=np.concatenate([cost, _values(sums, c, np.float64)]), minlength=len(keys))
+        return pd.DataFrame(out)
+
+    summed = lambda t: t.groupBy("text_key").agg(*[F.sum(c).alias(c) for c in ("n", "pair_cost", "word_cost")])
+    found = []
+    for k in range(ranges):
+        low, high = PARTS * k // ranges, PARTS * (k + 1) // ranges
+        rest = model.where(~hot & F.col("part").between(low, high - 1)).select("left", "word", "pair_cost", "word_cost")
+        sent = rest.mapInPandas(told, blob).unionByName(texts.select("text_key", "text").mapInPandas(asked(low, high), blob))
+        rows = sent.groupBy("bucket").applyInPandas(answered, "text_key long, n long, pair_cost double, word_cost double")
+        found.append(stored(summed(rows), f"sums-{k}", folder))
+    return summed(reduce(DataFrame.unionByName, found)).select("text_key", *[F.try_divide(F.col(f"{c}_cost"), F.col("n")).alias(f"{c}_surprise") for c in ("word", "pair")])
 
 
 def _word_statistics(texts: list[str], batch: Batch) -> dict[str, np.ndarray]:
@@ -328,8 +456,14 @@ def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     """
     rows = with_columns(docs, doc_id="string", text="string", lang="string").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    scored = score(rows, train(rows.select("text"))).join(word_scores(rows.select("text_key", "text"), word_model(rows.select("text"))), "text_key", "left")
-    scored = stored(scored, "quality")
+    spark, texts = docs.sparkSession, rows.select("text_key", "text")
+    folder = scratch_path(spark, "quality-words")
+    with shuffles_dropped(spark):
+        statistics = stored(score(rows, train(rows.select("text"))), "statistics", folder)
+        words = statistics.agg(F.sum("n_words")).first()[0] or 0
+        scores = word_scores(texts, word_model(rows.select("text"), folder), folder, words)
+        scored = stored(statistics.join(scores, "text_key", "left"), "quality")
+    deleted(spark, folder)
     good = scored.where(~F.col("base_failed"))
     bands = stored(_bands(good), "quality-bands")
     small = F.broadcast(bands) if bands.count() <= SMALL_ROWS else bands

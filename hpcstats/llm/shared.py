@@ -36,35 +36,47 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+def stored(df: DataFrame, label: str, folder: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once into the shared folder (or into ``folder``, a path in it) and read it back."""
+    path = f"{folder}/{label}" if folder else scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int):
-    """Arrow batches of at most so many rows while the block runs jobs: for tables whose rows are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows while the block runs jobs: for tables whose rows are large."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Every job of the block deletes its shuffle files when it ends, not when the driver next collects garbage."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder made by ``scratch_path``, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables written so far in this session.
 
     Only for callers whose earlier results are already written elsewhere, as
     between the stages of the pipeline.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for entry in [e for e in _written if e[0] == id(spark)]:
-        path = jvm.org.apache.hadoop.fs.Path(entry[1])
-        path.getFileSystem(conf).delete(path, True)
+        deleted(spark, entry[1])
         _written.remove(entry)
 
 

@@ -1,6 +1,7 @@
 """Quality, URL filter and personal data against plain implementations."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -8,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from hpcstats.llm import link_rank, perplexity, pii
+from hpcstats.llm import link_rank, perplexity, pii, shared
 from hpcstats.llm.wordhash import Batch
 from llm_helpers import ODD_ROWS, WORD, docs, empty, odd
 
@@ -115,6 +116,36 @@ def test_word_model_matches_brute_force(spark, monkeypatch):
             assert found[k].pair_surprise == pytest.approx(pair, rel=1e-5) and found[k].word_surprise == pytest.approx(word, rel=1e-5)
 
 
+def test_scores_are_the_same_by_ranges_of_the_pairs(spark, monkeypatch):
+    texts = [r.text for r in docs(spark).limit(80).collect()]
+    table = spark.createDataFrame([*enumerate(texts + texts[:1]), (90, ""), (91, "new")], "text_key long, text string").repartition(3, "text_key")
+    pairs = {p for t in [*texts, "new"] for p in zip([None, *WORD.findall(t)], WORD.findall(t))}
+    for most, words, held in ((perplexity.SMALL_ROWS, 10 ** 9, 10 ** 9), (20, 10, 50), (20, perplexity.PART_WORDS, 50), (20, 8000, 10 ** 9)):
+        monkeypatch.setattr(perplexity, "SMALL_ROWS", most)
+        monkeypatch.setattr(perplexity, "PART_WORDS", words)
+        monkeypatch.setattr(perplexity, "TASK_PAIRS", held)
+        model = perplexity.word_model(table)
+        assert model.count() == model.select("left", "word").distinct().count() == len(pairs)
+        found = {r.text_key: r for r in perplexity.word_scores(table, model).collect()}
+        assert set(found) == {*range(81), 90, 91} and found[90].pair_surprise is None and found[0][1:] == pytest.approx(found[80][1:])
+        for k, (pair, word) in zip([*range(81), 91], pair_costs([*texts, texts[0], "new"])):
+            assert found[k].pair_surprise == pytest.approx(pair, rel=1e-5) and found[k].word_surprise == pytest.approx(word, rel=1e-5)
+
+
+def test_quality_leaves_no_pairs_on_disk(spark, monkeypatch):
+    """What was counted and shuffled to score the texts is gone when they are scored: no table left has more rows than texts."""
+    made, path = [], shared.scratch_path
+    monkeypatch.setattr(shared, "scratch_path", lambda *a: made.append(path(*a)) or made[-1])
+    monkeypatch.setattr(perplexity, "scratch_path", shared.scratch_path, raising=False)
+    table = docs(spark).limit(200)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    perplexity.quality(table).collect()
+    assert spark.conf.get(setting) == before
+    left = [p.removeprefix("file:") for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert 0 < len(left) < len(made) and all(spark.read.parquet(p).count() <= 200 for p in left)
+
+
 def test_words_outside_ascii_and_their_order_count(spark):
     rnd, names = random.Random(4), ["мир дом", "кот пёс", "лес сад", "чай сок", "нос рот", "час год"]
     plain = [" ".join(rnd.choice(names) for _ in range(20)) for _ in range(300)]
