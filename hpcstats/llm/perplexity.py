@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from hpcstats.llm.shared import SMALL_ROWS, deleted, documents, scratch_path, shuffle_parts, shuffles_dropped, stored, with_columns
 from hpcstats.llm.tokens import sliced
-from hpcstats.llm.wordhash import STEP, Batch, mixed
+from hpcstats.llm.wordhash import STEP, Batch, mixed, released
 
 ORDER = 4
 CLASSES = 32
@@ -50,7 +50,7 @@ BEGIN = np.uint64(0x9AE16A3B2F90404F)  # stands before the first word of a text
 PARTS = 8  # ranges of the pairs' hashes that the counts are stored by
 PART_WORDS = 1_000_000  # words for which a range of its own is read; fewer share one
 PARTS_COUNTED = 4  # parts that are counted at a time
-TASK_PAIRS = 1_000_000  # pairs that a task sums up before it sends them
+TASK_PAIRS = 500_000  # pairs that a task sums up before it sends them
 WINDOW = 5
 MIN_WORDS = 10
 MOST_REPEATED = 20  # percent of the words
@@ -94,6 +94,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 np.add.at(edges, ends, -1)
                 total += np.bincount(code[np.cumsum(edges[:-1]) > 0], minlength=len(total))
         seen = np.flatnonzero(total)
+        released()
         yield pd.DataFrame({"gram": seen, "n": total[seen]})
     return texts.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -210,6 +211,7 @@ def count_pairs(texts: DataFrame, low: int = 0, high: int = PARTS) -> DataFrame:
                     held, pairs = [], 0
         if pairs:
             yield summed(held)
+        released()
 
     def total(blobs):
         left, word = _values(blobs, "left", np.int64), _values(blobs, "word", np.int64)
@@ -286,7 +288,7 @@ def word_scores(texts: DataFrame, model: DataFrame, folder: str | None = None, w
     often = often.sort_values("pair")
     table = session.sparkContext.broadcast([often[c].to_numpy() for c in ("pair", "pair_cost", "word_cost")])
     ranges = min(PARTS, max(1, total // PART_WORDS))
-    buckets = max(-(-2 * shuffle_parts(session) // ranges), 8)
+    buckets = max(-(-4 * shuffle_parts(session) // ranges), 8)
     blob = "bucket int, pair binary, text_key binary, n binary, pair_cost binary, word_cost binary"
 
     def told(batches):  # the model's pairs and their costs
@@ -299,6 +301,7 @@ def word_scores(texts: DataFrame, model: DataFrame, folder: str | None = None, w
                 held, rows = [], 0
         if rows:
             yield packed(pd.concat(held))
+        released()
 
     def packed(rows):
         pair = _pair_hash(rows)
@@ -328,6 +331,7 @@ def word_scores(texts: DataFrame, model: DataFrame, folder: str | None = None, w
                     first = np.flatnonzero(new)
                     pair, n = pair[first], np.diff(np.append(first, len(new))).astype(np.uint32)
                     yield _blobs(_share(pair, buckets), pair=pair, text_key=key[doc[first]], n=n).assign(pair_cost=None, word_cost=None)
+            released()
         return run
 
     def answered(blobs):
@@ -343,6 +347,7 @@ def word_scores(texts: DataFrame, model: DataFrame, folder: str | None = None, w
             cost = np.zeros(len(n))
             cost[found] = n[found] * _values(model, c, np.float32)[order[at[found]]].astype(np.float64)
             out[c] = np.bincount(which, weights=np.concatenate([cost, _values(sums, c, np.float64)]), minlength=len(keys))
+        released()
         return pd.DataFrame(out)
 
     summed = lambda t: t.groupBy("text_key").agg(*[F.sum(c).alias(c) for c in ("n", "pair_cost", "word_cost")])
@@ -398,6 +403,7 @@ def score(docs: DataFrame, cost: np.ndarray) -> DataFrame:
                 out["total_cost"] = running[ends] - running[starts]
                 out |= {c: frame[c].iloc[a:b].to_numpy() for c in ("doc_id", "lang", "text_key")}
                 yield pd.DataFrame(out)
+        released()
 
     schema = ("doc_id string, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
               "n_chars long, total_cost double, text_key long")

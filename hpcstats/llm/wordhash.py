@@ -8,6 +8,7 @@ its bytes over 64 bits by one running sum for the whole batch.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -42,6 +43,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def released() -> None:
+    """Give back what a worker keeps between batches: it idles beside the JVM when its task has ended."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+
+
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * STEP)
 
 
